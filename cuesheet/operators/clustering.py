@@ -107,7 +107,7 @@ def _centers(members: DataFrame, k: int) -> DataFrame:
 
 def _assign(points: DataFrame, centers: DataFrame, hot: DataFrame | None, k: int) -> DataFrame:
     packed = centers.withColumn("_salt", F.lit(0)) if hot is None else skew.replicate(centers, ["doc_id", "term"], hot)
-    scores = points.join(packed, ["doc_id", "term", "_salt"]).groupBy("doc_id", "pos").agg(
+    scores = points.join(packed.hint("merge"), ["doc_id", "term", "_salt"]).groupBy("doc_id", "pos").agg(
         *[F.sum(F.col("w") * F.col("c")[j]).alias(f"s{j}") for j in range(k)])
     best = F.array_max(F.array(*[F.struct(F.round(F.col(f"s{j}"), 9).alias("s"), F.lit(-j).alias("j")) for j in range(k)]))
     return scores.select("doc_id", "pos", (-best["j"]).alias("cluster"))
@@ -123,8 +123,7 @@ def line_clusters(line_table: DataFrame, k: int = 5, rounds: int = 10, until_sta
     profiles = tfidf.line_profiles(line_table)
     sizes = profiles.groupBy("doc_id").agg(F.sum("copies").alias("_n")).where(F.col("_n") >= k).select("doc_id")
     profiles = profiles.join(sizes, "doc_id", "left_semi")
-    weights = tfidf.weighted_profiles(profiles).select("doc_id", "pos", "copies", F.explode("vec").alias("t")).select(
-        "doc_id", "pos", "copies", F.col("t.term").alias("term"), F.col("t.w").alias("w"))
+    weights = tfidf.weighted_terms(profiles).select("doc_id", "pos", "copies", "term", "w")
     long = weights.unionByName(profiles.select("doc_id", "pos", "copies", F.lit(_BIAS).alias("term"), F.lit(1.0).alias("w")))
     long = materialise(long)
     counts = long.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("_n"))

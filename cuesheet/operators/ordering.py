@@ -36,13 +36,13 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], colu
     """Add the value of ``column`` in the previous row of the same key, null in the first row."""
     cut = df.withColumn("_chunk", chunk) if chunk is not None else range_chunks(df, [F.col(c) for c in (*keys, *order)])
     boxed = F.struct(F.col(column).alias("v"))
-    inside = cut.withColumn("_before", F.lag(boxed).over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
+    inside = cut.withColumn("_in_chunk", F.lag(boxed).over(Window.partitionBy(*keys, "_chunk").orderBy(*order)))
     tails = cut.groupBy(*keys, "_chunk").agg(F.max_by(boxed, F.struct(*order)).alias("_tail"))
-    carried = tails.select(*keys, "_chunk", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carry"))
+    carried = tails.select(*keys, "_chunk", F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_carried"))
     return (
         inside.join(carried, [*keys, "_chunk"], "left")
-        .withColumn(name, F.coalesce("_before", "_carry")["v"])
-        .drop("_chunk", "_before", "_carry")
+        .withColumn(name, F.coalesce("_in_chunk", "_carried")["v"])
+        .drop("_chunk", "_in_chunk", "_carried")
     )
 
 
@@ -88,7 +88,7 @@ def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | No
         df.select(pairs.alias("p")).select("p.*").where(F.col("value").isNotNull() & ~F.isnan("value"))
         .groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = materialise(with_running_total(counted, ["column"], [F.col("value")], F.col("n"), "upto"))
+    ranked = with_running_total(counted, ["column"], [F.col("value")], F.col("n"), "upto")
     sizes = {r["column"]: r["size"] for r in ranked.groupBy("column").agg(F.max("upto").alias("size")).collect()}
     middles = [
         (F.col("column") == c) & (F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)

@@ -54,11 +54,12 @@ def salted_lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str], count
     ``counts`` tells how many facts a key has. Facts of hot keys are spread over salts and only the table rows of
     those keys are copied.
     """
+    # "merge" sorts and spills: a wrong size estimate must not turn a large table into a broadcast
     hot = hot_keys(counts, keys, count, rows_per_salt)
     if hot is None:
-        return facts.join(table, list(keys), how)
+        return facts.join(table.hint("merge"), list(keys), how)
     left = add_salt(facts, keys, hot, spread)
-    return left.join(replicate(table, keys, hot), [*keys, "_salt"], how).drop("_salt")
+    return left.join(replicate(table, keys, hot).hint("merge"), [*keys, "_salt"], how).drop("_salt")
 
 
 def is_small(table: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:

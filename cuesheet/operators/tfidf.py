@@ -50,11 +50,11 @@ def line_profiles(line_table: DataFrame, stop_words: Sequence[str] = ()) -> Data
         F.min("pos").alias("pos"), F.count(F.lit(1)).alias("copies")))
 
 
-def weighted_profiles(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
+def weighted_terms(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
     """Weight the terms: tf * (ln((1 + n) / (1 + df)) + 1), scaled to length one per line.
 
-    Returns ``(doc_id, pos, copies, vec)`` with ``vec`` an array of (df, term, w), rarest term first. Profiles without
-    terms count as lines but have no vector and are left out.
+    Returns ``(doc_id, pos, copies, term, df, w)``. Profiles without terms count as lines but have no rows. The length
+    is a window over one line's terms, which came out of one row of text.
     """
     sizes = profiles.groupBy("doc_id").agg(F.sum("copies").alias("n_lines"))
     long = profiles.select("doc_id", "pos", "copies", F.explode("terms").alias("t")).select(
@@ -62,21 +62,22 @@ def weighted_profiles(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SA
     df = long.groupBy("doc_id", "term").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("_profiles"))
     idf = df.join(sizes, "doc_id").select(
         "doc_id", "term", "df", (F.log((1 + F.col("n_lines")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = skew.salted_lookup(long, idf, ["doc_id", "term"], df, "_profiles", ["pos"], rows_per_salt=rows_per_salt)
-    rebuilt = weighted.groupBy("doc_id", "pos").agg(
-        F.first("copies").alias("copies"),
-        F.sort_array(F.collect_list(F.struct("df", "term", (F.col("tf") * F.col("idf")).alias("w")))).alias("raw"),
-    )
-    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda a, t: a + t["w"] * t["w"]))
-    return rebuilt.select("doc_id", "pos", "copies", let(length, lambda n: F.transform("raw", lambda t: F.struct(
-        t["df"].alias("df"), t["term"].alias("term"), (t["w"] / n).alias("w")))).alias("vec"))
+    raw = skew.salted_lookup(long, idf, ["doc_id", "term"], df, "_profiles", ["pos"], rows_per_salt=rows_per_salt) \
+        .select("doc_id", "pos", "copies", "term", "df", (F.col("tf") * F.col("idf")).alias("_raw"))
+    squares = F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("doc_id", "pos"))
+    return raw.withColumn("w", F.col("_raw") / F.sqrt(squares)).drop("_raw")
+
+
+def weighted_profiles(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
+    """The weights as one array per profile: ``(doc_id, pos, copies, vec)``, (df, term, w) from rare to frequent."""
+    return weighted_terms(profiles, rows_per_salt).groupBy("doc_id", "pos").agg(
+        F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("vec"))
 
 
 def line_tfidf(line_table: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
     """Weights per line and term: ``(doc_id, pos, term, weight)``."""
     each = materialise(line_term_counts(line_table, stop_words).withColumn("copies", F.lit(1).cast("bigint")))
-    return weighted_profiles(each).select("doc_id", "pos", F.explode("vec").alias("t")).select(
-        "doc_id", "pos", F.col("t.term").alias("term"), F.col("t.w").alias("weight"))
+    return weighted_terms(each).select("doc_id", "pos", "term", F.col("w").alias("weight"))
 
 
 def tfidf_keywords(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
@@ -85,10 +86,8 @@ def tfidf_keywords(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[
     The rank filter lets each task keep ``top_n`` rows per document before the shuffle.
     """
     summed = (
-        weighted_profiles(line_profiles(line_table, stop_words))
-        .select("doc_id", "copies", F.explode("vec").alias("t"))
-        .groupBy("doc_id", F.col("t.term").alias("term"))
-        .agg(F.round(F.sum(F.col("copies") * F.col("t.w")), 9).alias("score"))
+        weighted_terms(line_profiles(line_table, stop_words))
+        .groupBy("doc_id", "term").agg(F.round(F.sum(F.col("copies") * F.col("w")), 9).alias("score"))
     )
     best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "term")
     return summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)

@@ -57,8 +57,8 @@ QUERIES = {
     "dominant_cluster_ratio": lambda s, sf: _named(clustering.cluster_features(_labels(s, sf), 3).select("doc_id", "dominant_cluster_ratio"), "label"),
 }
 
-_T = "epoch_ms(ts)"
-_UNIT = """unit AS (SELECT label, vec_id, list_transform(v, x -> x / len) AS u FROM (
+_T = "(epoch_us(ts) // 1000)"
+_UNIT = """unit AS (SELECT label, vec_id, list_transform(v, lambda x: x / len) AS u FROM (
         SELECT label, vec_id, v, sqrt(list_dot_product(v, v)) AS len FROM (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings)))"""
 _POINTS = """points AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     seeds AS (SELECT label, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS cluster FROM (

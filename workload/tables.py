@@ -47,7 +47,7 @@ def _target_clean(s, sf):
     orders = read_table(s, sf, "orders")
     scored = orders.select("o_orderkey", (F.col("o_totalprice") / 40000).alias("rating"),
                            F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_custkey")).alias("votes"))
-    return rounded(selection.clean_target(scored))
+    return selection.clean_target(scored)
 
 
 def _score_lookup(s, sf):
@@ -174,7 +174,7 @@ _METRICS = f"""m AS (SELECT {_FOLD} AS fold, l_extendedprice AS y, l_extendedpri
         1 - var_pop(e) / var_pop(y) AS explained_variance FROM m GROUP BY fold)"""
 
 ORACLES = {
-    "json_map_explode": "SELECT event_id, unnest(json_keys(props)) AS key, unnest(list_transform(json_keys(props), k -> json_extract(props, '$.' || k)::BIGINT)) AS value FROM events",
+    "json_map_explode": "SELECT event_id, unnest(json_keys(props)) AS key, unnest(list_transform(json_keys(props), lambda k: json_extract(props, '$.' || k)::BIGINT)) AS value FROM events",
     "json_expand": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS props_k FROM events",
     "page_links": r"""SELECT page_id, pos::BIGINT AS pos, regexp_extract(item, '<a\b[^>]*?\bhref="([^"]*)"', 1) AS href, trim(regexp_replace(item, '<[^>]*>', '', 'g')) AS title
         FROM (SELECT page_id, unnest(items) AS item, unnest(range(len(items))) AS pos
@@ -190,7 +190,7 @@ ORACLES = {
     "sanitize_name": r"""SELECT page_id, regexp_replace(url, '[<>:"/\\|?*]', '_', 'g') AS name FROM pages""",
     "substring_exists": "SELECT count(*) > 0 AS found FROM part WHERE contains(p_name, 'widget')",
     "status_skip": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('P', 'N/A') GROUP BY 1",
-    "target_clean": """SELECT o_orderkey, round(o_totalprice / 40000, 6) AS rating, o_custkey AS votes FROM orders
+    "target_clean": """SELECT o_orderkey, o_totalprice / 40000 AS rating, o_custkey AS votes FROM orders
         WHERE o_orderpriority <> '4-NOT SPECIFIED' AND o_totalprice / 40000 BETWEEN 1 AND 10""",
     "id_normalize": "SELECT c_custkey, try_cast(replace(c_name, 'Customer#', '') AS BIGINT) AS c_name FROM customer",
     "resume_anti_join": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",

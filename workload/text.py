@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cuesheet.functions import text
 from cuesheet.operators import encoding, lexical, lexicon, lines, merging, tfidf
 from cuesheet.plans import features
+from cuesheet.session import materialise
 from cuesheet.sources.tables import read_table, spread
 from workload import inputs, sql
 
@@ -61,7 +62,7 @@ def _vocab_intersect(spark, sf):
 
 
 def _keyword_multihot(spark, sf):
-    lists = tfidf.keyword_lists(inputs.document_lines(spark, sf))
+    lists = materialise(tfidf.keyword_lists(inputs.document_lines(spark, sf)))
     vocabulary = encoding.keyword_vocabulary(lists, "tfidf_keywords", 100)
     wide = encoding.multi_hot(lists, vocabulary)
     return wide.select("doc_id", F.concat(*[F.col(f"`kw_{w}`").cast("string") for w in vocabulary]).alias("bits"))
