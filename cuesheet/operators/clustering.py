@@ -114,16 +114,18 @@ def _assign(points: DataFrame, centers: DataFrame, hot: DataFrame | None, k: int
 
 
 def line_clusters(line_table: DataFrame, k: int = 5, rounds: int = 10, until_stable: bool = True,
-                  rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+                  rows_per_salt: int = ROWS_PER_SALT, profiles: DataFrame | None = None,
+                  weights: DataFrame | None = None) -> DataFrame:
     """Lloyd's rounds on the term weights of the lines of every document with at least ``k`` lines:
     ``(doc_id, pos, copies, cluster)``, one row per distinct line profile.
 
     Lines meet centers only on the terms they share. The first ``k`` profiles are the first centers.
     """
-    profiles = tfidf.line_profiles(line_table)
+    profiles = tfidf.line_profiles(line_table) if profiles is None else profiles
+    weights = tfidf.weighted_terms(profiles) if weights is None else weights
     sizes = profiles.groupBy("doc_id").agg(F.sum("copies").alias("_n")).where(F.col("_n") >= k).select("doc_id")
     profiles = profiles.join(sizes, "doc_id", "left_semi")
-    weights = tfidf.weighted_terms(profiles).select("doc_id", "pos", "copies", "term", "w")
+    weights = weights.join(sizes, "doc_id", "left_semi").select("doc_id", "pos", "copies", "term", "w")
     long = weights.unionByName(profiles.select("doc_id", "pos", "copies", F.lit(_BIAS).alias("term"), F.lit(1.0).alias("w")))
     long = materialise(long)
     counts = long.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("_n"))
@@ -142,10 +144,12 @@ def line_clusters(line_table: DataFrame, k: int = 5, rounds: int = 10, until_sta
     return profiles.select("doc_id", "pos", "copies").join(labels, ["doc_id", "pos"])
 
 
-def line_cluster_features(line_table: DataFrame, n_clusters: int = 5, rounds: int = 10) -> DataFrame:
+def line_cluster_features(line_table: DataFrame, n_clusters: int = 5, rounds: int = 10, profiles: DataFrame | None = None,
+                          weights: DataFrame | None = None) -> DataFrame:
     """``num_clusters`` and ``dominant_cluster_ratio`` of the term weights; n and 1.0 below ``n_clusters`` lines."""
-    labels = line_clusters(line_table, n_clusters, rounds)
+    profiles = tfidf.line_profiles(line_table) if profiles is None else profiles
+    labels = line_clusters(line_table, n_clusters, rounds, profiles=profiles, weights=weights)
     found = labels.groupBy("doc_id", "cluster").agg(F.sum("copies").alias("size")).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_clusters"), (F.max("size") / F.sum("size")).alias("_ratio"))
-    return line_table.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).join(found, "doc_id", "left").select(
+    return profiles.groupBy("doc_id").agg(F.sum("copies").alias("_n")).join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("_clusters", "_n").alias("num_clusters"), F.coalesce("_ratio", F.lit(1.0)).alias("dominant_cluster_ratio"))

@@ -31,9 +31,9 @@ def avg_sentence_length(line_table: DataFrame) -> DataFrame:
         _ratio(F.sum(text.token_count(F.col("line"))), F.sum(text.sentence_count(F.col("line")))).alias("avg_sentence_length"))
 
 
-def lexical_diversity(line_table: DataFrame) -> DataFrame:
+def lexical_diversity(line_table: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Exact distinct tokens over tokens; distinct tokens are merged before they leave a task."""
-    return L.token_counts(line_table).groupBy("doc_id").agg(
+    return (L.token_counts(line_table) if counts is None else counts).groupBy("doc_id").agg(
         _ratio(F.count(F.lit(1)), F.sum("n")).alias("lexical_diversity"))
 
 

@@ -71,21 +71,23 @@ def _distinct_words(line_table: DataFrame) -> DataFrame:
 
 
 def emotion_columns(line_table: DataFrame, lexicon: DataFrame, emotions: Sequence[str] | None = None,
-                    prefix: str = "emotion_") -> DataFrame:
+                    prefix: str = "emotion_", counts: DataFrame | None = None) -> DataFrame:
     """Share of each emotion over the distinct words of a document; all 0.0 where nothing matches."""
     names = list(emotions) if emotions is not None else emotion_names(lexicon)
     wide = pivot_lexicon(lexicon, names)
-    hits = _matched(_distinct_words(line_table), wide, ["doc_id"])
+    words = _distinct_words(line_table) if counts is None else counts.select("doc_id", "tok")
+    hits = _matched(words, wide, ["doc_id"])
     sums = hits.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.col(f"`{e}`")), F.lit(0)).alias(f"_{e}") for e in names])
     total = sum((F.col(f"`_{e}`") for e in names), F.lit(0))
     return sums.select("doc_id", *[
         F.coalesce(F.col(f"`_{e}`") / F.nullif(total, F.lit(0)), F.lit(0.0)).alias(f"{prefix}{e}") for e in names])
 
 
-def emotion_distribution(line_table: DataFrame, lexicon: DataFrame, emotions: Sequence[str] | None = None) -> DataFrame:
+def emotion_distribution(line_table: DataFrame, lexicon: DataFrame, emotions: Sequence[str] | None = None,
+                         counts: DataFrame | None = None) -> DataFrame:
     """The same shares as a map with every emotion of the lexicon as a key."""
     names = list(emotions) if emotions is not None else emotion_names(lexicon)
-    shares = emotion_columns(line_table, lexicon, names, prefix="")
+    shares = emotion_columns(line_table, lexicon, names, "", counts)
     entries = [x for e in names for x in (F.lit(e), F.col(f"`{e}`"))]
     return shares.select("doc_id", (F.create_map(*entries) if entries else F.expr("map()")).alias("emotion_distribution"))
 
@@ -101,12 +103,12 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(part / F.nullif(whole, F.lit(0)), F.lit(0.0))
 
 
-def tag_profile(line_table: DataFrame, tags: DataFrame) -> DataFrame:
+def tag_profile(line_table: DataFrame, tags: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """Counts behind the grammatical features. ``tags`` is (word, pos, tag): coarse class and fine tag per word.
 
     Tokens are merged per document before the lookup.
     """
-    hits = _matched(L.token_counts(line_table), tags.select("word", F.col("pos").alias("class"), "tag"), ["doc_id"])
+    hits = _matched(L.token_counts(line_table) if counts is None else counts, tags.select("word", F.col("pos").alias("class"), "tag"), ["doc_id"])
 
     def counted(condition: Column) -> Column:
         return F.sum(F.when(condition, F.col("n")).otherwise(0))
@@ -131,10 +133,10 @@ def _present_shares(parts: Sequence[str], whole: Column) -> Column:
         e["key"].alias("key"), F.when(whole == 0, F.lit(0.0)).otherwise(e["value"] / whole).alias("value"))))
 
 
-def grammar(line_table: DataFrame, tags: DataFrame) -> DataFrame:
+def grammar(line_table: DataFrame, tags: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``pos_distribution`` (over all tokens), ``pronoun_usage`` and ``tense_distribution`` (over tensed verbs)."""
     tensed = F.col("past") + F.col("present") + F.col("future")
-    return tag_profile(line_table, tags).select(
+    return tag_profile(line_table, tags, counts).select(
         "doc_id",
         _present_shares(["noun", "verb", "adjective"], F.col("tokens")).alias("pos_distribution"),
         _share(F.col("pronoun"), F.col("tokens")).alias("pronoun_usage"),

@@ -68,9 +68,9 @@ def weighted_terms(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT)
     return raw.withColumn("w", F.col("_raw") / F.sqrt(squares)).drop("_raw")
 
 
-def weighted_profiles(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
+def as_vectors(weights: DataFrame) -> DataFrame:
     """The weights as one array per profile: ``(doc_id, pos, copies, vec)``, (df, term, w) from rare to frequent."""
-    return weighted_terms(profiles, rows_per_salt).groupBy("doc_id", "pos").agg(
+    return weights.groupBy("doc_id", "pos").agg(
         F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("vec"))
 
 
@@ -80,24 +80,33 @@ def line_tfidf(line_table: DataFrame, stop_words: Sequence[str] = ()) -> DataFra
     return weighted_terms(each).select("doc_id", "pos", "term", F.col("w").alias("weight"))
 
 
-def tfidf_keywords(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+def without_words(profiles: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+    """Profiles without the stop words. Rows that become equal need not be merged: their copies add up later."""
+    if not stop_words:
+        return profiles
+    return profiles.withColumn("terms", F.filter("terms", lambda t: ~t["term"].isin(*stop_words)))
+
+
+def tfidf_keywords(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[str] = tuple(STOP_WORDS),
+                   profiles: DataFrame | None = None) -> DataFrame:
     """Terms with the largest summed weight, rank 1 first; ties in alphabetical order.
 
     The rank filter lets each task keep ``top_n`` rows per document before the shuffle.
     """
-    summed = (
-        weighted_terms(line_profiles(line_table, stop_words))
-        .groupBy("doc_id", "term").agg(F.round(F.sum(F.col("copies") * F.col("w")), 9).alias("score"))
-    )
+    rows = without_words(line_profiles(line_table) if profiles is None else profiles, stop_words)
+    summed = weighted_terms(rows).groupBy("doc_id", "term").agg(
+        F.round(F.sum(F.col("copies") * F.col("w")), 9).alias("score"))
     best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "term")
     return summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
 
 
-def keyword_lists(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+def keyword_lists(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[str] = tuple(STOP_WORDS),
+                  profiles: DataFrame | None = None) -> DataFrame:
     """One array of at most ``top_n`` keywords per document; empty where a document has only stop words."""
-    ranked = tfidf_keywords(line_table, top_n, stop_words)
+    rows = line_profiles(line_table) if profiles is None else profiles
+    ranked = tfidf_keywords(line_table, top_n, stop_words, rows)
     gathered = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("r"))
-    return line_table.select("doc_id").distinct().join(gathered, "doc_id", "left").select(
+    return rows.select("doc_id").distinct().join(gathered, "doc_id", "left").select(
         "doc_id", F.coalesce(F.col("r.term"), F.array().cast("array<string>")).alias("tfidf_keywords"))
 
 
@@ -164,17 +173,19 @@ def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.95) -> DataFra
     )
 
 
-def repetition_rate(line_table: DataFrame, threshold: float = 0.95, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
+def repetition_rate(line_table: DataFrame, threshold: float = 0.95, profiles: DataFrame | None = None,
+                    weights: DataFrame | None = None) -> DataFrame:
     """Share of line pairs whose cosine is above the threshold; 0 for fewer than two lines.
 
     Copies of one profile match each other and are counted as n(n-1)/2 without making the pairs; a line without terms
     matches nothing.
     """
-    profiles = line_profiles(line_table)
+    profiles = line_profiles(line_table) if profiles is None else profiles
+    vectors = materialise(as_vectors(weighted_terms(profiles) if weights is None else weights))
     within = profiles.groupBy("doc_id").agg(
         F.sum("copies").alias("n"),
         F.sum(F.when(F.size("terms") > 0, F.col("copies") * (F.col("copies") - 1) / 2).otherwise(0.0)).alias("same"))
-    across = near_duplicate_pairs(materialise(weighted_profiles(profiles, rows_per_salt)), threshold).groupBy("doc_id").agg(
+    across = near_duplicate_pairs(vectors, threshold).groupBy("doc_id").agg(
         F.sum("line_pairs").alias("other"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
     return within.join(across, "doc_id", "left").select(

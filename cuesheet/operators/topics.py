@@ -21,12 +21,19 @@ def topic_distribution(line_table: DataFrame, n_topics: int = 5, seed: int = 42,
     """Mean topic mixture of each document's lines.
 
     One model is fitted on the lines of all documents, so a topic means the same thing in every row. Every pass uses
-    all lines. The model itself, topics by vocabulary, is bounded by ``vocabulary``.
+    all lines. A line without terms counts as an even mixture. The model itself, topics by vocabulary, is bounded by
+    ``vocabulary``.
     """
     words = line_table.select("doc_id", text.without(text.terms(F.col("line")), stop_words).alias("words"))
+    even = F.array_repeat(F.lit(1.0 / n_topics), n_topics)
+    if words.where(F.size("words") > 0).isEmpty():
+        return words.select("doc_id", even.alias("topic_distribution")).distinct()
     counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary).fit(words)
-    ready = materialise(counts.transform(words).select("doc_id", "features"))
+    ready = materialise(counts.transform(words).select("doc_id", "features", (F.size("words") > 0).alias("filled")))
     lda = LDA(k=n_topics, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter, featuresCol="features")
     mixtures = lda.fit(ready).transform(ready)
-    return mixtures.groupBy("doc_id").agg(
-        vector_to_array(Summarizer.mean(F.col("topicDistribution"))).alias("topic_distribution"))
+    sums = mixtures.groupBy("doc_id").agg(
+        vector_to_array(Summarizer.sum(F.col("topicDistribution"))).alias("total"),
+        F.sum((~F.col("filled")).cast("int")).alias("empty"), F.count(F.lit(1)).alias("n"))
+    return sums.select("doc_id", F.transform(
+        "total", lambda t: (t + F.col("empty") / n_topics) / F.col("n")).alias("topic_distribution"))

@@ -62,30 +62,41 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
                       wanted: Sequence[str] = tuple(FEATURE_COLUMNS)) -> DataFrame:
     """One row per document that has cues: ``doc_id`` and the wanted features, in the fixed order.
 
-    Each family of features makes one small table per document; they are joined on the id at the end. Lines are cut
-    once and written, since every family reads them.
+    Each family of features makes one small table per document; they are joined on the id at the end. What several
+    families read (cues, token counts, term profiles and weights) is computed once and written.
     """
     r = resources or Resources()
     want = set(wanted)
     cues = materialise(cues)
     line_table = lines.lines(cues, r.markup)
+    grammatical = r.tags is not None and bool(want & set(SYNTACTIC))
+    emotional = r.emotions is not None and "emotion_distribution" in want
+    clustered = bool(want & {"num_clusters", "dominant_cluster_ratio"})
+    counts = profiles = weights = None
+    if "lexical_diversity" in want or grammatical or emotional:
+        counts = materialise(lines.token_counts(line_table))
+    if clustered or want & {"tfidf_keywords", "repetition_rate"}:
+        profiles = tfidf.line_profiles(line_table)
+    if clustered or "repetition_rate" in want:
+        weights = materialise(tfidf.weighted_terms(profiles))
+
     parts: list[DataFrame] = [lexical.lexical_profile(line_table, r.stop_words, r.intensity_words)]
     if "lexical_diversity" in want:
-        parts.append(lexical.lexical_diversity(line_table))
+        parts.append(lexical.lexical_diversity(line_table, counts))
     if "tfidf_keywords" in want:
-        parts.append(tfidf.keyword_lists(line_table, r.top_n, r.stop_words))
+        parts.append(tfidf.keyword_lists(line_table, r.top_n, r.stop_words, profiles))
     if "repetition_rate" in want:
-        parts.append(tfidf.repetition_rate(line_table, r.similarity_threshold))
+        parts.append(tfidf.repetition_rate(line_table, r.similarity_threshold, profiles, weights))
     if r.polarity is not None and want & {"avg_sentiment", "sentiment_std"}:
         parts.append(lexicon.sentiment(line_table, r.polarity))
-    if r.emotions is not None and "emotion_distribution" in want:
-        parts.append(lexicon.emotion_distribution(line_table, r.emotions))
-    if r.tags is not None and want & set(SYNTACTIC):
-        parts.append(lexicon.grammar(line_table, r.tags))
+    if emotional:
+        parts.append(lexicon.emotion_distribution(line_table, r.emotions, counts=counts))
+    if grammatical:
+        parts.append(lexicon.grammar(line_table, r.tags, counts))
     elif "pronoun_usage" in want:
         parts.append(lexicon.pronoun_usage(line_table))
-    if want & {"num_clusters", "dominant_cluster_ratio"}:
-        parts.append(clustering.line_cluster_features(line_table, r.n_clusters, r.cluster_rounds))
+    if clustered:
+        parts.append(clustering.line_cluster_features(line_table, r.n_clusters, r.cluster_rounds, profiles, weights))
     if r.vectors is not None and want & {"semantic_variance", "semantic_similarity_score", "coherence_score"}:
         parts += [semantic.semantic_variance(r.vectors), semantic.pairwise_similarity(r.vectors), semantic.coherence(r.vectors)]
     if "start_ms" in cues.columns and want & set(STRUCTURAL):
