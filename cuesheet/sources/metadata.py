@@ -19,8 +19,8 @@ def explode_json_map(df: DataFrame, column: str, value_type: str, key: str = "ke
 def read_season_metadata(spark: SparkSession, base: str) -> DataFrame:
     """One row per episode of every season file: ``(show, season, episode, imdb_id, subtitles_exists, ...)``."""
     files = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "S*_metadata.json")
-        .text(base).select(naming.decoded_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("json"))
+        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "S*_metadata.json")
+        .text(base, wholetext=True).select(naming.decoded_path(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("json"))
         .where(naming.base_name(F.col("path")).rlike(naming.SEASON_METADATA_NAME))
     )
     season = F.regexp_extract("path", r"/S(\d{1,2})_metadata\.json$", 1).cast("int")
