@@ -53,7 +53,7 @@ def line_profiles(line_table: DataFrame, stop_words: Sequence[str] = ()) -> Data
 def weighted_terms(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
     """Weight the terms: tf * (ln((1 + n) / (1 + df)) + 1), scaled to length one per line.
 
-    Returns ``(doc_id, pos, copies, term, df, w)``. Profiles without terms count as lines but have no rows. The length
+    Returns ``(doc_id, pos, copies, term, df, tf, w)``. Profiles without terms count as lines but have no rows. The length
     is a window over one line's terms, which came out of one row of text.
     """
     sizes = profiles.groupBy("doc_id").agg(F.sum("copies").alias("n_lines"))
@@ -63,17 +63,11 @@ def weighted_terms(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT)
     idf = df.join(sizes, "doc_id").select(
         "doc_id", "term", "df", (F.log((1 + F.col("n_lines")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = skew.salted_lookup(long, idf, ["doc_id", "term"], df, "_profiles", ["pos"], rows_per_salt=rows_per_salt) \
-        .select("doc_id", "pos", "copies", "term", "df", (F.col("tf") * F.col("idf")).alias("_raw"))
+        .select("doc_id", "pos", "copies", "term", "df", "tf", (F.col("tf") * F.col("idf")).alias("_raw"))
     squares = F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("doc_id", "pos"))
     return raw.withColumn("w", F.col("_raw") / F.sqrt(squares)).drop("_raw")
 
 
-def as_vectors(weights: DataFrame) -> DataFrame:
-    """The weights as one array per profile: ``(doc_id, pos, copies, vec)``, (df, term, w) from rare to frequent."""
-    return weights.groupBy("doc_id", "pos").agg(
-        F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("df", "term", "w"))).alias("vec"))
-
-
 def line_tfidf(line_table: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
     """Weights per line and term: ``(doc_id, pos, term, weight)``."""
     each = materialise(line_term_counts(line_table, stop_words).withColumn("copies", F.lit(1).cast("bigint")))
@@ -110,16 +104,37 @@ def keyword_lists(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[s
         "doc_id", F.coalesce(F.col("r.term"), F.array().cast("array<string>")).alias("tfidf_keywords"))
 
 
-def _signatures(vectors: DataFrame, threshold: float) -> DataFrame:
+def line_groups(weights: DataFrame) -> DataFrame:
+    """Lines that differ only in terms no other line has, as one row: ``(doc_id, pos, copies, vec, lone, lost)``.
+
+    ``vec`` holds the terms found in several lines, (df, term, w, tf) from rare to frequent. A term of one single line
+    can never be shared: what it does is take mass, ``lost``, from the others. Lines with the same ``vec`` terms and the
+    same frequencies of single terms, ``lone``, therefore behave alike, so a template filled in a million ways is one
+    row here. ``pos`` is the first of the lines.
+    """
+    shared, single = F.col("df") > 1, F.col("df") == 1
+    lines = weights.groupBy("doc_id", "pos").agg(
+        F.first("copies").alias("copies"),
+        F.sort_array(F.collect_list(F.when(shared, F.struct("df", "term", "w", "tf")))).alias("vec"),
+        F.sort_array(F.collect_list(F.when(single, F.col("tf")))).alias("lone"),
+        F.sum(F.when(single, F.col("w") * F.col("w")).otherwise(0.0)).alias("lost"))
+    core = F.transform("vec", lambda t: F.struct(t["term"], t["tf"]))
+    return lines.groupBy("doc_id", core.alias("core"), "lone").agg(
+        F.min("pos").alias("pos"), F.sum("copies").alias("copies"), F.min_by(F.struct("vec", "lost"), "pos").alias("v")
+    ).select("doc_id", "pos", "copies", "v.vec", "lone", "v.lost")
+
+
+def _signatures(groups: DataFrame, threshold: float) -> DataFrame:
     """Add the prefix lengths that a pair above the threshold cannot avoid sharing.
 
     Terms run from rare to frequent. Vectors have length one, so what two lines share is bounded by the mass (squared
     weight) of the shared part in either line. ``p1``: the terms after it hold no more than threshold² of the mass, so
-    a matching line shares one of the first ``p1``. ``p2``: even together with the heaviest of the first ``p2`` terms
-    the rest holds no more than that, so a matching line shares two of them. ``level`` is 2 where that second bound
-    exists and makes few keys.
+    a matching line shares one of the first ``p1``; 0 where the lost mass alone rules a match out. ``p2``: even
+    together with the heaviest of the first ``p2`` terms the rest holds no more than that, so a matching line shares
+    two of them. ``level`` is 2 where that second bound exists and makes few keys.
     """
     limit = threshold * threshold - EPSILON
+
     # one pass over the terms: p1, p2, mass so far, heaviest so far
     def step(acc: Column, t: Column) -> Column:
         mass = acc["mass"] + t["w"] * t["w"]
@@ -131,24 +146,25 @@ def _signatures(vectors: DataFrame, threshold: float) -> DataFrame:
             (acc["open"] & (top + 1 - mass > limit)).alias("open"),
         )
 
-    start = F.struct(F.lit(0.0).alias("mass"), F.lit(0.0).alias("top"), F.lit(0).alias("p1"), F.lit(0).alias("p2"),
+    start = F.struct(F.col("lost").alias("mass"), F.lit(0.0).alias("top"), F.lit(0).alias("p1"), F.lit(0).alias("p2"),
                      F.lit(True).alias("open"))
+
     def levels(s: Column) -> Column:
         two = ~s["open"] & (s["p2"] >= 2) & (s["p2"] * (s["p2"] - 1) / 2 <= 2 * F.size("vec") + 8)
         return F.struct(s["p1"].alias("p1"), s["p2"].alias("p2"), F.when(two, 2).otherwise(1).alias("level"))
 
-    return vectors.withColumn("_s", let(F.aggregate("vec", start, step), levels)).select("*", "_s.*").drop("_s")
+    return groups.withColumn("_s", let(F.aggregate("vec", start, step), levels)).select("*", "_s.*").drop("_s")
 
 
-def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Pairs of distinct profiles with cosine above the threshold: ``(doc_id, a, b, line_pairs, cosine)``.
+def near_duplicate_pairs(groups: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Pairs of line groups with cosine above the threshold: ``(doc_id, a, b, line_pairs, cosine)``.
 
     Exact. Lines meet only on the rare terms that a matching pair must share: on pairs of them where both lines allow
     it, on single ones otherwise.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
-    signed = _signatures(vectors, threshold)
+    signed = _signatures(groups, threshold)
     single = F.slice("vec.term", F.lit(1), F.col("p1"))
     double = let(F.slice("vec.term", F.lit(1), F.col("p2")), lambda ts: F.flatten(F.transform(ts, lambda x, i: F.transform(
         F.slice(ts, i + 2, F.size(ts)), lambda y: F.concat_ws(" ", x, y)))))
@@ -162,8 +178,8 @@ def near_duplicate_pairs(vectors: DataFrame, threshold: float = 0.95) -> DataFra
         .select("doc_id", F.least("l.pos", "r.pos").alias("a"), F.greatest("l.pos", "r.pos").alias("b"))
         .distinct()
     )
-    left = vectors.select("doc_id", F.col("pos").alias("a"), F.col("copies").alias("ca"), F.col("vec").alias("va"))
-    right = vectors.select("doc_id", F.col("pos").alias("b"), F.col("copies").alias("cb"), F.col("vec").alias("vb"))
+    left = groups.select("doc_id", F.col("pos").alias("a"), F.col("copies").alias("ca"), F.col("vec").alias("va"))
+    right = groups.select("doc_id", F.col("pos").alias("b"), F.col("copies").alias("cb"), F.col("vec").alias("vb"))
     cosine = let(F.map_from_arrays(F.col("vb.term"), F.col("vb.w")), lambda w: F.aggregate(
         "va", F.lit(0.0), lambda acc, t: acc + t["w"] * F.coalesce(w[t["term"]], F.lit(0.0))))
     return (
@@ -177,17 +193,16 @@ def repetition_rate(line_table: DataFrame, threshold: float = 0.95, profiles: Da
                     weights: DataFrame | None = None) -> DataFrame:
     """Share of line pairs whose cosine is above the threshold; 0 for fewer than two lines.
 
-    Copies of one profile match each other and are counted as n(n-1)/2 without making the pairs; a line without terms
-    matches nothing.
+    Lines of one group are counted as n(n-1)/2 without making the pairs: copies match, and lines that differ in single
+    terms all have the cosine 1 - lost. A line without terms matches nothing.
     """
     profiles = line_profiles(line_table) if profiles is None else profiles
-    vectors = materialise(as_vectors(weighted_terms(profiles) if weights is None else weights))
-    within = profiles.groupBy("doc_id").agg(
-        F.sum("copies").alias("n"),
-        F.sum(F.when(F.size("terms") > 0, F.col("copies") * (F.col("copies") - 1) / 2).otherwise(0.0)).alias("same"))
-    across = near_duplicate_pairs(vectors, threshold).groupBy("doc_id").agg(
-        F.sum("line_pairs").alias("other"))
+    groups = materialise(line_groups(weighted_terms(profiles) if weights is None else weights))
+    alike = (F.size("lone") == 0) | (1 - F.col("lost") > threshold)
+    same = groups.where(alike).groupBy("doc_id").agg(F.sum(F.col("copies") * (F.col("copies") - 1) / 2).alias("same"))
+    other = near_duplicate_pairs(groups, threshold).groupBy("doc_id").agg(F.sum("line_pairs").alias("other"))
+    sizes = profiles.groupBy("doc_id").agg(F.sum("copies").alias("n"))
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    return within.join(across, "doc_id", "left").select(
-        "doc_id", F.when(pairs > 0, (F.col("same") + F.coalesce("other", F.lit(0))) / pairs).otherwise(0.0)
-        .alias("repetition_rate"))
+    found = F.coalesce("same", F.lit(0.0)) + F.coalesce("other", F.lit(0))
+    return sizes.join(same, "doc_id", "left").join(other, "doc_id", "left").select(
+        "doc_id", F.when(pairs > 0, found / pairs).otherwise(0.0).alias("repetition_rate"))

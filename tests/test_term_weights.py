@@ -36,7 +36,10 @@ def corpus():
     hot += ["na " * 30 + "hey"] * 3 + ["na " * 31 + "you", "na na", "na"] + ["a", "b", "?"] + ["same words here"] * 10
     long = [" ".join(rng.choices(common + rare, k=60)) for _ in range(30)]
     long += [long[0] + " extra", long[0] + " c0x", long[1].replace("rare1", "rare2")]
-    return {"hot": hot, "long": long, "one": ["single line"], "empty": ["a", "b"], "two": ["x y", "same same"]}
+    base = " ".join(rng.choices(common, k=50))
+    template = [f"{base} only{i}" for i in range(25)] + [f"{base} pair{i} more{i} more{i}" for i in range(10)]
+    template += [base, base, *(f"c0x only{i}b" for i in range(9)), "c0x c1x"]
+    return {"template": template, "hot": hot, "long": long, "one": ["single line"], "empty": ["a", "b"], "two": ["x y", "same same"]}
 
 
 @pytest.mark.parametrize("threshold", [0.95, 0.7, 0.3])
@@ -70,9 +73,15 @@ def test_keywords_sum_weights_and_break_ties_by_name(spark, corpus, by_id):
     assert got["empty"] == []
 
 
+def test_a_filled_in_template_is_one_group(spark, corpus):
+    profiles = tfidf.line_profiles(make_lines(spark, {"t": corpus["template"]}))
+    groups = tfidf.line_groups(tfidf.weighted_terms(profiles)).collect()
+    assert sorted(g.copies for g in groups) == [1, 2, 9, 10, 25]
+
+
 def test_threshold_must_be_inside_the_unit_interval(spark):
     with pytest.raises(ValueError):
-        tfidf.near_duplicate_pairs(spark.createDataFrame([], "doc_id string, pos bigint, copies bigint, vec array<struct<df:bigint,term:string,w:double>>"), 1.0)
+        tfidf.near_duplicate_pairs(spark.createDataFrame([], "doc_id string, pos bigint, copies bigint, vec array<struct<df:bigint,term:string,w:double>>, lost double"), 1.0)
 
 
 def lloyd(vectors, k, rounds, distance):
