@@ -128,8 +128,9 @@ def line_clusters(line_table: DataFrame, k: int = 5, rounds: int = 10, until_sta
     weights = weights.join(sizes, "doc_id", "left_semi").select("doc_id", "pos", "copies", "term", "w")
     long = weights.unionByName(profiles.select("doc_id", "pos", "copies", F.lit(_BIAS).alias("term"), F.lit(1.0).alias("w")))
     long = materialise(long)
+    longest = profiles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     counts = long.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("_n"))
-    hot = skew.hot_keys(counts, ["doc_id", "term"], "_n", rows_per_salt)
+    hot = skew.hot_keys(counts, ["doc_id", "term"], "_n", rows_per_salt) if longest > rows_per_salt else None
     points = long.withColumn("_salt", F.lit(0)) if hot is None else materialise(
         skew.add_salt(long, ["doc_id", "term"], hot, ["pos"]))
     first = Window.partitionBy("doc_id").orderBy("pos")

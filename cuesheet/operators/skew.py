@@ -47,15 +47,15 @@ def replicate(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
     )
 
 
-def salted_lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str], counts: DataFrame, count: str,
+def salted_lookup(facts: DataFrame, table: DataFrame, keys: Sequence[str], counts: DataFrame | None, count: str,
                   spread: Sequence[str], how: str = "inner", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Join many facts to one table row per key when both are large.
 
-    ``counts`` tells how many facts a key has. Facts of hot keys are spread over salts and only the table rows of
-    those keys are copied.
+    ``counts`` tells how many facts a key has; None says that no key is hot. Facts of hot keys are spread over salts and
+    only the table rows of those keys are copied.
     """
     # "merge" sorts and spills: a wrong size estimate must not turn a large table into a broadcast
-    hot = hot_keys(counts, keys, count, rows_per_salt)
+    hot = None if counts is None else hot_keys(counts, keys, count, rows_per_salt)
     if hot is None:
         return facts.join(table.hint("merge"), list(keys), how)
     left = add_salt(facts, keys, hot, spread)

@@ -62,7 +62,10 @@ def weighted_terms(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT)
     df = long.groupBy("doc_id", "term").agg(F.sum("copies").alias("df"), F.count(F.lit(1)).alias("_profiles"))
     idf = df.join(sizes, "doc_id").select(
         "doc_id", "term", "df", (F.log((1 + F.col("n_lines")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = skew.salted_lookup(long, idf, ["doc_id", "term"], df, "_profiles", ["pos"], rows_per_salt=rows_per_salt) \
+    # a term can be no hotter than its document, and documents are counted without cutting the terms out
+    longest = profiles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    counts = df if longest > rows_per_salt else None
+    raw = skew.salted_lookup(long, idf, ["doc_id", "term"], counts, "_profiles", ["pos"], rows_per_salt=rows_per_salt) \
         .select("doc_id", "pos", "copies", "term", "df", "tf", (F.col("tf") * F.col("idf")).alias("_raw"))
     squares = F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("doc_id", "pos"))
     return raw.withColumn("w", F.col("_raw") / F.sqrt(squares)).drop("_raw")

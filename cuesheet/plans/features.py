@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions.wordlists import INTENSITY_WORDS, STOP_WORDS
 from cuesheet.operators import clustering, lexical, lexicon, lines, merging, selection, semantic, skew, tfidf, timing, topics
-from cuesheet.session import materialise
+from cuesheet.session import materialise, written
 from cuesheet.sources import corpus, metadata, tables
 
 # The columns of the feature table and their order.
@@ -67,7 +67,7 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
     """
     r = resources or Resources()
     want = set(wanted)
-    cues = materialise(cues)
+    cues = written(cues, "cues")
     line_table = lines.lines(cues, r.markup)
     grammatical = r.tags is not None and bool(want & set(SYNTACTIC))
     emotional = r.emotions is not None and "emotion_distribution" in want

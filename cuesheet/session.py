@@ -17,6 +17,8 @@ def build_session(app: str = "cuesheet", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.compress", "true")
     )
     if master:
         builder = builder.master(master)
@@ -51,7 +53,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back: for wide tables of which every reader needs other columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which outlives any executor."""
+    """Cut lineage through a reliable checkpoint, which outlives any executor and keeps the partitioning."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

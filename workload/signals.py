@@ -75,10 +75,10 @@ def _round(n: int) -> str:
 _KMEANS = f"WITH {_POINTS}, {_round(0)}, {_round(1)}, {_round(2)}, sizes AS (SELECT label, cluster, count(*) AS size FROM a2 GROUP BY ALL)"
 
 ORACLES = {
-    "event_gaps": f"SELECT event_id, user_id, round(({_T} - lag({_T}) OVER (PARTITION BY user_id ORDER BY {_T}, event_id)) / 1000, 6) AS gap_seconds FROM events",
-    "stream_duration": f"SELECT user_id, round((max({_T}) - min({_T})) / 1000, 6) AS duration_seconds FROM events GROUP BY user_id",
-    "event_density": f"SELECT user_id, round(CASE WHEN max({_T}) > min({_T}) THEN count(*) / ((max({_T}) - min({_T})) / 60000) ELSE 0 END, 6) AS dialogue_density FROM events GROUP BY user_id",
-    "gap_density": f"""SELECT event_type, round(sum(CASE WHEN g >= {HOUR * 1000} THEN 1 ELSE 0 END) / ((max(t) - min(t)) / 60000), 6) AS scene_change_density
+    "event_gaps": f"SELECT event_id, user_id, ({_T} - lag({_T}) OVER (PARTITION BY user_id ORDER BY {_T}, event_id)) / 1000 AS gap_seconds FROM events",
+    "stream_duration": f"SELECT user_id, (max({_T}) - min({_T})) / 1000 AS duration_seconds FROM events GROUP BY user_id",
+    "event_density": f"SELECT user_id, CASE WHEN max({_T}) > min({_T}) THEN count(*) / ((max({_T}) - min({_T})) / 1000 / 60) ELSE 0 END AS dialogue_density FROM events GROUP BY user_id",
+    "gap_density": f"""SELECT event_type, sum(CASE WHEN g >= {HOUR * 1000} THEN 1 ELSE 0 END) / ((max(t) - min(t)) / 1000 / 60) AS scene_change_density
         FROM (SELECT event_type, {_T} AS t, {_T} - lag({_T}) OVER (PARTITION BY event_type ORDER BY {_T}, event_id) AS g FROM events) GROUP BY event_type""",
     "semantic_variance": "SELECT label, round(avg(v), 6) AS semantic_variance FROM (SELECT label, i, var_pop(embedding[i]::DOUBLE) AS v FROM embeddings, range(1, 65) AS r(i) GROUP BY ALL) GROUP BY label",
     "pairwise_similarity": f"WITH {_UNIT} SELECT a.label, round(avg(list_dot_product(a.u, b.u)), 6) AS semantic_similarity_score FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label",
@@ -86,5 +86,5 @@ ORACLES = {
         FROM (SELECT label, u, lag(u) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM unit) WHERE p IS NOT NULL GROUP BY label""",
     "grouped_kmeans": f"{_KMEANS} SELECT label, cluster, size FROM sizes",
     "num_clusters": f"{_KMEANS} SELECT label, CASE WHEN sum(size) < 3 THEN sum(size)::BIGINT ELSE count(*) END AS num_clusters FROM sizes GROUP BY label",
-    "dominant_cluster_ratio": f"{_KMEANS} SELECT label, round(CASE WHEN sum(size) < 3 THEN 1.0 ELSE max(size) / sum(size) END, 6) AS dominant_cluster_ratio FROM sizes GROUP BY label",
+    "dominant_cluster_ratio": f"{_KMEANS} SELECT label, CASE WHEN sum(size) < 3 THEN 1.0 ELSE max(size) / sum(size) END AS dominant_cluster_ratio FROM sizes GROUP BY label",
 }

@@ -201,16 +201,16 @@ ORACLES = {
     "missing_worklist": """SELECT source, count(*) AS missing FROM documents d LEFT JOIN labels l USING (doc_id)
         WHERE NOT (l.doc_id IS NOT NULL AND coalesce(toxic, 0) = 0 AND lang <> '') GROUP BY source""",
     "expand_dict": "SELECT user_id, " + ", ".join(
-        f"round(nullif(count(*) FILTER (event_type = '{t}'), 0) / count(*), 6) AS share_{t}" for t in EVENT_TYPES) + " FROM events GROUP BY user_id",
-    "expand_list": "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 6) AS emb_{i}" for i in range(64)) + " FROM embeddings",
+        f"nullif(count(*) FILTER (event_type = '{t}'), 0) / count(*) AS share_{t}" for t in EVENT_TYPES) + " FROM events GROUP BY user_id",
+    "expand_list": "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS emb_{i}" for i in range(64)) + " FROM embeddings",
     "expand_fixed": "SELECT vec_id, " + ", ".join(
-        f"CASE WHEN label % 3 = 1 THEN round(embedding[{i + 1}]::DOUBLE, 6) ELSE 0.0 END AS topic_{i}" for i in range(4)) + " FROM embeddings",
+        f"CASE WHEN label % 3 = 1 THEN embedding[{i + 1}]::DOUBLE ELSE 0.0 END AS topic_{i}" for i in range(4)) + " FROM embeddings",
     "cardinality": " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n FROM part" for c in ("p_name", "p_brand", "p_type")),
     "ordinal_encode": """SELECT p_partkey, coalesce(code, -1)::BIGINT AS p_name FROM part
         LEFT JOIN (SELECT p_name, dense_rank() OVER (ORDER BY p_name) - 1 AS code FROM (SELECT DISTINCT p_name FROM part WHERE p_size <= 45)) c
         ON part.p_name = c.p_name AND p_size <= 45""",
-    "impute_median": """SELECT c_custkey, round(CASE WHEN c_acctbal >= 0 THEN c_acctbal
-        ELSE (SELECT median(c_acctbal) FROM customer WHERE c_acctbal >= 0) END, 6) AS c_acctbal FROM customer""",
+    "impute_median": """SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal
+        ELSE (SELECT median(c_acctbal) FROM customer WHERE c_acctbal >= 0) END AS c_acctbal FROM customer""",
     "impute_mode": """SELECT o_orderkey, CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority ELSE
         (SELECT o_orderpriority FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) END AS o_orderpriority FROM orders""",
     "one_hot": "SELECT p_partkey, " + ", ".join(f"(p_type = '{t}')::INT AS p_type_{t}" for t in PART_TYPES) + " FROM part",

@@ -16,8 +16,14 @@ FUNCTION_WORDS = ["the", "of", "and", "with", "les", "und", "para"]
 EMOTION_COLUMNS = ["anger", "fear", "joy", "trust"]
 
 
+# sums of fractions, whose last bits depend on the order; everything else must agree exactly
+INEXACT = {
+    "weight", "avg_sentiment", "sentiment_std", "semantic_variance", "semantic_similarity_score", "coherence_score", "rmse", "mae", "r2", "explained_variance", "mean", "std",
+}
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, digits).alias(c) if c in INEXACT else F.col(f"`{c}`") for c in df.columns])
 
 
 def _flat_grammar(df: DataFrame) -> DataFrame:
@@ -132,7 +138,7 @@ QUERIES = {
 
 
 def _share(words: str) -> str:
-    return f"round(sum(CASE WHEN tok IN ({words}) THEN 1 ELSE 0 END) / count(*), 6)"
+    return f"sum(CASE WHEN tok IN ({words}) THEN 1 ELSE 0 END) / count(*)"
 
 
 _BASE = f"WITH {sql.LINES}, {sql.TOKENS}"
@@ -152,21 +158,21 @@ ORACLES = {
     "doc_lines": f"WITH {sql.LINES} SELECT doc_id, pos::BIGINT AS pos, line FROM lines",
     "line_count": f"WITH {sql.LINES} SELECT doc_id, count(*) AS line_count FROM lines GROUP BY doc_id",
     "word_count": f"{_BASE} SELECT doc_id, count(*) AS word_count FROM tokens GROUP BY doc_id",
-    "avg_sentence_length": f"WITH {_PROFILE} SELECT doc_id, round(avg_sentence_length, 6) AS avg_sentence_length FROM asl",
-    "lexical_diversity": f"{_BASE} SELECT doc_id, round(count(DISTINCT tok) / count(*), 6) AS lexical_diversity FROM tokens GROUP BY doc_id",
+    "avg_sentence_length": f"WITH {_PROFILE} SELECT doc_id, avg_sentence_length AS avg_sentence_length FROM asl",
+    "lexical_diversity": f"{_BASE} SELECT doc_id, count(DISTINCT tok) / count(*) AS lexical_diversity FROM tokens GROUP BY doc_id",
     "stopword_ratio": f"{_BASE} SELECT doc_id, {_share(sql.STOP)} AS stopword_ratio FROM tokens GROUP BY doc_id",
-    "exclamation_rate": f"WITH {sql.LINES} SELECT doc_id, round(avg(CASE WHEN line LIKE '%!' THEN 1 ELSE 0 END), 6) AS exclamation_rate FROM lines GROUP BY doc_id",
+    "exclamation_rate": f"WITH {sql.LINES} SELECT doc_id, avg(CASE WHEN line LIKE '%!' THEN 1 ELSE 0 END) AS exclamation_rate FROM lines GROUP BY doc_id",
     "intensity_score": f"{_BASE} SELECT doc_id, {_share(sql.INTENSE)} AS intensity_score, {_share(sql.word_set(FUNCTION_WORDS))} AS function_word_score FROM tokens GROUP BY doc_id",
-    "question_rate": "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, round(avg(CASE WHEN contains(url, '?') THEN 1 ELSE 0 END), 6) AS question_rate FROM pages GROUP BY 1",
+    "question_rate": "SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, avg(CASE WHEN contains(url, '?') THEN 1 ELSE 0 END) AS question_rate FROM pages GROUP BY 1",
     "conversation_profile": f"""WITH lines AS (SELECT conv_id AS doc_id, turn AS pos, replace(trim(text, ' ' || chr(10)), chr(10), ' ') AS line
         FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''), {sql.TOKENS}, {_PROFILE.split(sql.TOKENS + ",", 1)[1]}
-        SELECT doc_id AS conv_id, line_count, word_count, round(avg_sentence_length, 6) AS avg_sentence_length, round(stopword_ratio, 6) AS stopword_ratio
+        SELECT doc_id AS conv_id, line_count, word_count, avg_sentence_length AS avg_sentence_length, stopword_ratio AS stopword_ratio
         FROM lc JOIN wc USING (doc_id) JOIN asl USING (doc_id)""",
     "vocab_topk": f"{_BASE} SELECT tok, count(*) AS n FROM tokens GROUP BY tok ORDER BY n DESC, tok LIMIT 500",
     "vocab_intersect": f"{_BASE} SELECT tok FROM tokens INTERSECT SELECT unnest(regexp_extract_all(lower(text), '{sql.TOKEN}')) AS tok FROM benchmark",
     "line_tfidf": f"WITH {sql.tfidf(False)} SELECT doc_id, pos::BIGINT AS pos, term, round(weight, 6) AS weight FROM u",
     "tfidf_keywords": f"WITH {sql.KEYWORDS} SELECT doc_id, rank::INT AS rank, term FROM keywords",
-    "repetition_rate": f"WITH {sql.tfidf(False)}, {sql.REPETITION} SELECT doc_id, round(repetition_rate, 6) AS repetition_rate FROM repetition",
+    "repetition_rate": f"WITH {sql.tfidf(False)}, {sql.REPETITION} SELECT doc_id, repetition_rate AS repetition_rate FROM repetition",
     "keyword_multihot": f"""WITH {sql.KEYWORDS},
         vocab AS (SELECT term, row_number() OVER (ORDER BY c DESC, term) AS r FROM (SELECT term, count(*) AS c FROM keywords GROUP BY term) QUALIFY r <= 100),
         docs AS (SELECT DISTINCT doc_id FROM lines)
@@ -180,15 +186,15 @@ ORACLES = {
     "avg_sentiment": f"{_LEX}, {sql.POLARITY}, {sql.LINE_POLARITY} SELECT doc_id, round(avg(polarity), 6) AS avg_sentiment FROM line_polarity GROUP BY doc_id",
     "sentiment_std": f"{_LEX}, {sql.POLARITY}, {sql.LINE_POLARITY} SELECT doc_id, round(stddev_pop(polarity), 6) AS sentiment_std FROM line_polarity GROUP BY doc_id",
     "emotion_distribution": f"{_LEX}, {sql.EMOTIONS}, {sql.EMOTION_SUMS} SELECT doc_id, " + ", ".join(
-        f"round(emotion_{e}, 6) AS emotion_{e}" for e in EMOTION_COLUMNS) + " FROM emo",
-    "pos_distribution": f"{_LEX}, {sql.TAGS}, {sql.GRAMMAR} SELECT doc_id, round(pos_noun, 6) AS pos_noun, round(pos_verb, 6) AS pos_verb, round(pos_adjective, 6) AS pos_adjective FROM shares",
-    "tense_distribution": f"{_LEX}, {sql.TAGS}, {sql.GRAMMAR} SELECT doc_id, round(tense_past, 6) AS tense_past, round(tense_present, 6) AS tense_present, round(tense_future, 6) AS tense_future FROM shares",
+        f"emotion_{e} AS emotion_{e}" for e in EMOTION_COLUMNS) + " FROM emo",
+    "pos_distribution": f"{_LEX}, {sql.TAGS}, {sql.GRAMMAR} SELECT doc_id, pos_noun AS pos_noun, pos_verb AS pos_verb, pos_adjective AS pos_adjective FROM shares",
+    "tense_distribution": f"{_LEX}, {sql.TAGS}, {sql.GRAMMAR} SELECT doc_id, tense_past AS tense_past, tense_present AS tense_present, tense_future AS tense_future FROM shares",
     "pronoun_usage": f"{_BASE} SELECT doc_id, {_share(sql.PRON)} AS pronoun_usage FROM tokens GROUP BY doc_id",
     "doc_feature_table": f"""WITH {_PROFILE}, {sql.WORDS}, {sql.POLARITY}, {sql.LINE_POLARITY}, {sql.EMOTIONS}, {sql.EMOTION_SUMS},
         {sql.TAGS}, {sql.GRAMMAR}, {_KEYWORD_TABLE}, {_REPETITION_TABLE},
         sent AS (SELECT doc_id, avg(polarity) AS avg_sentiment, stddev_pop(polarity) AS sentiment_std FROM line_polarity GROUP BY doc_id)
         SELECT lc.doc_id, line_count, word_count, coalesce(tfidf_keywords, '') AS tfidf_keywords, """ + ", ".join(
-        f"round({c}, 6) AS {c}" for c in (
+        f"round({c}, 6) AS {c}" if c in INEXACT else c for c in (
             "avg_sentence_length", "lexical_diversity", "repetition_rate", "stopword_ratio", "avg_sentiment", "sentiment_std",
             "question_rate", "exclamation_rate", "intensity_score", "pronoun_usage", "pos_noun", "pos_verb", "pos_adjective",
             "tense_past", "tense_present", "tense_future", "emotion_anger", "emotion_fear", "emotion_joy", "emotion_trust")) + """,
@@ -196,7 +202,7 @@ ORACLES = {
         FROM lc JOIN wc USING (doc_id) JOIN asl USING (doc_id) JOIN sent USING (doc_id) JOIN emo USING (doc_id) JOIN shares USING (doc_id)
         JOIN rep USING (doc_id) LEFT JOIN kw USING (doc_id) LEFT JOIN labels USING (doc_id)""",
     "join_features": f"""WITH {_PROFILE} SELECT doc_id AS imdbID, quality AS rating, toxic AS votes, line_count, word_count,
-        round(avg_sentence_length, 6) AS avg_sentence_length FROM labels JOIN lc USING (doc_id) JOIN wc USING (doc_id) JOIN asl USING (doc_id)""",
+        avg_sentence_length AS avg_sentence_length FROM labels JOIN lc USING (doc_id) JOIN wc USING (doc_id) JOIN asl USING (doc_id)""",
     "append_features": f"""{_BASE}, c AS (SELECT doc_id, count(*) AS word_count FROM tokens GROUP BY doc_id),
         l AS (SELECT doc_id, count(*) AS line_count FROM lines GROUP BY doc_id)
         SELECT doc_id, line_count, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN NULL ELSE word_count END AS word_count
