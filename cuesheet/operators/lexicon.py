@@ -89,7 +89,8 @@ def emotion_distribution(line_table: DataFrame, lexicon: DataFrame, emotions: Se
     names = list(emotions) if emotions is not None else emotion_names(lexicon)
     shares = emotion_columns(line_table, lexicon, names, "", counts)
     entries = [x for e in names for x in (F.lit(e), F.col(f"`{e}`"))]
-    return shares.select("doc_id", (F.create_map(*entries) if entries else F.expr("map()")).alias("emotion_distribution"))
+    filled = F.create_map(*entries).cast("map<string,double>")
+    return shares.select("doc_id", filled.alias("emotion_distribution"))
 
 
 def lexicon_coverage(line_table: DataFrame, words: DataFrame) -> DataFrame:

@@ -25,14 +25,16 @@ FEATURE_COLUMNS = {
     "topic_distribution": "array<double>", "semantic_similarity_score": "double", "coherence_score": "double",
 }
 LABEL_COLUMNS = {"imdbID": "string", "rating": "double", "votes": "bigint"}
-LINGUISTIC = ("line_count", "word_count", "avg_sentence_length", "lexical_diversity", "tfidf_keywords", "repetition_rate",
-              "stopword_ratio")
-SENTIMENT_STYLE = ("avg_sentiment", "sentiment_std", "question_rate", "emotion_distribution", "exclamation_rate",
-                   "intensity_score")
-CLUSTERING_CONTENT = ("num_clusters", "dominant_cluster_ratio", "semantic_variance")
-SYNTACTIC = ("pos_distribution", "pronoun_usage", "tense_distribution")
-STRUCTURAL = ("dialogue_density", "duration_seconds", "scene_change_density")
-SEMANTIC = ("topic_distribution", "semantic_similarity_score", "coherence_score")
+FEATURE_GROUPS = {
+    "linguistic_features": ("line_count", "word_count", "avg_sentence_length", "lexical_diversity", "tfidf_keywords",
+                            "repetition_rate", "stopword_ratio"),
+    "sentiment_style_features": ("avg_sentiment", "sentiment_std", "question_rate", "emotion_distribution", "exclamation_rate",
+                                 "intensity_score"),
+    "clustering_content_features": ("num_clusters", "dominant_cluster_ratio", "semantic_variance"),
+    "syntactic_grammatical_features": ("pos_distribution", "pronoun_usage", "tense_distribution"),
+    "structural_features": ("dialogue_density", "duration_seconds", "scene_change_density"),
+    "semantic_features": ("topic_distribution", "semantic_similarity_score", "coherence_score"),
+}
 
 
 @dataclass
@@ -69,7 +71,7 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
     want = set(wanted)
     cues = written(cues, "cues")
     line_table = lines.lines(cues, r.markup)
-    grammatical = r.tags is not None and bool(want & set(SYNTACTIC))
+    grammatical = r.tags is not None and bool(want & set(FEATURE_GROUPS["syntactic_grammatical_features"]))
     emotional = r.emotions is not None and "emotion_distribution" in want
     clustered = bool(want & {"num_clusters", "dominant_cluster_ratio"})
     counts = profiles = weights = None
@@ -99,7 +101,7 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
         parts.append(clustering.line_cluster_features(line_table, r.n_clusters, r.cluster_rounds, profiles, weights))
     if r.vectors is not None and want & {"semantic_variance", "semantic_similarity_score", "coherence_score"}:
         parts += [semantic.semantic_variance(r.vectors), semantic.pairwise_similarity(r.vectors), semantic.coherence(r.vectors)]
-    if "start_ms" in cues.columns and want & set(STRUCTURAL):
+    if "start_ms" in cues.columns and want & set(FEATURE_GROUPS["structural_features"]):
         parts.append(timing.timing_profile(cues, line_table, r.threshold_seconds))
     if "topic_distribution" in want:
         parts.append(topics.topic_distribution(line_table, r.n_topics))
@@ -126,6 +128,16 @@ def _completed(df: DataFrame, wanted: Sequence[str], n_topics: int) -> DataFrame
     return df.select("doc_id", *columns)
 
 
+def grouped_features(features: DataFrame) -> DataFrame:
+    """One struct column per feature group."""
+    return features.select("doc_id", *[F.struct(*names).alias(group) for group, names in FEATURE_GROUPS.items()])
+
+
+def flat_features(grouped: DataFrame) -> DataFrame:
+    """Back to one column per feature, in the fixed order."""
+    return grouped.select("doc_id", *[f"{group}.*" for group in FEATURE_GROUPS]).select("doc_id", *FEATURE_COLUMNS)
+
+
 def labelled_features(features: DataFrame, episodes: DataFrame) -> DataFrame:
     """Attach id and labels; a missing rating or vote count becomes 0. ``episodes`` has (doc_id, imdb_id, rating, votes)."""
     labels = episodes.select("doc_id", F.col("imdb_id").alias("imdbID"), F.coalesce("rating", F.lit(0.0)).alias("rating"),

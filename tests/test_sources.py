@@ -3,7 +3,6 @@ import json
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from cuesheet.plans import features
 from cuesheet.sources import corpus, lexicons, metadata, pages
@@ -127,7 +126,10 @@ def test_corpus_job_adds_each_episode_once(spark, tree, tmp_path):
 def test_single_file(spark, tree):
     path = tree / "My Show" / "Subtitles" / "S1"
     wanted = features.Resources(cluster_rounds=1)
-    assert features.single_file_features(spark, str(path / "My Show S01E02.srt"), wanted).first().line_count == 3
+    one = features.single_file_features(spark, str(path / "My Show S01E02.srt"), wanted)
+    grouped = features.grouped_features(one)
+    assert grouped.first().linguistic_features.line_count == 3
+    assert features.flat_features(grouped).columns == one.columns
     assert features.single_file_features(spark, str(path / "My Show S01E05.srt"), wanted).count() == 0
 
 
