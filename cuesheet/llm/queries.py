@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import feistel
+from cuesheet.llm import chunk_dedup, feistel, token_counts
+from cuesheet.session import scratch_path
 from cuesheet.sources.tables import read_table
 
 
+def op2_digest_cache_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Starts from an empty cache: every distinct text is encoded."""
+    return token_counts.token_counts(read_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                                     scratch_path(spark, "token-cache"))
+
+
 def op4_feistel_shards(spark: SparkSession, sf: str) -> DataFrame:
     return feistel.shard_documents(read_table(spark, sf, "documents"))
 
 
+def op5_chunk_recipes(spark: SparkSession, sf: str) -> DataFrame:
+    return chunk_dedup.exact_duplicates(read_table(spark, sf, "documents"))
+
+
 QUERIES = {
+    "op2_digest_cache_counts": op2_digest_cache_counts,
     "op4_feistel_shards": op4_feistel_shards,
+    "op5_chunk_recipes": op5_chunk_recipes,
 }
 
 ORACLES = {
     "op4_feistel_shards": feistel.shard_sql(),
+    "op5_chunk_recipes": chunk_dedup.exact_sql(),
 }
