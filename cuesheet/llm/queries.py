@@ -5,14 +5,21 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chunk_dedup, feistel, token_counts
+from cuesheet.llm import chunk_dedup, feistel, secret_scan, token_counts
 from cuesheet.session import scratch_path
 from cuesheet.sources.tables import read_table
 
 
+PIECES = "piece_bpe_32k.model"
+
+
+def op1_guess_cost_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.find_secrets(read_table(spark, sf, "documents"), secret_scan.model_words(public_tokenizers.path(PIECES)))
+
+
 def op2_digest_cache_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Starts from an empty cache: every distinct text is encoded."""
-    return token_counts.token_counts(read_table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+    return token_counts.token_counts(read_table(spark, sf, "documents"), public_tokenizers.path(PIECES),
                                      scratch_path(spark, "token-cache"))
 
 
@@ -25,6 +32,7 @@ def op5_chunk_recipes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_guess_cost_secrets": op1_guess_cost_secrets,
     "op2_digest_cache_counts": op2_digest_cache_counts,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_chunk_recipes": op5_chunk_recipes,
