@@ -119,7 +119,9 @@ def exact_duplicates(docs: DataFrame, id_bytes: int = ID_BYTES) -> DataFrame:
     cut.write.option("compression", "zstd").parquet(path)
     table = docs.sparkSession.read.schema(cut.schema).parquet(path)
     rows = materialise(verified(table, id_bytes).withColumn("_tie", F.monotonically_increasing_id()))
-    groups = rows.groupBy("recipe").agg(F.max(F.struct("doc_id", "_tie")).alias("_last"), F.count(F.lit(1)).alias("group_size"))
+    # cut off, so that the join shuffles both sides itself and the adaptive join may split a hot recipe
+    groups = materialise(rows.groupBy("recipe").agg(
+        F.max(F.struct("doc_id", "_tie")).alias("_last"), F.count(F.lit(1)).alias("group_size")))
     return rows.join(groups.hint("merge"), "recipe").select(
         "doc_id", F.col("_last.doc_id").alias("keep_id"), "group_size", (F.col("_tie") == F.col("_last._tie")).alias("kept"),
         "text_sha256")

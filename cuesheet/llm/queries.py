@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chunk_dedup, feistel, secret_scan, token_counts
+from cuesheet.llm import chunk_dedup, feistel, secret_scan, token_counts, toxicity
 from cuesheet.session import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -31,11 +31,16 @@ def op5_chunk_recipes(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(read_table(spark, sf, "documents"))
 
 
+def op8_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxic_scores(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
 QUERIES = {
     "op1_guess_cost_secrets": op1_guess_cost_secrets,
     "op2_digest_cache_counts": op2_digest_cache_counts,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_chunk_recipes": op5_chunk_recipes,
+    "op8_subword_toxicity": op8_subword_toxicity,
 }
 
 ORACLES = {
