@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chunk_dedup, feistel, secret_scan, token_counts, toxicity
+from cuesheet.llm import chunk_dedup, decontamination, feistel, near_dedup, secret_scan, token_counts, toxicity
 from cuesheet.session import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -31,16 +31,26 @@ def op5_chunk_recipes(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(read_table(spark, sf, "documents"))
 
 
+def op7_hyperminhash_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_duplicates(read_table(spark, sf, "documents"))
+
+
 def op8_subword_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxic_scores(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
 
 
+def op9_latent_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op1_guess_cost_secrets": op1_guess_cost_secrets,
     "op2_digest_cache_counts": op2_digest_cache_counts,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_chunk_recipes": op5_chunk_recipes,
+    "op7_hyperminhash_groups": op7_hyperminhash_groups,
     "op8_subword_toxicity": op8_subword_toxicity,
+    "op9_latent_leaks": op9_latent_leaks,
 }
 
 ORACLES = {

@@ -20,7 +20,7 @@ SIZES = (3, 4, 5)
 BUCKET_BITS = 20
 DIMENSIONS = 4
 #: Bound of the training sample: at most so many rows of each class, the first by a hash of the id.
-ROWS_PER_CLASS = {1: 3000, 0: 12_000}
+ROWS_PER_CLASS = {1: 2000, 0: 6000}
 SEEN = 3  # an n-gram of fewer training rows teaches nothing
 RARE = 1e-4  # share of all n-grams at which an n-gram's weight is one half
 MASS = 30.0  # weight of an n-gram that says nothing and is in every text: a short text needs more than one odd n-gram
@@ -155,7 +155,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     for ids, n in bags:
         w = weight[ids] * n
         known = rows[ids] >= SEEN
-        parts.append((ids[known].astype(np.int64), (SCALE * w / (w.sum() + MASS))[known].astype(np.float32)))
+        parts.append((ids[known], (SCALE * w / (w.sum() + MASS))[known].astype(np.float32)))
     epochs = min(60, max(1, VISITS // len(parts)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
@@ -208,13 +208,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: dict[int, int] = ROW
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("toxic"),
                 pa.array([ids.astype(np.uint32).tobytes() for ids, _ in found], pa.binary()),
-                pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary())], names=["doc_id", "toxic", "ids", "n"])
+                pa.array([n.astype(np.float16).tobytes() for _, n in found], pa.binary())], names=["doc_id", "toxic", "ids", "n"])
 
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
             .select(F.col("doc_id").cast("bigint"), "toxic", "text")
             .mapInArrow(bags, "doc_id bigint, toxic int, ids binary, n binary").collect())
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["ids"]), bytes(r["n"])))
-    return train([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["n"], np.float32)) for r in rows],
+    return train([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["n"], np.float16)) for r in rows],
                  np.array([r["toxic"] for r in rows], int))
 
 
