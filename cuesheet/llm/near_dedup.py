@@ -251,3 +251,20 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     labelled = rows.where(F.col("digest").isNotNull()).join(labels.hint("merge"), "digest").select("doc_id", "n_shingles", "component_id")
     alone = rows.where(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return labelled.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that stay, with all their columns: one of each component, one of repeated rows.
+
+    The ids that go are broadcast behind a check of their number, and joined by a shuffle beyond it.
+    """
+    gone = materialise(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    table = F.broadcast(gone) if skew.is_small(gone) else gone.hint("merge")
+    kept = docs.join(table, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    twice = materialise(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("doc_id").alias("_twice")))
+    if twice.isEmpty():
+        return kept
+    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
+    single = kept.join(twice, same, "left_anti")
+    return single.union(kept.join(twice, same, "left_semi").withColumn("_text", F.coalesce("text", F.lit("")))
+                        .dropDuplicates(["doc_id", "_text"]).drop("_text"))

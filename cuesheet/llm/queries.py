@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chunk_dedup, decontamination, feistel, near_dedup, secret_scan, token_counts, toxicity
+from cuesheet.llm import chunk_dedup, decontamination, feistel, mixing, near_dedup, secret_scan, token_counts, toxicity
 from cuesheet.session import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -43,6 +43,10 @@ def op9_latent_leaks(spark: SparkSession, sf: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
 
 
+def op10_temperature_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed_plan(read_table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_guess_cost_secrets": op1_guess_cost_secrets,
     "op2_digest_cache_counts": op2_digest_cache_counts,
@@ -51,9 +55,11 @@ QUERIES = {
     "op7_hyperminhash_groups": op7_hyperminhash_groups,
     "op8_subword_toxicity": op8_subword_toxicity,
     "op9_latent_leaks": op9_latent_leaks,
+    "op10_temperature_mixture": op10_temperature_mixture,
 }
 
 ORACLES = {
     "op4_feistel_shards": feistel.shard_sql(),
     "op5_chunk_recipes": chunk_dedup.exact_sql(),
+    "op10_temperature_mixture": mixing.plan_sql(),
 }

@@ -20,7 +20,7 @@ SIZES = (3, 4, 5)
 BUCKET_BITS = 20
 DIMENSIONS = 4
 #: Bound of the training sample: at most so many rows of each class, the first by a hash of the id.
-ROWS_PER_CLASS = {1: 2000, 0: 6000}
+ROWS_PER_CLASS = {1: 1500, 0: 4500}
 SEEN = 3  # an n-gram of fewer training rows teaches nothing
 RARE = 1e-4  # share of all n-grams at which an n-gram's weight is one half
 MASS = 30.0  # weight of an n-gram that says nothing and is in every text: a short text needs more than one odd n-gram
@@ -133,7 +133,7 @@ class Model:
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 8) -> Model:
-    """Fit vectors and softmax together by gradient steps over shuffled batches.
+    """Fit vectors and softmax together by gradient steps over shuffled batches. Takes the bags out of the list.
 
     Without rows of both classes there is nothing to tell apart: every score is then the share of toxic rows, smoothed.
     """
@@ -152,7 +152,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     bias = np.zeros(2, np.float32)
     seen_s, seen_b = np.full_like(softmax, 1e-8), np.full(2, 1e-8, np.float32)
     parts = []
-    for ids, n in bags:
+    bags.reverse()
+    while bags:  # the list is used up: the driver holds each bag once
+        ids, n = bags.pop()
         w = weight[ids] * n
         known = rows[ids] >= SEEN
         parts.append((ids[known], (SCALE * w / (w.sum() + MASS))[known].astype(np.float32)))
@@ -214,8 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: dict[int, int] = ROW
             .select(F.col("doc_id").cast("bigint"), "toxic", "text")
             .mapInArrow(bags, "doc_id bigint, toxic int, ids binary, n binary").collect())
     rows.sort(key=lambda r: (r["doc_id"], r["toxic"], bytes(r["ids"]), bytes(r["n"])))
-    return train([(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["n"], np.float16)) for r in rows],
-                 np.array([r["toxic"] for r in rows], int))
+    labels_of = np.array([r["toxic"] for r in rows], int)
+    bags_of = [(np.frombuffer(r["ids"], np.uint32), np.frombuffer(r["n"], np.float16)) for r in rows]
+    del rows
+    return train(bags_of, labels_of)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
