@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chunk_dedup, decontamination, feistel, mixing, near_dedup, secret_scan, token_counts, toxicity
+from cuesheet.llm import chunk_dedup, decontamination, feistel, mixing, near_dedup, secret_scan, surrogates, token_counts, toxicity
 from cuesheet.session import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -23,6 +23,10 @@ def op2_digest_cache_counts(spark: SparkSession, sf: str) -> DataFrame:
                                      scratch_path(spark, "token-cache"))
 
 
+def op3_personal_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return surrogates.replace_personal_data(read_table(spark, sf, "documents"))
+
+
 def op4_feistel_shards(spark: SparkSession, sf: str) -> DataFrame:
     return feistel.shard_documents(read_table(spark, sf, "documents"))
 
@@ -50,6 +54,7 @@ def op10_temperature_mixture(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "op1_guess_cost_secrets": op1_guess_cost_secrets,
     "op2_digest_cache_counts": op2_digest_cache_counts,
+    "op3_personal_surrogates": op3_personal_surrogates,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_chunk_recipes": op5_chunk_recipes,
     "op7_hyperminhash_groups": op7_hyperminhash_groups,
