@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chunk_dedup, decontamination, feistel, mixing, near_dedup, secret_scan, surrogates, token_counts, toxicity
+from cuesheet.llm import chunk_dedup, decontamination, feistel, mixing, near_dedup, secret_scan, suffix_repeats, surrogates, token_counts, toxicity
 from cuesheet.session import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -35,6 +35,10 @@ def op5_chunk_recipes(spark: SparkSession, sf: str) -> DataFrame:
     return chunk_dedup.exact_duplicates(read_table(spark, sf, "documents"))
 
 
+def op6_repeat_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(read_table(spark, sf, "documents"))
+
+
 def op7_hyperminhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(read_table(spark, sf, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op3_personal_surrogates": op3_personal_surrogates,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_chunk_recipes": op5_chunk_recipes,
+    "op6_repeat_intervals": op6_repeat_intervals,
     "op7_hyperminhash_groups": op7_hyperminhash_groups,
     "op8_subword_toxicity": op8_subword_toxicity,
     "op9_latent_leaks": op9_latent_leaks,
