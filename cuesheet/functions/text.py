@@ -7,11 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words and single punctuation marks; letters and digits of any script.
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+# White space of any script, as the inside of a character class.
+SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+# Words and single punctuation marks; letters with their marks and digits of any script.
+TOKEN = rf"[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_{SPACES}]"
 # Terms of the weighting: words of two characters or more.
-TERM = r"[\p{L}\p{N}_]{2,}"
-SENTENCE_BREAK = r"[.!?]\s+"
+TERM = r"[\p{L}\p{M}\p{N}_]{2,}"
+SENTENCE_BREAK = rf"[.!?][{SPACES}]+"
 WHITESPACE = (" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
               "\u200a\u2028\u2029\u202f\u205f\u3000")
 
@@ -40,7 +42,7 @@ def token_count(line: Column) -> Column:
 
 def sentences(line: Column) -> Column:
     """Sentences of one line: a break is ``.``, ``!`` or ``?`` followed by white space."""
-    return F.split(F.regexp_replace(line, "([.!?])\\s+", "$1\x01"), "\x01")
+    return F.split(F.regexp_replace(line, f"([.!?])[{SPACES}]+", "$1\x01"), "\x01")
 
 
 def sentence_count(line: Column) -> Column:

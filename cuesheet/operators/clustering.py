@@ -13,6 +13,8 @@ from cuesheet.operators import skew, tfidf
 from cuesheet.session import materialise
 
 ROWS_PER_SALT = 250_000
+#: Rounds go on until no label moves; this bound only stops a model that would never settle.
+MAX_ROUNDS = 300
 
 
 def _salted(points: DataFrame, rows_per_salt: int) -> tuple[DataFrame, DataFrame | None]:
@@ -35,7 +37,7 @@ def _nearest(points: DataFrame, packed: DataFrame) -> DataFrame:
     return points.join(packed, ["doc_id", "_salt"]).withColumn("cluster", F.array_min(ranked)["cluster"]).drop("centers")
 
 
-def grouped_kmeans(vectors: DataFrame, k: int = 5, rounds: int = 20, until_stable: bool = True,
+def grouped_kmeans(vectors: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS, until_stable: bool = True,
                    rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """Lloyd's rounds for every document at once: ``(doc_id, pos, cluster)``.
 
@@ -113,7 +115,7 @@ def _assign(points: DataFrame, centers: DataFrame, hot: DataFrame | None, k: int
     return scores.select("doc_id", "pos", (-best["j"]).alias("cluster"))
 
 
-def line_clusters(line_table: DataFrame, k: int = 5, rounds: int = 10, until_stable: bool = True,
+def line_clusters(line_table: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS, until_stable: bool = True,
                   rows_per_salt: int = ROWS_PER_SALT, profiles: DataFrame | None = None,
                   weights: DataFrame | None = None) -> DataFrame:
     """Lloyd's rounds on the term weights of the lines of every document with at least ``k`` lines:
@@ -134,18 +136,29 @@ def line_clusters(line_table: DataFrame, k: int = 5, rounds: int = 10, until_sta
     points = long.withColumn("_salt", F.lit(0)) if hot is None else materialise(
         skew.add_salt(long, ["doc_id", "term"], hot, ["pos"]))
     first = Window.partitionBy("doc_id").orderBy("pos")
-    labels = profiles.select("doc_id", "pos").withColumn("cluster", F.row_number().over(first) - 1).where(F.col("cluster") < k)
+    ranked = profiles.select("doc_id", "pos").withColumn("cluster", F.row_number().over(first)).where(F.col("cluster") <= k)
+    labels = ranked.withColumn("cluster", F.col("cluster") - 1)
+    finished = None
     for i in range(rounds + 1):
         centers = _centers(long.join(labels, ["doc_id", "pos"]), k)
         moved = materialise(_assign(points, centers, hot, k))
-        settled = i > 0 and until_stable and moved.join(labels, ["doc_id", "pos", "cluster"], "left_anti").isEmpty()
-        labels = moved
-        if settled:
+        if not until_stable or i == 0:
+            labels = moved
+            continue
+        # a document none of whose lines moved is done and leaves the table
+        active = materialise(moved.join(labels, ["doc_id", "pos", "cluster"], "left_anti").select("doc_id").distinct())
+        done = moved.join(active, "doc_id", "left_anti")
+        finished = done if finished is None else finished.unionByName(done)
+        if active.isEmpty():
+            labels = moved.limit(0)
             break
+        labels = materialise(moved.join(active, "doc_id", "left_semi"))
+        long, points = long.join(active, "doc_id", "left_semi"), points.join(active, "doc_id", "left_semi")
+    labels = labels if finished is None else finished.unionByName(labels)
     return profiles.select("doc_id", "pos", "copies").join(labels, ["doc_id", "pos"])
 
 
-def line_cluster_features(line_table: DataFrame, n_clusters: int = 5, rounds: int = 10, profiles: DataFrame | None = None,
+def line_cluster_features(line_table: DataFrame, n_clusters: int = 5, rounds: int = MAX_ROUNDS, profiles: DataFrame | None = None,
                           weights: DataFrame | None = None) -> DataFrame:
     """``num_clusters`` and ``dominant_cluster_ratio`` of the term weights; n and 1.0 below ``n_clusters`` lines."""
     profiles = tfidf.line_profiles(line_table) if profiles is None else profiles

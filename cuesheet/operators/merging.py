@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuesheet.operators import skew
 from cuesheet.operators.selection import drop_present, normalise_ids
 
 
@@ -52,12 +53,18 @@ def upsert_listing(metadata: DataFrame, listing: DataFrame, keys: Sequence[str],
 
 
 def lookup_ids(wanted: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Left join of wanted ids to a table with unique ids, with a ``missing`` flag instead of an error."""
+    """Left join of wanted ids to a table with unique ids, with a ``missing`` flag instead of an error.
+
+    One id may be wanted by any share of the rows: its rows are dealt out over salts.
+    """
     marked = table.withColumn("_found", F.lit(True))
-    return wanted.join(marked, key, "left").withColumn("missing", F.col("_found").isNull()).drop("_found")
+    others = [c for c in wanted.columns if c != key]
+    return skew.lookup(wanted, marked, [key], others or [key]).withColumn("missing", F.col("_found").isNull()).drop("_found")
 
 
 def missing_worklist(episodes: DataFrame) -> DataFrame:
-    """Episodes that still need subtitles: known flag and path, and not both true and filled."""
-    done = F.col("subtitles_exists") & (F.col("subtitles_full_path") != "")
-    return episodes.where(F.col("subtitles_exists").isNotNull() & F.col("subtitles_full_path").isNotNull() & ~done)
+    """Episodes that still need subtitles: the flag is known, and it is false or the path is empty.
+
+    A false flag is enough, whatever the path; a true flag without a known path is left alone.
+    """
+    return episodes.where(F.col("subtitles_exists").isNotNull() & (~F.col("subtitles_exists") | (F.col("subtitles_full_path") == "")))

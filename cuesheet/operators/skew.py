@@ -7,32 +7,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuesheet.session import materialise
+
 ROWS_PER_SALT = 1_000_000
-MAX_HOT_KEYS = 256
-MAX_SALTS = 1024
 BROADCAST_ROWS = 200_000
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], count: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame | None:
-    """The heaviest keys and the number of salts each gets, or None where no key needs salting.
+    """Every key with more than ``rows_per_salt`` rows and the number of salts it gets, or None where there is none.
 
-    ``counts`` has one row per key. At most 256 rows reach the driver, so the result can always be broadcast; a key
-    outside the 256 heaviest holds less than 1/256 of all rows and needs no salt.
+    ``counts`` has one row per key. The table stays distributed: it is broadcast behind a check of its size, and joined
+    by a shuffle beyond it.
     """
-    heavy = (
-        counts.where(F.col(count) > rows_per_salt)
-        .orderBy(F.col(count).desc(), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.least(F.ceil(F.col(count) / rows_per_salt), F.lit(MAX_SALTS)).cast("int").alias("_salts"))
-    )
-    rows = heavy.collect()
-    return counts.sparkSession.createDataFrame(rows, heavy.schema) if rows else None
+    heavy = materialise(counts.where(F.col(count) > rows_per_salt).select(
+        *keys, F.ceil(F.col(count) / rows_per_salt).cast("int").alias("_salts")))
+    return None if heavy.isEmpty() else heavy
+
+
+def _beside(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
+    return df.join(F.broadcast(hot) if is_small(hot) else hot, list(keys), "left")
 
 
 def add_salt(df: DataFrame, keys: Sequence[str], hot: DataFrame, spread: Sequence[str]) -> DataFrame:
     """Number the rows of a hot key 0..salts-1 by a hash of ``spread``; every other row gets salt 0."""
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
+        _beside(df, keys, hot)
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("int"))
         .drop("_salts")
     )
@@ -41,7 +40,7 @@ def add_salt(df: DataFrame, keys: Sequence[str], hot: DataFrame, spread: Sequenc
 def replicate(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame:
     """One copy per salt for the hot keys, one copy for the others."""
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
+        _beside(df, keys, hot)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
         .drop("_salts")
     )

@@ -17,18 +17,21 @@ from cuesheet.session import materialise
 
 
 def topic_distribution(line_table: DataFrame, n_topics: int = 5, seed: int = 42, max_iter: int = 10,
-                       vocabulary: int = 1 << 18, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+                       vocabulary: int = 1 << 22, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
     """Mean topic mixture of each document's lines.
 
     One model is fitted on the lines of all documents, so a topic means the same thing in every row. Every pass uses
-    all lines. A line without terms counts as an even mixture. The model itself, topics by vocabulary, is bounded by
-    ``vocabulary``.
+    all lines. A line without terms counts as an even mixture. No term is dropped: the model, topics by terms, is held by
+    the driver, and more terms than ``vocabulary`` are an error.
     """
-    words = line_table.select("doc_id", text.without(text.terms(F.col("line")), stop_words).alias("words"))
+    words = materialise(line_table.select("doc_id", text.without(text.terms(F.col("line")), stop_words).alias("words")))
     even = F.array_repeat(F.lit(1.0 / n_topics), n_topics)
     if words.where(F.size("words") > 0).isEmpty():
         return words.select("doc_id", even.alias("topic_distribution")).distinct()
-    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary).fit(words)
+    n_terms = words.select(F.explode("words").alias("term")).agg(F.count_distinct("term")).first()[0]
+    if n_terms > vocabulary:
+        raise ValueError(f"{n_terms} terms; the topic model holds at most {vocabulary}")
+    counts = CountVectorizer(inputCol="words", outputCol="features", vocabSize=n_terms).fit(words)
     ready = materialise(counts.transform(words).select("doc_id", "features", (F.size("words") > 0).alias("filled")))
     lda = LDA(k=n_topics, seed=seed, optimizer="online", subsamplingRate=1.0, maxIter=max_iter, featuresCol="features")
     mixtures = lda.fit(ready).transform(ready)

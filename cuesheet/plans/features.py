@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuesheet.functions import naming
 from cuesheet.functions.wordlists import INTENSITY_WORDS, STOP_WORDS
-from cuesheet.operators import clustering, lexical, lexicon, lines, merging, selection, semantic, skew, tfidf, timing, topics
+from cuesheet.operators import clustering, lexical, lexicon, lines, merging, selection, semantic, tfidf, timing, topics
 from cuesheet.session import materialise, written
 from cuesheet.sources import corpus, metadata, tables
 
@@ -24,6 +27,7 @@ FEATURE_COLUMNS = {
     "dialogue_density": "double", "duration_seconds": "double", "scene_change_density": "double",
     "topic_distribution": "array<double>", "semantic_similarity_score": "double", "coherence_score": "double",
 }
+# Names of labels and feature groups.
 LABEL_COLUMNS = {"imdbID": "string", "rating": "double", "votes": "bigint"}
 FEATURE_GROUPS = {
     "linguistic_features": ("line_count", "word_count", "avg_sentence_length", "lexical_diversity", "tfidf_keywords",
@@ -54,7 +58,7 @@ class Resources:
     top_n: int = 10
     similarity_threshold: float = 0.95
     n_clusters: int = 5
-    cluster_rounds: int = 10
+    cluster_rounds: int = clustering.MAX_ROUNDS
     threshold_seconds: float = 20
     n_topics: int = 5
     markup: bool = True
@@ -155,27 +159,41 @@ def single_file_features(spark: SparkSession, path: str, resources: Resources |
     return document_features(corpus.read_cues(files), resources)
 
 
-def corpus_features(spark: SparkSession, base: str, out: str, resources: Resources | None = None,
-                    ) -> tuple[DataFrame, DataFrame]:
+def corpus_features(spark: SparkSession, base: str, out: str, resources: Resources | None = None, encoding: str = "UTF-8",
+                    extract: Callable[[DataFrame, Resources | None], DataFrame] = document_features) -> tuple[DataFrame, DataFrame]:
     """The whole job: episodes that are marked as having subtitles and are not in the output yet get their features
-    and are appended to it. Returns the output table and the rejected files.
+    and are appended to it. Returns the output table and the rejects ``(doc_id, reason)``.
 
-    An episode's file is found by the path in its metadata: an archive, whose first member is read, or a plain file.
+    An episode's file is found by the path in its metadata, whatever scheme and host either side names: an archive,
+    whose first member is read, or a plain file. Files are listed without their content, and only those of episodes
+    still to do are opened. Rejected are files without cues, archives that cannot be read, and paths that do not exist.
     """
     episodes = selection.with_subtitles(metadata.read_season_metadata(spark, base)).where(F.col("imdb_id").isNotNull())
     done = tables.read_if_exists(spark, out, output_schema())
     todo = merging.not_yet_done(episodes.withColumnRenamed("imdb_id", "imdbID"), done, "imdbID") \
         .withColumnRenamed("imdbID", "imdb_id").select("subtitles_full_path", "imdb_id", "rating", "votes")
-    todo = todo.where(F.col("subtitles_full_path").isNotNull())
-    plain = corpus.read_files(spark, base).select("path", "content").withColumn("archive", F.col("path"))
-    packed = corpus.first_members(corpus.expand_archives(spark, base)).select("path", "content", "archive")
-    where = F.regexp_replace("archive", r"^file:/+", "/")
-    found = plain.unionByName(packed).withColumn("subtitles_full_path", where).drop("archive")
-    paths = todo.select("subtitles_full_path").distinct()
-    files = materialise(skew.lookup(found, paths, ["subtitles_full_path"], ["path"], "inner"))
+    todo = materialise(todo.where(F.col("subtitles_full_path").isNotNull()).withColumn("key", corpus.path_key(F.col("subtitles_full_path"))))
+    wanted = todo.select("key").distinct()
+    listed = materialise(corpus.list_files(spark, base).join(wanted, "key", "left_semi"))
+    # the reader takes the paths as arguments and keeps them on the driver anyway
+    paths = [re.sub(r"([\\*?{}\[\]])", r"\\\1", r["path"]) for r in listed.select(naming.decoded_path(F.col("path")).alias("path")).collect()]
+    zips = [p for p in paths if p.endswith(".zip")]
+    texts = [p for p in paths if not p.endswith(".zip")]
+    parts, unread = [], []
+    if texts:
+        parts.append(corpus.read_files(spark, texts, encoding=encoding).select("path", "content").withColumn("key", corpus.path_key(F.col("path"))))
+    if zips:
+        members = materialise(corpus.expand_archives(spark, zips, first_only=True))
+        parts.append(corpus.first_members(members, encoding).select("path", "content", corpus.path_key(F.col("archive")).alias("key")))
+        unread.append(members.where(F.col("reason").isNotNull()).select(F.col("path").alias("doc_id"), "reason"))
+    unread.append(todo.join(listed.select("key").distinct(), "key", "left_anti").select(
+        F.col("subtitles_full_path").alias("doc_id"), F.lit("file does not exist").alias("reason")).distinct())
+    empty = spark.createDataFrame([], "path string, content string, key string")
+    files = materialise(reduce(DataFrame.unionByName, parts, empty))
     cues = corpus.read_cues(files)
-    features = document_features(cues, resources)
-    labels = files.select(F.col("path").alias("doc_id"), "subtitles_full_path").join(todo, "subtitles_full_path")
+    features = extract(cues, resources)
+    labels = files.select(F.col("path").alias("doc_id"), "key").join(todo, "key")
     rows = materialise(labelled_features(features, labels))
     tables.write_features(rows, out)
-    return tables.read_if_exists(spark, out, output_schema()), corpus.rejects(files, cues)
+    rejected = reduce(DataFrame.unionByName, unread, corpus.rejects(files, cues))
+    return tables.read_if_exists(spark, out, output_schema()), rejected

@@ -21,7 +21,7 @@ SRT_TIMES = _CLOCK + r"\s*-->" + _CLOCK
 ASS_TIME = r"^\s*(\d{1,2})\s*:\s*(\d{1,2})\s*:\s*(\d{1,2})\s*[.,]\s*(\d{1,3})"
 
 
-def read_files(spark: SparkSession, base: str, glob: str = "*.{srt,ass}", encoding: str = "UTF-8") -> DataFrame:
+def read_files(spark: SparkSession, base: str | Sequence[str], glob: str = "*.{srt,ass}", encoding: str = "UTF-8") -> DataFrame:
     """One row per file below a folder: ``(path, name, show, season, episode, content)``.
 
     The show is the folder above ``Subtitles``; season and episode come from the file name, the season otherwise from
@@ -108,30 +108,44 @@ def rejects(files: DataFrame, cues: DataFrame) -> DataFrame:
     return wrong.unionByName(empty)
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+UNREADABLE = (zipfile.BadZipFile, zipfile.LargeZipFile, zlib.error, EOFError, OSError, RuntimeError, NotImplementedError)
+
+
+def _members(batches: Iterator[pd.DataFrame], most: int | None) -> Iterator[pd.DataFrame]:
+    """A table per archive, so that a task holds the members of one at a time."""
     for batch in batches:
-        rows = []
         for path, content in zip(batch["path"], batch["content"], strict=True):
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    found = [m for m in z.infolist() if not m.is_dir()]
-                    rows += [(path, i, m.filename, z.read(m), None) for i, m in enumerate(found)]
-                    if not found:
-                        rows.append((path, None, None, None, "archive is empty"))
-            except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError) as e:
-                rows.append((path, None, None, None, f"archive cannot be read: {e}"))
-        yield pd.DataFrame(rows, columns=["path", "position", "member", "content", "reason"])
+                    found = [m for m in z.infolist() if not m.is_dir()][:most]
+                    rows = [(path, i, m.filename, z.read(m), None) for i, m in enumerate(found)]
+                    rows = rows or [(path, None, None, None, "archive is empty")]
+            except UNREADABLE as e:
+                rows = [(path, None, None, None, f"archive cannot be read: {e}")]
+            yield pd.DataFrame(rows, columns=["path", "position", "member", "content", "reason"])
 
 
-def expand_archives(spark: SparkSession, base: str, glob: str = "*.zip") -> DataFrame:
-    """Members of every archive below a folder: ``(path, position, member, content, reason)``.
+def expand_archives(spark: SparkSession, base: str | Sequence[str], glob: str = "*.zip", first_only: bool = False) -> DataFrame:
+    """Members of every archive below a folder, or of the given archives: ``(path, position, member, content, reason)``.
 
     An unreadable or empty archive is one row with a reason. Members stay in the table; nothing is written beside the
-    archives, so nothing can be overwritten.
+    archives, so nothing can be overwritten. With ``first_only`` just the first member is read.
     """
     archives = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(base)
+    most = 1 if first_only else None
     return archives.select(naming.decoded_path(F.col("path")).alias("path"), "content").mapInPandas(
-        _members, "path string, position int, member string, content binary, reason string")
+        lambda batches: _members(batches, most), "path string, position int, member string, content binary, reason string")
+
+
+def list_files(spark: SparkSession, base: str, glob: str = "*.{srt,ass,zip}") -> DataFrame:
+    """``(path, key)`` of the files below a folder. No content is read: only the path is asked for."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(base)
+    return listed.select("path", path_key(naming.decoded_path(F.col("path"))).alias("key"))
+
+
+def path_key(path: Column) -> Column:
+    """A path without scheme and host: equal for a listing and for metadata that names the file in another way."""
+    return F.regexp_replace(path, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?)?/*", "/")
 
 
 def first_members(members: DataFrame, encoding: str = "UTF-8") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HREF = r'<a\b[^>]*?\bhref="([^"]*)"'
+HREF = r"""<a\b[^>]*?\bhref=["']([^"']*)["']"""
 ITEM = r'(?s)<li\b[^>]*>(.*?)</li>'
 HEADING = r"(?s)<h[1-6]\b[^>]*>(.*?)</h[1-6]>"
 NO_RESULT = "No subtitles found"
@@ -21,10 +21,12 @@ def first_link(html: Column) -> Column:
 
 
 def item_links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per list item: its position, its link and its text without tags."""
+    """One row per list item: its position, its link and its title, the heading or else all its text, without tags."""
     items = pages.select(key, F.posexplode(F.regexp_extract_all(html, F.lit(ITEM), F.lit(1))).alias("pos", "item"))
-    return items.select(key, F.col("pos").cast("bigint"), F.regexp_extract("item", HREF, 1).alias("href"),
-                        F.trim(F.regexp_replace("item", r"<[^>]*>", "")).alias("title"))
+    heading = F.nullif(F.trim(F.regexp_replace(F.regexp_extract("item", HEADING, 1), r"<[^>]*>", "")), F.lit(""))
+    link = F.replace(F.regexp_extract("item", HREF, 1), F.lit("&amp;"), F.lit("&"))
+    return items.select(key, F.col("pos").cast("bigint"), link.alias("href"),
+                        F.coalesce(heading, F.trim(F.regexp_replace("item", r"<[^>]*>", ""))).alias("title"))
 
 
 def page_summary(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -53,8 +53,10 @@ def write_log(df: DataFrame, path: str) -> None:
 
 
 def read_if_exists(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A table that may not have been written yet."""
+    """A table that may not have been written yet. Any other trouble with it is an error."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)

@@ -65,3 +65,12 @@ def test_tokens_and_sentences(spark):
 def test_split_documents_numbers_lines(spark):
     docs = spark.createDataFrame([(7, "a\n\nb")], "doc_id bigint, text string")
     assert [(r.pos, r.line) for r in lines.lines(lines.split_documents(docs)).collect()] == [(0, "a"), (2, "b")]
+
+
+def test_tokens_of_any_script(spark):
+    rows = [("Quoi ? Non", 3), ("été", 1), ("नमस्ते दुनिया", 2), ("一　二", 2), ("a b\x0bc", 3), (" ", 0)]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "line string")
+    assert [r[0] for r in df.select(text.token_count(F.col("line"))).collect()] == [n for _, n in rows]
+    breaks = spark.createDataFrame([("One. Two!　Three",)], "line string")
+    assert breaks.select(text.sentence_count(F.col("line"))).first()[0] == 3
+    assert len(breaks.select(text.sentences(F.col("line"))).first()[0]) == 3

@@ -76,6 +76,7 @@ def tree(tmp_path):
     (subs / "My Show S01E02.srt").write_text(SRT.replace("Run", "Walk"), encoding="utf-8")
     (subs / "My Show S01E05.srt").write_text("nothing", encoding="utf-8")
     (subs / "bad.zip").write_bytes(b"not a zip")
+    (subs / "bad2.zip").write_bytes(b"not a zip either")
     buffer = io.BytesIO()
     zipfile.ZipFile(buffer, "w").close()
     (subs / "empty.zip").write_bytes(buffer.getvalue())
@@ -86,6 +87,7 @@ def tree(tmp_path):
         "3": {**entry, "imdb_id": "tt3", "subtitles_full_path": str(subs / "gone.zip")},
         "4": {"imdb_id": "tt4", "subtitles_exists": False},
         "5": {**entry, "imdb_id": "tt5", "subtitles_full_path": str(subs / "My Show S01E05.srt")},
+        "6": {**entry, "imdb_id": "tt6", "subtitles_full_path": "hdfs://name:8020" + str(subs / "bad2.zip")},
     }
     (meta / "S1_metadata.json").write_text(json.dumps(season, indent=4))
     (meta / "other.json").write_text("{}")
@@ -96,7 +98,7 @@ def test_discovery_and_metadata(spark, tree):
     found = {r.name: (r.show, r.season, r.episode) for r in corpus.read_files(spark, str(tree)).collect()}
     assert found["My Show S01E02.srt"] == ("My Show", 1, 2)
     rows = {r.episode: r for r in metadata.read_season_metadata(spark, str(tree)).collect()}
-    assert set(rows) == {1, 2, 3, 4, 5} and rows[1].show == "My Show" and rows[1].season == 1
+    assert set(rows) == {1, 2, 3, 4, 5, 6} and rows[1].show == "My Show" and rows[1].season == 1
     assert rows[1].votes == 12 and rows[2].rating is None and rows[4].subtitles_exists is False
     text = metadata.to_season_json(metadata.read_season_metadata(spark, str(tree))).first().json
     assert json.loads(text)["1"]["imdb_id"] == "tt1"
@@ -105,7 +107,7 @@ def test_discovery_and_metadata(spark, tree):
 def test_archives(spark, tree):
     members = corpus.expand_archives(spark, str(tree)).collect()
     assert sorted(m.member for m in members if m.member) == ["inner.S01E01.srt", "second.srt"]
-    assert {m.path.rsplit("/", 1)[1] for m in members if m.reason} == {"bad.zip", "empty.zip"}
+    assert {m.path.rsplit("/", 1)[1] for m in members if m.reason} == {"bad.zip", "bad2.zip", "empty.zip"}
     first = corpus.first_members(corpus.expand_archives(spark, str(tree))).collect()
     assert [(f.name, f.season, f.episode) for f in first] == [("inner.S01E01.srt", 1, 1)]
 
@@ -117,6 +119,8 @@ def test_corpus_job_adds_each_episode_once(spark, tree, tmp_path):
         rows = {r.imdbID: r for r in table.collect()}
         assert set(rows) == {"tt1", "tt2"} and table.count() == 2
     assert table.columns == [*features.FEATURE_COLUMNS, *features.LABEL_COLUMNS]
+    reasons = {r.doc_id.rsplit("/", 1)[1]: r.reason for r in bad.collect()}
+    assert set(reasons) == {"gone.zip", "bad2.zip", "My Show S01E05.srt"} and "exist" in reasons["gone.zip"] and "archive" in reasons["bad2.zip"]
     one = rows["tt1"]
     assert (one.line_count, one.duration_seconds, one.rating, one.votes) == (3, 130.0, 8.1, 12) and rows["tt2"].rating == 0.0
     assert one.num_clusters == 3 and sum(one.topic_distribution) == pytest.approx(1.0)

@@ -20,8 +20,8 @@ def test_filters(spark):
     assert [r.id for r in selection.with_subtitles(df).collect()] == [1]
     names = spark.createDataFrame([("S1_metadata.json",), ("S123_metadata.json",), ("xS1_metadata.json",)], "name string")
     assert [r.name for r in selection.season_metadata_files(names).collect()] == ["S1_metadata.json"]
-    status = spark.createDataFrame([("ok",), ("NSF",), ("N/A",), ("ok",)], "s string")
-    assert {r.s: r.n for r in selection.status_counts(selection.skip_status(status, "s"), "s").collect()} == {"ok": 2}
+    status = spark.createDataFrame([("ok",), ("NSF",), ("N/A",), ("ok",), (None,)], "s string")
+    assert {r.s: r.n for r in selection.status_counts(selection.skip_status(status, "s"), "s").collect()} == {"ok": 2, None: 1}
     assert selection.substring_exists(names, "name", "123").first().found
     assert not selection.substring_exists(names, "name", "none").first().found
     shows = spark.createDataFrame([("S1_metadata.json",), ("gone",)], "show string")
@@ -106,8 +106,9 @@ def test_upsert_and_worklist(spark):
     got = {r.episode: (r.subtitles_exists, r.subtitles_full_path) for r in done.collect()}
     assert got == {1: (True, "x.S00E00.zip"), 2: (True, "y.S01E02.zip"), 3: (False, "")}
     assert [r.episode for r in merging.missing_worklist(done).collect()] == [3]
-    unknown = spark.createDataFrame([(1, 1, None, None)], episodes.schema)
-    assert merging.missing_worklist(unknown).count() == 0
+    cases = [(1, 1, None, None), (1, 2, None, ""), (1, 3, False, None), (1, 4, False, "p"), (1, 5, True, ""), (1, 6, True, "p"), (1, 7, True, None)]
+    wanted = merging.missing_worklist(spark.createDataFrame(cases, episodes.schema)).collect()
+    assert sorted(r.episode for r in wanted) == [3, 4, 5]
 
 
 def test_append_and_lookup(spark):

@@ -120,8 +120,8 @@ def test_line_clusters_equal_plain_lloyd(spark, corpus, rows_per_salt):
     assert (got["short"].num_clusters, got["short"].dominant_cluster_ratio) == (2, 1.0)
 
 
-def test_hot_keys_are_few_and_bounded(spark):
-    counts = spark.range(1000).selectExpr("id as k", "id + 1 as n")
+def test_every_hot_key_is_salted(spark):
+    counts = spark.range(1000).selectExpr("id as k", "(id + 1) * 100 as n")
     hot = skew.hot_keys(counts, ["k"], "n", rows_per_salt=10)
-    assert hot.count() == skew.MAX_HOT_KEYS and hot.agg({"_salts": "max"}).first()[0] == 100
-    assert skew.hot_keys(counts, ["k"], "n", rows_per_salt=5000) is None
+    assert hot.count() == 1000 and hot.agg({"_salts": "max"}).first()[0] == 10_000
+    assert skew.hot_keys(counts, ["k"], "n", rows_per_salt=500_000) is None

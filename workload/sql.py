@@ -8,8 +8,9 @@ def word_set(words) -> str:
 
 
 STOP, INTENSE, PRON = word_set(STOP_WORDS), word_set(INTENSITY_WORDS), word_set(PRONOUNS)
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
-TERM = r"[\p{L}\p{N}_]{2,}"
+SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+TOKEN = rf"[\p{{L}}\p{{M}}\p{{N}}_]+|[^\p{{L}}\p{{M}}\p{{N}}_{SPACES}]"
+TERM = r"[\p{L}\p{M}\p{N}_]{2,}"
 
 LINES = """lines AS (
   SELECT doc_id, pos, trim(raw) AS line FROM (

@@ -67,7 +67,7 @@ def _metadata_upsert(s, sf):
 def _missing_worklist(s, sf):
     episodes = _documents_with_labels(s, sf).select(
         "source", F.coalesce("_labelled", F.lit(False)).alias("subtitles_exists"),
-        F.when(F.coalesce("toxic", F.lit(0)) == 0, F.col("lang")).otherwise("").alias("subtitles_full_path"))
+        F.when(F.coalesce("_labelled", F.lit(False)), F.when(F.col("toxic") == 0, F.col("lang")).when(F.col("quality") == 1, F.lit(""))).alias("subtitles_full_path"))
     return merging.missing_worklist(episodes).groupBy("source").agg(F.count(F.lit(1)).alias("missing"))
 
 
@@ -199,7 +199,7 @@ ORACLES = {
     "score_lookup": """SELECT o_custkey, o_orderkey, c_mktsegment, c.c_custkey IS NULL AS missing
         FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) c ON o_custkey = c_custkey""",
     "missing_worklist": """SELECT source, count(*) AS missing FROM documents d LEFT JOIN labels l USING (doc_id)
-        WHERE NOT (l.doc_id IS NOT NULL AND coalesce(toxic, 0) = 0 AND lang <> '') GROUP BY source""",
+        WHERE l.doc_id IS NULL OR toxic = 1 AND quality = 1 GROUP BY source""",
     "expand_dict": "SELECT user_id, " + ", ".join(
         f"nullif(count(*) FILTER (event_type = '{t}'), 0) / count(*) AS share_{t}" for t in EVENT_TYPES) + " FROM events GROUP BY user_id",
     "expand_list": "SELECT vec_id, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS emb_{i}" for i in range(64)) + " FROM embeddings",

@@ -69,7 +69,7 @@ def _vocab_intersect(spark, sf):
 
 def _keyword_multihot(spark, sf):
     lists = materialise(tfidf.keyword_lists(inputs.document_lines(spark, sf)))
-    vocabulary = encoding.keyword_vocabulary(lists, "tfidf_keywords", 100)
+    vocabulary = encoding.keyword_vocabulary(lists, "tfidf_keywords", 500)
     wide = encoding.multi_hot(lists, vocabulary)
     return wide.select("doc_id", F.concat(*[F.col(f"`kw_{w}`").cast("string") for w in vocabulary]).alias("bits"))
 
@@ -144,7 +144,7 @@ def _share(words: str) -> str:
 _BASE = f"WITH {sql.LINES}, {sql.TOKENS}"
 _LEX = f"{_BASE}, {sql.WORDS}"
 _PROFILE = f"""{sql.LINES}, {sql.TOKENS},
-sentences AS (SELECT doc_id, pos, unnest(string_split(regexp_replace(line, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM lines),
+sentences AS (SELECT doc_id, pos, unnest(string_split(regexp_replace(line, '([.!?])[{sql.SPACES}]+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM lines),
 asl AS (SELECT doc_id, avg(len(regexp_extract_all(s, '{sql.TOKEN}'))) AS avg_sentence_length FROM sentences GROUP BY doc_id),
 lc AS (SELECT doc_id, count(*) AS line_count, avg(CASE WHEN contains(line, '?') THEN 1 ELSE 0 END) AS question_rate,
        avg(CASE WHEN line LIKE '%!' THEN 1 ELSE 0 END) AS exclamation_rate FROM lines GROUP BY doc_id),
@@ -174,7 +174,7 @@ ORACLES = {
     "tfidf_keywords": f"WITH {sql.KEYWORDS} SELECT doc_id, rank::INT AS rank, term FROM keywords",
     "repetition_rate": f"WITH {sql.tfidf(False)}, {sql.REPETITION} SELECT doc_id, repetition_rate AS repetition_rate FROM repetition",
     "keyword_multihot": f"""WITH {sql.KEYWORDS},
-        vocab AS (SELECT term, row_number() OVER (ORDER BY c DESC, term) AS r FROM (SELECT term, count(*) AS c FROM keywords GROUP BY term) QUALIFY r <= 100),
+        vocab AS (SELECT term, row_number() OVER (ORDER BY c DESC, term) AS r FROM (SELECT term, count(*) AS c FROM keywords GROUP BY term) QUALIFY r <= 500),
         docs AS (SELECT DISTINCT doc_id FROM lines)
         SELECT d.doc_id, string_agg(CASE WHEN k.term IS NULL THEN '0' ELSE '1' END, '' ORDER BY v.r) AS bits
         FROM docs d JOIN vocab v ON true LEFT JOIN keywords k ON k.doc_id = d.doc_id AND k.term = v.term GROUP BY d.doc_id""",
