@@ -171,14 +171,16 @@ def _block_links(blocks: DataFrame) -> DataFrame:
         v = left if alone else right
         return pa.table({"u": pa.array([nodes[left[a]] for a, _ in pairs], pa.int64()), "v": pa.array([nodes[v[b]] for _, b in pairs], pa.int64())})
 
-    return blocks.groupBy("cluster", "i", "j").applyInArrow(run, "u bigint, v bigint")
+    # comparing is more work than the few bytes tell: as many tasks as any shuffle has, not as few as the bytes would fill
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return blocks.repartition(tasks, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(run, "u bigint, v bigint")
 
 
 def cluster_links(members: DataFrame) -> DataFrame:
     """Links that span the true components of ``(node, cluster, n_shingles, set)``."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")) \
         .select("cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = materialise(skew.salted_lookup(members, sizes, ["cluster"], None, "", ["node"]).withColumn(
+    placed = materialise(skew.lookup(members, sizes, ["cluster"], ["node"]).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     inside = materialise(_block_links(placed.select(
         "cluster", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), F.lit(False).alias("cross"), "node", "set")))
@@ -190,7 +192,7 @@ def cluster_links(members: DataFrame) -> DataFrame:
         "cluster", "blocks", "block", "node", "set", "n_shingles", F.coalesce("component", "node").alias("part")))
     main = labelled.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(
         F.max_by("part", F.struct("n", "part")).alias("main"))
-    joined = labelled.join(main, "cluster")
+    joined = skew.lookup(labelled, main, ["cluster"], ["node"])
     outside = joined.where(F.col("part") != F.col("main"))
     counts = outside.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")).select(
         "cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("strips"))
