@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,7 +258,7 @@ def occurrences(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
     """Contexts of the shared anchors by bucket, and spans that are settled already.
 
     Of equal contexts in one task only that of the smallest document goes on. The others hold nothing that it does not
-    hold, so all they cover is repeated: rows of bucket -1 have their spans.
+    hold, so all they cover is repeated: rows of a negative bucket have their spans. Contexts travel compressed.
     """
     def emit(flush: _Flush) -> pa.RecordBatch:
         keys = np.concatenate([np.full(len(r[2]), r[0], np.int64) for r in flush.rows])
@@ -284,13 +285,13 @@ def occurrences(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
 
         if len(row):
             at = settled[row]
-            put(bucket=-1, n=len(row), docs=keys[at].tobytes(), ths=ths[at].tobytes(), starts=start.astype(np.int32).tobytes(), ends=end.astype(np.int32).tobytes())
+            put(bucket=-1 - int(ths[at[0]] % buckets), n=len(row), docs=keys[at].tobytes(), ths=ths[at].tobytes(), starts=start.astype(np.int32).tobytes(), ends=end.astype(np.int32).tobytes())
         bucket = (h[rest] % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         rest, bucket = rest[by], bucket[by]
         for b, at in _cut(bucket):
             i = rest[at]
-            put(bucket=b, n=len(i), rows=rows[i].tobytes(), docs=keys[i].tobytes(), ths=ths[i].tobytes(), places=places[i].astype(np.int32).tobytes(),
+            put(bucket=b, n=len(i), rows=zstandard.compress(rows[i].tobytes()), docs=keys[i].tobytes(), ths=ths[i].tobytes(), places=places[i].astype(np.int32).tobytes(),
                 before=before[i].astype(np.uint8).tobytes(), after=after[i].astype(np.uint8).tobytes())
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((n, pa.binary()) for n in list(out)[2:])]))
 
@@ -340,20 +341,15 @@ def repeated_spans(found: DataFrame) -> DataFrame:
         return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table.column(name)])
 
     def resolve(table: pa.Table) -> pa.Table:
-        rows = join(table, "rows", np.uint8).reshape(-1, CONTEXT)
+        if table.column("bucket")[0].as_py() < 0:
+            return _span_rows(join(table, "docs", np.int64), join(table, "ths", np.int64), join(table, "starts", np.int32), join(table, "ends", np.int32))
+        rows = np.concatenate([np.frombuffer(zstandard.decompress(v.as_py()), np.uint8) for v in table.column("rows")]).reshape(-1, CONTEXT)
         docs, places = join(table, "docs", np.int64), join(table, "places", np.int32).astype(np.int64)
         marked = repeated_offsets(rows, join(table, "before", np.uint8).astype(np.int64), join(table, "after", np.uint8).astype(np.int64), docs)
         row, start, end = spans_of(places, marked)
         return _span_rows(docs[row], join(table, "ths", np.int64)[row], start, end)
 
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            yield from _span_rows(join(table, "docs", np.int64), join(table, "ths", np.int64), join(table, "starts", np.int32), join(table, "ends", np.int32)).to_batches()
-
-    met = found.where(F.col("bucket") >= 0).groupBy("bucket").applyInArrow(resolve, _SPANS)
-    settled = found.where(F.col("bucket") < 0).mapInArrow(merged, _SPANS)
-    return met.union(settled)
+    return found.groupBy("bucket").applyInArrow(resolve, _SPANS)
 
 
 def _without(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -395,8 +391,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     total = originals.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = min(max(16, -(-total // BYTES_PER_BUCKET)), 1 << 20)
     shared = materialise(shared_anchors(searched, buckets))
-    found = materialise(occurrences(searched, shared, buckets))
-    spans = materialise(repeated_spans(found))
+    spans = materialise(repeated_spans(occurrences(searched, shared, buckets)))
     changed = materialise(_without(searched, spans).dropDuplicates(["key", "th"]))
     long = F.col("n_bytes") >= LENGTH
     whole = copies.select("doc_id", "n_bytes", F.when(long, F.col("n_bytes")).otherwise(0).alias("n_removed"), long.cast("bigint").alias("n_spans"),
