@@ -26,9 +26,9 @@ CYRILLIC = ["ба", "ден", "ло", "мар", "ри", "сел", "тан", "в
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
+IP = rf"(?<!\d)(?<!\d\.){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
 PHONE = r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
-NUMBER = r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\d)"
+NUMBER = r"(?<!\w)(?<!\d\.)\d(?:[ -]?\d){12,18}(?!\d)"
 NAME = "(?<![\\p{L}])(?:" + "|".join(sorted([*FEMALE, *MALE, *FEMALE_CYRILLIC, *MALE_CYRILLIC], key=len, reverse=True)) + \
     ")\\.? \\p{Lu}[\\p{L}]++(?: \\p{Lu}[\\p{Ll}]++)?"
 MENTION = "|".join([EMAIL, IP, PHONE, NUMBER, NAME])

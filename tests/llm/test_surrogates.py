@@ -21,7 +21,7 @@ TEXTS = [
     "ann.lee42@mail3.example.com again; +1-743-555-3824 again; ANN.LEE42@MAIL3.EXAMPLE.COM",
     "card 4785380592391139 and 4785 3805 9239 1139, host 8.196.197.208, inner 192.168.7.9.",
     "Mrs. Smith met Mr Smith and Frau Müller; госпожа Иванова и г-н Иванов.",
-    "no personal data, 12.5 or 1234 or a@b", None, "", "12345678901234567890123456789 x 1.2.3.4.5",
+    "no personal data, 12.5 or 1234 or a@b", None, "", "12345678901234567890123456789 x 1.2.3.4.5 3.1415926535897932384",
     "x" * 200_000 + " bob@example.org " + "@" * 1000 + "9" * 50_000,
 ]
 
