@@ -303,7 +303,7 @@ def occurrences(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                 places, h = anchors(data)
                 keep = np.isin(((h >> np.uint64(32)) << np.uint64(20)) | h % np.uint64(buckets), wanted)
                 places, h = places[keep], h[keep]
-                if len(places) and flush.add((key, th, places, h, contexts(data, places), len(data)), 8 * CONTEXT * len(places)):
+                if len(places) and flush.add((key, th, places, h, contexts(data, places), len(data)), CONTEXT * len(places)):
                     yield emit(flush)
                     flush = _Flush(TEXT_AT_ONCE)
         if flush.rows:
