@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuesheet.operators import encoding, evaluation, folds, merging, regression, selection
@@ -45,6 +46,34 @@ def training_table(metadata: DataFrame, features: DataFrame, key: str = "imdbID"
     return selection.clean_target(merging.merge_features(metadata, features, key, group))
 
 
+@dataclass
+class Scorer:
+    """What scoring needs: the model, the codes of its columns and the names learned in training."""
+
+    model: PipelineModel
+    codes: dict[str, DataFrame]
+    widening: Widening
+    numeric: list[str]
+    categorical: list[str]
+
+    def importances(self, top_n: int = 15) -> DataFrame:
+        return regression.importances(self.model, self.numeric, self.categorical, top_n)
+
+    def save(self, path: str) -> None:
+        regression.save_model(self.model, self.codes, path)
+        names = {"vocabulary": self.widening.vocabulary, "keys": self.widening.keys, "topics": self.widening.topics,
+                 "numeric": list(self.numeric), "categorical": list(self.categorical)}
+        spark = SparkSession.active()
+        spark.createDataFrame([(json.dumps(names),)], "names string").write.mode("overwrite").text(f"{path}/names")
+
+
+def load_scorer(spark: SparkSession, path: str) -> Scorer:
+    """A saved model with everything it needs, in any session."""
+    model, codes = regression.load_model(spark, path)
+    names = json.loads(spark.read.text(f"{path}/names").first()["value"])
+    return Scorer(model, codes, Widening(names["vocabulary"], names["keys"], names["topics"]), names["numeric"], names["categorical"])
+
+
 @dataclass
 class Trained:
     model: PipelineModel
@@ -53,11 +82,15 @@ class Trained:
     fold_metrics: DataFrame
     summary: DataFrame
 
+    @property
+    def scorer(self) -> Scorer:
+        return Scorer(self.model, self.prepared.codes, self.widening, self.prepared.numeric, self.prepared.categorical)
+
     def importances(self, top_n: int = 15) -> DataFrame:
-        return regression.importances(self.model, self.prepared.numeric, self.prepared.categorical, top_n)
+        return self.scorer.importances(top_n)
 
     def save(self, path: str) -> None:
-        regression.save_model(self.model, self.prepared.codes, path)
+        self.scorer.save(path)
 
 
 def train(metadata: DataFrame, features: DataFrame, key: str = "imdbID", group: str | None = "tv_show_name",
@@ -80,12 +113,13 @@ def train(metadata: DataFrame, features: DataFrame, key: str = "imdbID", group:
     return trained
 
 
-def score_episodes(trained: Trained, wanted: DataFrame, metadata: DataFrame, features: DataFrame, key: str = "imdbID") -> DataFrame:
+def score_episodes(trained: Trained | Scorer, wanted: DataFrame, metadata: DataFrame, features: DataFrame, key: str = "imdbID") -> DataFrame:
     """Score the wanted ids from their metadata and text features: ``(key, missing, prediction)``.
 
     Training and scoring share one preparation. An id that is not in the metadata is flagged and has no score.
     """
+    scorer = trained.scorer if isinstance(trained, Trained) else trained
     known = merging.lookup_ids(wanted.select(key), metadata, key)
-    rows = trained.widening.apply(merging.merge_features(known.where(~F.col("missing")).drop("missing"), features, key))
-    scored = regression.score(trained.model, rows, trained.prepared.codes, [key]).select(key, "prediction")
+    rows = scorer.widening.apply(merging.merge_features(known.where(~F.col("missing")).drop("missing"), features, key))
+    scored = regression.score(scorer.model, rows, scorer.codes, [key]).select(key, "prediction")
     return known.select(key, "missing").join(scored, key, "left")
