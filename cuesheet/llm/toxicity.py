@@ -20,7 +20,7 @@ SIZES = (3, 4, 5)
 BUCKET_BITS = 20
 DIMENSIONS = 4
 #: Bound of the training sample: at most so many rows of each class, the first by a hash of the id.
-ROWS_PER_CLASS = {1: 1500, 0: 4500}
+ROWS_PER_CLASS = {1: 1000, 0: 3000}
 SEEN = 3  # an n-gram of fewer training rows teaches nothing
 RARE = 1e-4  # share of all n-grams at which an n-gram's weight is one half
 MASS = 30.0  # weight of an n-gram that says nothing and is in every text: a short text needs more than one odd n-gram
