@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterator, Sequence
 from math import log10
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +31,8 @@ CONTEXT_WORDS = ("pass", "pwd", "secret", "token", "key", "credential", "auth",
 CONTEXT = re.compile(
     r"""(?<![^\W\d_])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|(?:access|private|client|secret|auth)[_-](?:key|token|secret)
     |credentials?|authorization|bearer|login|pin|kennwort|passwort|contrase(?:ñ|n)a|clave|mot\x20de\x20passe)
-    ["']?\s{0,8}(?:[:=]|=>|\b(?:is|was|ist|es|est)\b)\s{0,8}["'`]?([^\s"'`,;<>(){}\[\]|]{4,})""", re.I | re.X)
+    ["']?\s*(?:=>|[:=]|\b(?:is|was|ist|es|est)\b)\s*
+    (?:(?P<quote>["'`])(?P<quoted>(?:\\.|(?!(?P=quote))[^\\\r\n]){4,})(?P=quote)(?!\w)|["'`]?(?P<bare>[^\s"'`,;<>(){}\[\]|]{4,}))""", re.I | re.X)
 
 MIN_LOG_GUESSES = 9.0
 LONGEST_WORD = 32
@@ -40,7 +42,7 @@ KEY_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 LEET = str.maketrans("430157$@!", "aeoistsai")
 DATE = re.compile(
     r"(?:19|20)\d\d([-./_]?)(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([-./_]?)(?:0?[1-9]|1[0-2])\2(?:(?:19|20)?\d\d)|(?:19|20)\d\d")
-REPEAT = re.compile(r"(.{1,8}?)\1+", re.S)
+DATE_LEAST, DATE_MOST = 4, 10
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -79,6 +81,51 @@ def character_cost(c: str) -> float:
     return log10(33) if c.isascii() else 2.0
 
 
+def repeat_runs(text: str, longest: int) -> list[tuple[int, int, int]]:
+    """``(start, end, size)`` of the widest stretches that repeat with a period of ``size``, at least twice.
+
+    Such a stretch holds a multiple of the period that agrees with the next one, so only those are looked at. Periods
+    beyond the longest word that are multiples of a shorter one of the same stretch are left out: their unit is a repeat.
+    """
+    n, runs = len(text), []
+    for size in range(1, n // 2 + 1):
+        at = 0
+        while at + size < n:
+            if text[at] != text[at + size]:
+                at += size
+                continue
+            known = next((e for s, e, p in runs if size > longest and size % p == 0 and s <= at and at + size + p <= e), None)
+            if known is not None:
+                at += (max(known - size - at, 1) + size - 1) // size * size
+                continue
+            start, end = at, at + size
+            while start and text[start - 1] == text[start - 1 + size]:
+                start -= 1
+            while end < n and text[end] == text[end - size]:
+                end += 1
+            if end - start >= 2 * size:
+                runs.append((start, end, size))
+            at += (max(end - size - at, 1) + size - 1) // size * size
+    return runs
+
+
+def walks(text: str) -> tuple[list[int], np.ndarray]:
+    """Where the keyboard walk that ends before each place begins, and how often the direction changed up to each step."""
+    lower = [c.lower() for c in text]
+    since, changes, last = [0] * (len(text) + 1), np.zeros(max(len(text), 1), np.int64), None
+    for j in range(1, len(text) + 1):
+        since[j] = j - 1
+        if j > 1 and lower[j - 1] in NEAR.get(lower[j - 2], ()):
+            a, b = lower[j - 2], lower[j - 1]
+            step = ord(b) - ord(a) if a.isdigit() else KEY_ROWS_AT[b] - KEY_ROWS_AT[a]
+            since[j] = since[j - 1]
+            changes[j - 2] = (changes[j - 3] if j > 2 else 0) + (step != last)
+            last = step
+        elif j > 1:
+            changes[j - 2], last = changes[j - 3] if j > 2 else 0, None
+    return since, changes
+
+
 class GuessCost:
     """Logarithm (base 10) of the guesses that the cheapest segmentation of a value needs."""
 
@@ -97,41 +144,77 @@ class GuessCost:
         case = 0.0 if not capitals else log10(2) if capitals in (1, len(text)) and (text[0].isupper() or capitals > 1) else capitals * log10(2) + 0.5
         return log10(rank + 1) + swapped * log10(2) + case
 
+    def repeat(self, unit: str) -> float | None:
+        """Cost of the unit of a repeat; None where a shorter unit is never dearer."""
+        word = self.word(unit)
+        if word is None and (unit + unit).find(unit, 1) < len(unit):
+            return None
+        own = sum(map(character_cost, unit))
+        return own if word is None else min(word, own)
+
     def spans(self, text: str) -> Iterator[tuple[int, int, float]]:
         """Segments other than single brute-force characters: ``(start, end, cost)``."""
+        yield from self._plain_spans(text)
+        for start, end, size in repeat_runs(text, self.longest):
+            for i in range(start, end - 2 * size + 1):
+                if (unit := self.repeat(text[i:i + size])) is not None:
+                    for times in range(2 if size > 1 else 3, (end - i) // size + 1):
+                        yield i, i + times * size, unit + log10(times)
+        since, changes = walks(text)
+        for j in range(len(text) + 1):
+            for i in range(since[j], j - 2):
+                yield i, j, float(self.walk(j - i, 1 + changes[j - 2] - changes[i]))
+
+    @staticmethod
+    def walk(length: np.ndarray | int, turns: np.ndarray | int) -> np.ndarray | float:
+        return log10(len(NEAR)) + turns * np.log10(DEGREE * length / turns)
+
+    def _plain_spans(self, text: str) -> Iterator[tuple[int, int, float]]:
+        """Words and dates."""
         for i in range(len(text)):
             for j in range(i + 3, min(len(text), i + self.longest) + 1):
                 cost = self.word(text[i:j])
                 if cost is not None:
                     yield i, j, cost
         for i in range(len(text)):
-            if text[i].isdigit() and (m := DATE.match(text, i)):
-                digits = sum(c.isdigit() for c in m[0])
-                yield i, m.end(), (2.1 if digits == 4 else log10(365 * 100)) + (0.6 if digits < len(m[0]) else 0.0)
-        for m in REPEAT.finditer(text):
-            unit, times = m[1], len(m[0]) // len(m[1])
-            word = self.word(unit)
-            own = sum(map(character_cost, unit))
-            yield m.start(), m.end(), (own if word is None else min(word, own)) + log10(times)
-        i, lower = 0, text.lower()
-        while i < len(lower):
-            j = i + 1
-            while j < len(lower) and lower[j] in NEAR.get(lower[j - 1], ()):
-                j += 1
-            if j - i >= 3:
-                steps = [ord(b) - ord(a) if a.isdigit() else KEY_ROWS_AT[b] - KEY_ROWS_AT[a] for a, b in zip(lower[i:j - 1], lower[i + 1:j], strict=True)]
-                turns = 1 + sum(x != y for x, y in zip(steps[:-1], steps[1:], strict=True))
-                yield i, j, log10(len(NEAR)) + turns * log10(DEGREE * (j - i) / turns)
-            i = j if j - i >= 3 else i + 1
+            if text[i].isdigit():
+                for j in range(i + DATE_LEAST, min(len(text), i + DATE_MOST) + 1):
+                    if DATE.fullmatch(text, i, j):
+                        digits = sum(c.isdigit() for c in text[i:j])
+                        yield i, j, (2.1 if digits == 4 else log10(365 * 100)) + (0.6 if digits < j - i else 0.0)
 
     def segments(self, text: str) -> tuple[float, list[tuple[int, int]]]:
-        """Least cost and the segmentation that has it; each segment after the first doubles the guesses."""
+        """Least cost and the segmentation that has it; each segment after the first doubles the guesses.
+
+        Repeats are not listed one by one. Those of one unit that end at the same place differ in their start only, and the
+        advantage of a later start, fewer times, shrinks as the end moves on: a start that an earlier one has matched is dropped.
+        """
         ending: list[list[tuple[int, float]]] = [[] for _ in range(len(text) + 1)]
-        for i, j, cost in self.spans(text):
+        for i, j, cost in self._plain_spans(text):
             ending[j].append((i, cost + log10(2)))
+        opening: dict[int, list[tuple[int, int, int, dict]]] = {}
+        for start, end, size in repeat_runs(text, self.longest):
+            opening.setdefault(start + 2 * size, []).append((start, end, size, {}))
+        running: list[tuple[int, int, int, dict]] = []
+        since, changes = walks(text)
         best, back = [0.0], [0]
         for j in range(1, len(text) + 1):
             options = [(best[j - 1] + character_cost(text[j - 1]), j - 1), *((best[i] + cost, i) for i, cost in ending[j])]
+            if j - since[j] >= 3:
+                i = np.arange(since[j], j - 2)
+                prices = np.array(best[since[j]:j - 2]) + self.walk(j - i, 1 + changes[j - 2] - changes[i])
+                options.append((float(prices.min()) + log10(2), int(i[prices.argmin()])))
+            running = [r for r in running if r[1] >= j] + opening.get(j, [])
+            for start, _, size, lanes in running:
+                starts, unit = lanes.setdefault(j % size, ([], self.repeat(text[j - size:j])))
+                least = 2 if size > 1 else 3
+                if unit is None or j - least * size < start:
+                    continue
+                starts.append(j - least * size)
+                prices = [best[i] + log10((j - i) // size) for i in starts]
+                at = prices.index(min(prices))
+                del starts[at + 1:]
+                options.append((prices[at] + unit + log10(2), starts[at]))
             cost, i = min(options)
             best.append(cost)
             back.append(i)
@@ -161,15 +244,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def priced_values(text: str, cost: GuessCost) -> list[tuple[int, int, float]]:
-    """Values in a credential context with the logarithm of their guesses; closing punctuation is not part of a value."""
+    """Values in a credential context with the logarithm of their guesses.
+
+    A quoted value reaches to its closing quote in the line. Without one it ends at white space or at what separates values
+    in lists, calls and markup, and closing punctuation is not part of it.
+    """
     folded = text.lower()
     if not any(w in folded for w in CONTEXT_WORDS):
         return []
     out = []
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?")
+        part = "bare" if m["quoted"] is None else "quoted"
+        value = m[part].rstrip(".:!?") if part == "bare" else m[part]
         if len(value) >= 4:
-            out.append((m.start(1), m.start(1) + len(value), cost(value)))
+            out.append((m.start(part), m.start(part) + len(value), cost(value)))
     return out
 
 

@@ -79,3 +79,52 @@ def test_rows(spark):
 
 def test_no_rows(spark):
     assert S.find_secrets(spark.createDataFrame([], SCHEMA), RANKS).count() == 0
+
+
+def listed_segments(text):
+    """Every segment by its definition, without the code that looks for them."""
+    near = {k: {b for b in S.KEY_ROWS_AT if b in S.NEAR[k]} for k in S.NEAR}
+    for i in range(len(text)):
+        for j in range(i + 2, len(text) + 1):
+            part = text[i:j]
+            if len(part) >= 3 and (word := COST.word(part)) is not None:
+                yield i, j, word
+            if S.DATE.fullmatch(part):
+                digits = sum(c.isdigit() for c in part)
+                yield i, j, (2.1 if digits == 4 else S.log10(36500)) + (0.6 if digits < len(part) else 0.0)
+            for size in range(1, len(part) // 2 + 1):
+                if len(part) >= 3 and len(part) % size == 0 and part == part[:size] * (len(part) // size):
+                    own = sum(map(S.character_cost, part[:size]))
+                    yield i, j, min(own, COST.word(part[:size]) or own) + S.log10(len(part) // size)
+            low = part.lower()
+            if len(part) >= 3 and all(b in near.get(a, ()) for a, b in zip(low[:-1], low[1:], strict=True)):
+                at = S.KEY_ROWS_AT
+                steps = [ord(b) - ord(a) if a.isdigit() else at[b] - at[a] for a, b in zip(low[:-1], low[1:], strict=True)]
+                turns = 1 + sum(x != y for x, y in zip(steps[:-1], steps[1:], strict=True))
+                yield i, j, S.log10(len(S.NEAR)) + turns * S.log10(S.DEGREE * len(part) / turns)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["zxcvbn", "monkey", "asdfgh", "hello", "qwq", "aaa", "ab", "abab", "the", "haha", "xK9", "1999", "12", "01-02-99", "correct", "İ", "!"]),
+                min_size=1, max_size=5).map("".join))
+def test_no_listed_segmentation_is_cheaper(text):
+    best = [0.0]
+    segments = list(listed_segments(text))
+    for j in range(1, len(text) + 1):
+        best.append(min([best[j - 1] + S.character_cost(text[j - 1]), *(best[i] + c + S.log10(2) for i, e, c in segments if e == j)]))
+    assert COST(text) == pytest.approx(best[-1])
+
+
+@pytest.mark.parametrize("value", ["zxcvbnmonkey", "asdfghjhello", "x7Kq9ZzLw0x7Kq9ZzLw0"[:9] + "aaaaaaaaaaa"])
+def test_parts_of_walks_and_repeats_count(value):
+    assert COST(value) < (S.MIN_LOG_GUESSES if value.isalpha() else COST(value[:9]) + 3)
+
+
+def test_long_values_end():
+    assert COST("a" * 50_000) < 8 and COST("ab1" * 10_000) < 10 and COST("0123456789abcdef" * 1000) < 25 and COST("qw" * 5000) < 10
+
+
+def test_quoted_values_are_whole():
+    texts = ['password: "xK9(vT;q2 mZp,7w"', "pin =" + " " * 20 + "xK9#vTq2!mZp", "secret: 'it;s' x", 'token: "xK9#vTq2!mZp and no end']
+    found = [[text[a:b] for a, b, _ in S.priced_values(text, COST)] for text in texts]
+    assert found == [["xK9(vT;q2 mZp,7w"], ["xK9#vTq2!mZp"], ["it;s"], ["xK9#vTq2!mZp"]]
