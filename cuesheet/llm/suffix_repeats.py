@@ -7,6 +7,9 @@ of neighbours builds the tree of prefix intervals, and in each interval the prec
 to the left in the same way and which differ. An interval and a left extension that together reach 50 bytes are a repeat,
 reported with all its occurrences. Exact copies of a text are settled before that, and copies of the same surroundings
 inside a task, so that a passage which a third of all documents share reaches the sort once per task.
+
+An anchor that very many documents hold is not gathered: each of its 50-byte strings is settled inside the task where a
+smaller document there has it too, and what is left meets by a digest of the string, which spreads it over all tasks.
 """
 
 from __future__ import annotations
@@ -33,6 +36,9 @@ SLICE = 1 << 20
 TEXT_AT_ONCE = 1 << 22
 BYTES_PER_BUCKET = 1 << 25
 NO_ID = -(1 << 63)
+ANCHOR_ROWS = 1 << 12  # documents from which an anchor's strings are dealt out one by one
+BYTES_PER_ANCHOR_ROW = 23  # as a power of two: the bound grows with the corpus, so that at most about 2^20 anchors are over it
+WINDOW_BUCKETS = 4  # for each bucket of anchors
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UP = np.concatenate([[np.uint64(1)], np.cumprod(np.full(SLICE + 2 * LENGTH, _BASE, np.uint64))])
 _DOWN = np.concatenate([[np.uint64(1)], np.cumprod(np.full(SLICE + 2 * LENGTH, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))])
@@ -196,25 +202,61 @@ def _cut(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
         yield int(bucket[a]), slice(a, b)
 
 
-def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """``(key, th, bucket, low)``: the anchors of each text that another document has too, by 32 bits within a bucket.
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table.column(name)])
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
 
-    Rarely a hash is shared by chance; that only adds an anchor to look at.
+
+def shared_anchors(texts: DataFrame, buckets: int, hot_rows: int = ANCHOR_ROWS) -> DataFrame:
+    """``(key, th, bucket, low, hot)``: the anchors of each text that another document has too, by 32 bits within a bucket.
+
+    Where documents of one flush share an anchor, they are listed there and then, and only the least and the largest of
+    them go to the anchor's bucket, so no anchor sends more than that per flush. Rows with ``hot`` list the anchors that
+    ``hot_rows`` texts or more hold. Rarely a hash is shared by chance; that only adds an anchor to look at.
     """
+    names = ("low", "owner", "keys", "ths", "at", "many", "n")
+
     def emit(flush: _Flush) -> pa.RecordBatch:
         keys = np.array([r[0] for r in flush.rows], np.int64)
         ths = np.array([r[1] for r in flush.rows], np.int64)
         h = np.concatenate([r[2] for r in flush.rows])
         owner = np.repeat(np.arange(len(keys), dtype=np.uint32), [len(r[2]) for r in flush.rows])
+        order = np.lexsort((keys[owner], h))
+        h, owner = h[order], owner[order]
+        first = _heads(h)
+        last = np.append(first[1:], len(h)) - 1
+        several = keys[owner[first]] < keys[owner[last]]
+        listed = np.repeat(several, last - first + 1)
+        listed[first], listed[last] = False, False
+        size = np.zeros(len(h), np.uint32)
+        size[first] = np.where(several, np.maximum(last - first - 1, 0), 0)  # texts of the anchor that are listed here
         bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        out = {"bucket": [], "low": [], "owner": [], "keys": [], "ths": []}
-        for b, at in _cut(bucket[order]):
-            used, local = np.unique(owner[order[at]], return_inverse=True)
-            for name, value in (("bucket", b), ("low", (h[order[at]] >> np.uint64(32)).astype(np.uint32).tobytes()), ("owner", local.astype(np.uint32).tobytes()),
-                                ("keys", keys[used].tobytes()), ("ths", ths[used].tobytes())):
-                out[name].append(value)
-        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in ("low", "owner", "keys", "ths"))]))
+        low = (h >> np.uint64(32)).astype(np.uint32)
+        out = {name: [] for name in ("bucket", *names)}
+
+        def put(**values) -> None:
+            for name, column in out.items():
+                column.append(values.get(name, b""))
+
+        gone = np.flatnonzero(listed)
+        gone = gone[np.lexsort((bucket[gone], owner[gone]))]
+        if len(gone):
+            used, local = np.unique(owner[gone], return_inverse=True)
+            put(bucket=-1 - int(ths[used[0]] % buckets), low=low[gone].tobytes(), owner=local.astype(np.uint32).tobytes(), keys=keys[used].tobytes(),
+                ths=ths[used].tobytes(), at=bucket[gone].astype(np.uint32).tobytes())
+        rest = np.flatnonzero(~listed)
+        rest = rest[np.argsort(bucket[rest], kind="stable")]
+        for b, part in _cut(bucket[rest]):
+            i = rest[part]
+            used, local = np.unique(owner[i], return_inverse=True)
+            many = i[size[i] > 0]
+            put(bucket=b, low=low[i].tobytes(), owner=local.astype(np.uint32).tobytes(), keys=keys[used].tobytes(), ths=ths[used].tobytes(),
+                many=low[many].tobytes(), n=size[many].tobytes())
+        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), *((n, pa.binary()) for n in names)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = _Flush(TEXT_AT_ONCE)
@@ -228,38 +270,83 @@ def shared_anchors(texts: DataFrame, buckets: int) -> DataFrame:
             yield emit(flush)
 
     def common(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows])
-        sizes = [len(r["keys"]) // 8 for r in rows]
-        keys = np.concatenate([np.frombuffer(r["keys"], np.int64) for r in rows])
-        ths = np.concatenate([np.frombuffer(r["ths"], np.int64) for r in rows])
-        owner = np.concatenate([np.frombuffer(r["owner"], np.uint32).astype(np.int64) + start for r, start in zip(rows, np.cumsum([0, *sizes[:-1]]).tolist(), strict=True)])
-        order = np.argsort(low, kind="stable")
-        low, owner = low[order], owner[order]
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        several = np.minimum.reduceat(keys[owner], first) < np.maximum.reduceat(keys[owner], first)
-        keep = np.repeat(several, np.diff(np.append(first, len(low))))
-        low, owner = low[keep], owner[keep]
-        order = np.argsort(owner, kind="stable")
-        low, owner = low[order], owner[order]
-        parts = list(_cut(owner))
+        bucket = table.column("bucket")[0].as_py()
+        low, keys, ths = _joined(table, "low", np.uint32), _joined(table, "keys", np.int64), _joined(table, "ths", np.int64)
+        sizes = [v.as_buffer().size // 8 for v in table.column("keys")]
+        starts = np.repeat(np.cumsum([0, *sizes[:-1]]), [v.as_buffer().size // 4 for v in table.column("owner")])
+        owner = _joined(table, "owner", np.uint32).astype(np.int64) + starts
+        if bucket < 0:
+            at, hot = _joined(table, "at", np.uint32).astype(np.int64), np.empty(0, np.uint32)
+        else:
+            order = np.lexsort((keys[owner], low))
+            low, owner = low[order], owner[order]
+            first = _heads(low)
+            last = np.append(first[1:], len(low)) - 1
+            count = last - first + 1
+            np.add.at(count, np.searchsorted(low[first], _joined(table, "many", np.uint32)), _joined(table, "n", np.uint32).astype(np.int64))
+            several = keys[owner[first]] < keys[owner[last]]
+            hot = low[first][several & (count >= hot_rows)]
+            keep = np.repeat(several, last - first + 1)
+            low, owner = low[keep], owner[keep]
+            at = np.full(len(low), bucket, np.int64)
+        order = np.lexsort((at, owner))
+        low, owner, at = low[order], owner[order], at[order]
+        parts = [part for _, part in _cut(owner * buckets + at)]
+        who, where = [int(owner[p.start]) for p in parts], [int(at[p.start]) for p in parts]
+        more = [hot.tobytes()] if len(hot) else []
         return pa.table({
-            "key": pa.array([int(keys[o]) for o, _ in parts], pa.int64()), "th": pa.array([int(ths[o]) for o, _ in parts], pa.int64()),
-            "bucket": pa.array([rows[0]["bucket"]] * len(parts), pa.int64()), "low": pa.array([low[at].tobytes() for _, at in parts], pa.binary())})
+            "key": pa.array([*(int(keys[o]) for o in who), *(NO_ID for _ in more)], pa.int64()), "th": pa.array([*(int(ths[o]) for o in who), *(0 for _ in more)], pa.int64()),
+            "bucket": pa.array([*where, *(bucket for _ in more)], pa.int64()), "low": pa.array([*(low[p].tobytes() for p in parts), *more], pa.binary()),
+            "hot": pa.array([False] * len(parts) + [True] * len(more), pa.bool_())})
+
+    found = texts.select("key", "th", "text").mapInArrow(run, "bucket bigint, " + ", ".join(f"{n} binary" for n in names))
+    return found.groupBy("bucket").applyInArrow(common, "key bigint, th bigint, bucket bigint, low binary, hot boolean")
 
-    found = texts.select("key", "th", "text").mapInArrow(run, "bucket bigint, low binary, owner binary, keys binary, ths binary")
-    return found.groupBy("bucket").applyInArrow(common, "key bigint, th bigint, bucket bigint, low binary")
 
+def anchor_codes(low: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    return (low.astype(np.uint64) << np.uint64(20)) | np.asarray(bucket, np.uint64)
 
-_OCCURRENCES = "bucket bigint, n bigint, rows binary, docs binary, ths binary, places binary, before binary, after binary, starts binary, ends binary"
 
+def hot_anchors(shared: DataFrame) -> np.ndarray:
+    """Codes of the anchors over the bound, in order; their number is bounded by the size of the corpus over the bound."""
+    rows = shared.where("hot").select("bucket", "low").collect()
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *(anchor_codes(np.frombuffer(r["low"], np.uint32), r["bucket"]) for r in rows)]))
 
-def occurrences(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
+
+def unsettled_windows(rows: np.ndarray, before: np.ndarray, after: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, bytes]]]:
+    """Which offsets of each context hold a string that a smaller document of the table has, and the strings left over.
+
+    Those come as ``(members, offset of each, digests)``, one entry per offset.
+    """
+    found, left = np.zeros((len(rows), OFFSETS + 1), bool), []
+    for offset in range(OFFSETS + 1):
+        fits = np.flatnonzero((before >= offset) & (after >= LENGTH - offset))
+        window = np.ascontiguousarray(rows[fits, OFFSETS - offset:OFFSETS - offset + LENGTH])
+        wide = np.zeros((len(fits), -(-LENGTH // 8) * 8), np.uint8)
+        wide[:, :LENGTH] = window
+        order = np.lexsort([docs[fits], *wide.view(np.uint64).T])
+        first = np.concatenate([[True], (wide[order][1:] != wide[order][:-1]).any(1)])[:len(order)]
+        group = np.cumsum(first) - 1
+        late = docs[fits][order] > docs[fits][order][first][group] if len(order) else np.empty(0, bool)
+        found[fits[order][late], offset] = True
+        code = np.array([hashlib.blake2b(w.tobytes(), digest_size=16).digest() for w in window[order][first]], "S16") if len(order) else np.empty(0, "S16")
+        digests = np.frombuffer(code.tobytes(), np.uint64).reshape(-1, 2)[group[~late]]
+        left.append((fits[order][~late], np.full(int((~late).sum()), offset), digests))
+    return found, left
+
+
+_OCCURRENCES = "bucket bigint, n bigint, rows binary, docs binary, ths binary, places binary, before binary, after binary, starts binary, ends binary, digests binary"
+
+
+def occurrences(texts: DataFrame, shared: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Contexts of the shared anchors by bucket, and spans that are settled already.
 
     Of equal contexts in one task only that of the smallest document goes on. The others hold nothing that it does not
-    hold, so all they cover is repeated: rows of a negative bucket have their spans. Contexts travel compressed.
+    hold, so all they cover is repeated: rows of a negative bucket have their spans. Contexts travel compressed. Those of
+    ``hot`` anchors do not travel: their strings go on by digest, in buckets beyond ``buckets``.
     """
+    codes = texts.sparkSession.sparkContext.broadcast(hot)
+
     def emit(flush: _Flush) -> pa.RecordBatch:
         keys = np.concatenate([np.full(len(r[2]), r[0], np.int64) for r in flush.rows])
         ths = np.concatenate([np.full(len(r[2]), r[1], np.int64) for r in flush.rows])
@@ -277,15 +364,20 @@ def occurrences(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
         rest = order[~equal | (keys[order] == smallest)]
         windows = (np.arange(OFFSETS + 1)[None, :] <= before[settled][:, None]) & (LENGTH - np.arange(OFFSETS + 1)[None, :] <= after[settled][:, None])
         row, start, end = spans_of(places[settled], windows)
-        out = {name: [] for name in ("bucket", "n", "rows", "docs", "ths", "places", "before", "after", "starts", "ends")}
+        at = settled[row]
+        is_hot = np.isin(anchor_codes(h[rest] >> np.uint64(32), h[rest] % np.uint64(buckets)), codes.value)
+        dealt, rest = rest[is_hot], rest[~is_hot]
+        marked, left = unsettled_windows(rows[dealt], before[dealt], after[dealt], keys[dealt]) if len(dealt) else (np.zeros((0, OFFSETS + 1), bool), [])
+        row, hot_start, hot_end = spans_of(places[dealt], marked)
+        at, start, end = np.concatenate([at, dealt[row]]), np.concatenate([start, hot_start]), np.concatenate([end, hot_end])
+        out = {name: [] for name in ("bucket", "n", "rows", "docs", "ths", "places", "before", "after", "starts", "ends", "digests")}
 
         def put(**values) -> None:
             for name, column in out.items():
                 column.append(values.get(name, b""))
 
-        if len(row):
-            at = settled[row]
-            put(bucket=-1 - int(ths[at[0]] % buckets), n=len(row), docs=keys[at].tobytes(), ths=ths[at].tobytes(), starts=start.astype(np.int32).tobytes(), ends=end.astype(np.int32).tobytes())
+        if len(at):
+            put(bucket=-1 - int(ths[at[0]] % buckets), n=len(at), docs=keys[at].tobytes(), ths=ths[at].tobytes(), starts=start.astype(np.int32).tobytes(), ends=end.astype(np.int32).tobytes())
         bucket = (h[rest] % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         rest, bucket = rest[by], bucket[by]
@@ -293,23 +385,35 @@ def occurrences(texts: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
             i = rest[at]
             put(bucket=b, n=len(i), rows=zstandard.compress(rows[i].tobytes()), docs=keys[i].tobytes(), ths=ths[i].tobytes(), places=places[i].astype(np.int32).tobytes(),
                 before=before[i].astype(np.uint8).tobytes(), after=after[i].astype(np.uint8).tobytes())
+        if left:
+            member = dealt[np.concatenate([m for m, *_ in left])]
+            start = places[member] - np.concatenate([o for _, o, _ in left])
+            digests = np.concatenate([d for *_, d in left])
+            bucket = buckets + (digests[:, 0] % np.uint64(buckets * WINDOW_BUCKETS)).astype(np.int64)
+            by = np.lexsort((start, ths[member], bucket))
+            for b, part in _cut(bucket[by]):
+                i = by[part]
+                put(bucket=b, n=len(i), docs=zstandard.compress(keys[member[i]].tobytes()), ths=zstandard.compress(ths[member[i]].tobytes()),
+                    starts=start[i].astype(np.int32).tobytes(), digests=digests[i].tobytes())
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("n", pa.int64()), *((n, pa.binary()) for n in list(out)[2:])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flush = _Flush(TEXT_AT_ONCE)
         for batch in batches:
             for key, th, data, i in _texts(batch):
-                wanted = np.concatenate([(np.frombuffer(s["low"], np.uint32).astype(np.uint64) << np.uint64(20)) | np.uint64(s["bucket"]) for s in batch.column("shared")[i].as_py()])
+                wanted = np.concatenate([anchor_codes(np.frombuffer(s["low"], np.uint32), s["bucket"]) for s in batch.column("shared")[i].as_py()])
                 places, h = anchors(data)
-                keep = np.isin(((h >> np.uint64(32)) << np.uint64(20)) | h % np.uint64(buckets), wanted)
+                keep = np.isin(anchor_codes(h >> np.uint64(32), h % np.uint64(buckets)), wanted)
                 places, h = places[keep], h[keep]
-                if len(places) and flush.add((key, th, places, h, contexts(data, places), len(data)), CONTEXT * len(places)):
-                    yield emit(flush)
-                    flush = _Flush(TEXT_AT_ONCE)
+                for a in range(0, len(places), TEXT_AT_ONCE // CONTEXT):
+                    part = slice(a, a + TEXT_AT_ONCE // CONTEXT)
+                    if flush.add((key, th, places[part], h[part], contexts(data, places[part]), len(data)), CONTEXT * len(places[part])):
+                        yield emit(flush)
+                        flush = _Flush(TEXT_AT_ONCE)
         if flush.rows:
             yield emit(flush)
 
-    gathered = shared.groupBy("key", "th").agg(F.collect_list(F.struct("bucket", "low")).alias("shared"))
+    gathered = shared.where("not hot").groupBy("key", "th").agg(F.collect_list(F.struct("bucket", "low")).alias("shared"))
     return texts.join(gathered.hint("merge"), ["key", "th"]).select("key", "th", "text", "shared").mapInArrow(run, _OCCURRENCES)
 
 
@@ -337,17 +441,21 @@ _SPANS = "key bigint, th bigint, starts binary, ends binary"
 
 def repeated_spans(found: DataFrame) -> DataFrame:
     """``(key, th, starts, ends)`` of what a smaller document holds too; a text may have several rows."""
-    def join(table: pa.Table, name: str, kind) -> np.ndarray:
-        return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in table.column(name)])
-
     def resolve(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
-            return _span_rows(join(table, "docs", np.int64), join(table, "ths", np.int64), join(table, "starts", np.int32), join(table, "ends", np.int32))
+            return _span_rows(_joined(table, "docs", np.int64), _joined(table, "ths", np.int64), _joined(table, "starts", np.int32), _joined(table, "ends", np.int32))
+        if table.column("digests")[0].as_buffer().size:
+            docs, ths = (np.concatenate([np.frombuffer(zstandard.decompress(v.as_py()), np.int64) for v in table.column(n)]) for n in ("docs", "ths"))
+            digests, starts = _joined(table, "digests", np.uint64).reshape(-1, 2), _joined(table, "starts", np.int32)
+            order = np.lexsort((docs, digests[:, 1], digests[:, 0]))
+            first = np.concatenate([[True], (digests[order][1:] != digests[order][:-1]).any(1)])
+            late = order[docs[order] > docs[order][first][np.cumsum(first) - 1]]
+            return _span_rows(docs[late], ths[late], starts[late], starts[late] + LENGTH)
         rows = np.concatenate([np.frombuffer(zstandard.decompress(v.as_py()), np.uint8) for v in table.column("rows")]).reshape(-1, CONTEXT)
-        docs, places = join(table, "docs", np.int64), join(table, "places", np.int32).astype(np.int64)
-        marked = repeated_offsets(rows, join(table, "before", np.uint8).astype(np.int64), join(table, "after", np.uint8).astype(np.int64), docs)
+        docs, places = _joined(table, "docs", np.int64), _joined(table, "places", np.int32).astype(np.int64)
+        marked = repeated_offsets(rows, _joined(table, "before", np.uint8).astype(np.int64), _joined(table, "after", np.uint8).astype(np.int64), docs)
         row, start, end = spans_of(places, marked)
-        return _span_rows(docs[row], join(table, "ths", np.int64)[row], start, end)
+        return _span_rows(docs[row], _joined(table, "ths", np.int64)[row], start, end)
 
     return found.groupBy("bucket").applyInArrow(resolve, _SPANS)
 
@@ -373,7 +481,7 @@ def _without(texts: DataFrame, spans: DataFrame) -> DataFrame:
         run, "key bigint, th bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, anchor_rows: int = ANCHOR_ROWS) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)`` for every row of ``documents``, on its UTF-8 bytes.
 
     Removed is every byte of a 50-byte string that also occurs in a document with a smaller doc_id. A null text is empty.
@@ -390,8 +498,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     searched = texts.join(F.broadcast(gone) if skew.is_small(gone) else gone.hint("merge"), ["key", "th"], "left_anti")
     total = originals.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = min(max(16, -(-total // BYTES_PER_BUCKET)), 1 << 20)
-    shared = materialise(shared_anchors(searched, buckets))
-    spans = materialise(repeated_spans(occurrences(searched, shared, buckets)))
+    shared = materialise(shared_anchors(searched, buckets, max(anchor_rows, total >> BYTES_PER_ANCHOR_ROW)))
+    spans = materialise(repeated_spans(occurrences(searched, shared, buckets, hot_anchors(shared))))
     changed = materialise(_without(searched, spans).dropDuplicates(["key", "th"]))
     long = F.col("n_bytes") >= LENGTH
     whole = copies.select("doc_id", "n_bytes", F.when(long, F.col("n_bytes")).otherwise(0).alias("n_removed"), long.cast("bigint").alias("n_spans"),

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 
 from cuesheet.llm import suffix_repeats as R
 
@@ -100,3 +101,44 @@ def test_all_occurrences_of_a_repeat_come_out():
 
 def test_no_rows(spark):
     assert R.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "alphabet", "flush", "hot"), [(1, "abcdefgh é", 1 << 22, 2), (2, "ab", 3000, 3), (4, "abcdefgh é", 1000, 5), (5, "a", 3000, 2)])
+def test_rows_are_the_same_when_hot_anchors_are_dealt_out(spark, monkeypatch, seed, alphabet, flush, hot):
+    monkeypatch.setattr(R, "TEXT_AT_ONCE", flush)
+    rows = corpus(seed, 80, alphabet)
+    rows += [(7, rows[7][1], "", 0), (None, rows[9][1], "", 0), (9, rows[3][1] + rows[9][1], "", 0), (206, "z" * 3000, "", 0), (207, "z" * 1000 + "q" + "z" * 49, "", 0)]
+    got = R.remove_repeats(spark.createDataFrame(rows, SCHEMA), hot).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+
+
+def test_no_anchor_of_a_common_passage_gathers_its_documents(spark):
+    r = random.Random(8)
+    make = lambda k: "".join(r.choice("abcdefghijklmnop ") for _ in range(k))
+    passage = make(120)
+    rows = [(i, make(100) + passage + make(100), "", 0) for i in range(300)]
+    texts = spark.createDataFrame(rows, SCHEMA).select(*R.text_key(), "text").repartition(3).cache()
+    shared = R.shared_anchors(texts, 16, 100).cache()
+    hot = R.hot_anchors(shared)
+    held = [R.anchor_codes(np.frombuffer(x["low"], np.uint32), x["bucket"]) for x in shared.where("not hot").collect()]
+    codes, count = np.unique(np.concatenate(held), return_counts=True)
+    assert set(hot.tolist()) == set(codes[count >= 100].tolist()) and len(hot) and count.max() == 300
+    found = R.occurrences(texts, shared, 16, hot).collect()
+    cold = np.concatenate([np.frombuffer(zstandard.decompress(x["rows"]), np.uint8).reshape(-1, R.CONTEXT) for x in found if 0 <= x["bucket"] < 16])
+    assert np.unique(cold[:, R.OFFSETS:R.OFFSETS + R.SEED], axis=0, return_counts=True)[1].max() < 100
+    by_digest = [d for x in found if x["bucket"] >= 16 for d in {bytes(x["digests"][i:i + 16]) for i in range(0, len(x["digests"]), 16)}]
+    assert max(by_digest.count(d) for d in by_digest[:500]) <= 3  # one per flush
+
+
+def test_anchors_send_two_entries_per_flush(spark, monkeypatch):
+    """What goes to an anchor's bucket does not grow with its documents."""
+    sent = []
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", lambda self, *c: sent.append(self) or _Nothing())
+    texts = spark.createDataFrame([(i, "the same passage in all of the documents, " * 3 + str(i), "", 0) for i in range(400)], SCHEMA).select(*R.text_key(), "text").coalesce(1)
+    R.shared_anchors(texts, 16)
+    assert max(len(x["low"]) // 4 for x in sent[0].where("bucket >= 0").collect()) < 400
+
+
+class _Nothing:
+    def applyInArrow(self, *_):  # noqa: N802
+        return None
