@@ -80,3 +80,42 @@ def test_key_decides(spark):
 
 def test_no_rows(spark):
     assert P.replace_personal_data(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def iban_valid(text):
+    plain = text.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_national_forms_and_identifiers(spark):
+    texts = ["call 555-123-4567 or (555) 123-4567 now", "ssn 123-45-6789.", "pay DE89 3704 0044 0532 0130 00 AND DE89370400440532013000 now",
+             "host 2001:db8::1 is 2001:0DB8:0:0:0:0:0:1 and std::vector at 12:30", "Berlin 030 1234567"]
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in P.replace_personal_data(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    assert [got[i]["n_mentions"] for i in range(5)] == [2, 1, 2, 2, 1] and all(got[i]["n_entities"] == 1 for i in range(5))
+    one = re.fullmatch(r"call (\d{3})-(\d{3})-(\d{4}) or \((\d{3})\) (\d{3})-(\d{4}) now", got[0]["text"]).groups()
+    assert one[:3] == one[3:] != ("555", "123", "4567")
+    assert re.fullmatch(r"ssn \d{3}-\d\d-\d{4}\.", got[1]["text"]) and "123-45-6789" not in got[1]["text"]
+    a, b = re.fullmatch(r"pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) AND (DE\d{20}) now", got[2]["text"]).groups()
+    assert a.replace(" ", "") == b != "DE89370400440532013000" and iban_valid(a)
+    x, y = re.fullmatch(r"host 2001:([0-9a-f]{3})::[1-9a-f] is 2001:0([0-9A-F]{3}):0:0:0:0:0:[1-9A-F] and std::vector at 12:30", got[3]["text"]).groups()
+    assert x == y.lower() != "db8" and "1234567" not in got[4]["text"]
+
+
+def test_shorter_mentions_get_parts_of_the_same_surrogate(spark):
+    texts = ["Mr John Smith came. Mr Smith left, and Smith's dog barked at SMITH.", "Mrs Anna Maria Schmidt with Prof. Dr. Jane O'Hara The end",
+             "Frau Dr. Weber; Dr Weber", "Smith alone"]
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in P.replace_personal_data(spark.createDataFrame(rows, SCHEMA), "k").collect()}
+    m = re.fullmatch(r"Mr ([A-Z][a-z]+o) ([A-Z][a-z]+o) came\. Mr (\w+) left, and (\w+)'s dog barked at ([A-Z]+)\.", got[0]["text"])
+    assert m and m[2] == m[3] == m[4] == m[5].capitalize() and got[0]["n_entities"] == 1 and got[0]["n_mentions"] == 2
+    assert re.fullmatch(r"Mrs [A-Z][a-z]+a [A-Z][a-z]+a [A-Z][a-z]+a with Prof\. Dr\. [A-Z][a-z]+e [A-Z][a-z]+e The end", got[1]["text"])
+    assert not {"Anna", "Maria", "Schmidt", "Jane", "Hara"} & set(re.findall(r"\w+", got[1]["text"]))
+    one, two = re.fullmatch(r"Frau Dr\. (\w+); Dr (\w+)", got[2]["text"]).groups()
+    assert one == two != "Weber" and got[3]["text"] == "Smith alone"
+
+
+def test_a_full_format_grows(spark):
+    rows = [(f"email:{c}@x.de",) for c in "abcdefghijklmnopqrstuvwxyz"] + [(f"email:{c}@{d}.de",) for c in "abcdefghijklmnopqrstuvwxyz" for d in "abcdefghijklmnopqrstuvwyz"]
+    got = {r["entity"]: r["surrogate"] for r in P.surrogate_table(spark.createDataFrame(rows, "entity string"), "k").collect()}
+    assert set(got) == {r[0] for r in rows} and len(set(got.values())) == len(rows) and not set(got.values()) & set(got)
