@@ -5,12 +5,13 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import chunk_dedup, decontamination, feistel, mixing, near_dedup, secret_scan, suffix_repeats, surrogates, token_counts, toxicity
+from cuesheet.llm import byte_bpe, chunk_dedup, decontamination, feistel, mixing, near_dedup, secret_scan, suffix_repeats, surrogates, token_counts, toxicity
 from cuesheet.session import scratch_path
 from cuesheet.sources.tables import read_table
 
 
 PIECES = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_guess_cost_secrets(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,6 +56,11 @@ def op10_temperature_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mixed_plan(read_table(spark, sf, "documents"))
 
 
+def op11_merge_fold_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = byte_bpe.Vocabulary.load(public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN)
+    return byte_bpe.round_trip(read_table(spark, sf, "documents"), vocabulary)
+
+
 QUERIES = {
     "op1_guess_cost_secrets": op1_guess_cost_secrets,
     "op2_digest_cache_counts": op2_digest_cache_counts,
@@ -66,6 +72,7 @@ QUERIES = {
     "op8_subword_toxicity": op8_subword_toxicity,
     "op9_latent_leaks": op9_latent_leaks,
     "op10_temperature_mixture": op10_temperature_mixture,
+    "op11_merge_fold_bpe": op11_merge_fold_bpe,
 }
 
 ORACLES = {
