@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cuesheet.llm import byte_bpe, chunk_dedup, decontamination, feistel, mixing, near_dedup, secret_scan, suffix_repeats, surrogates, token_counts, toxicity
+from cuesheet.llm import (
+    byte_bpe, chunk_dedup, conversation_repair, decontamination, feistel, filter_audit, mixing, near_dedup,
+    secret_scan, suffix_repeats, surrogates, token_counts, toxicity)
 from cuesheet.session import scratch_path
 from cuesheet.sources.tables import read_table
 
@@ -61,6 +63,14 @@ def op11_merge_fold_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.round_trip(read_table(spark, sf, "documents"), vocabulary)
 
 
+def op12_prefix_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit_documents(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
+def op13_bounded_repair(spark: SparkSession, sf: str) -> DataFrame:
+    return conversation_repair.repair_digests(conversation_repair.damaged(read_table(spark, sf, "conversations")))
+
+
 QUERIES = {
     "op1_guess_cost_secrets": op1_guess_cost_secrets,
     "op2_digest_cache_counts": op2_digest_cache_counts,
@@ -73,10 +83,13 @@ QUERIES = {
     "op9_latent_leaks": op9_latent_leaks,
     "op10_temperature_mixture": op10_temperature_mixture,
     "op11_merge_fold_bpe": op11_merge_fold_bpe,
+    "op12_prefix_audit": op12_prefix_audit,
+    "op13_bounded_repair": op13_bounded_repair,
 }
 
 ORACLES = {
     "op4_feistel_shards": feistel.shard_sql(),
     "op5_chunk_recipes": chunk_dedup.exact_sql(),
     "op10_temperature_mixture": mixing.plan_sql(),
+    "op12_prefix_audit": filter_audit.audit_sql(),
 }
