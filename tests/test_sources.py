@@ -167,3 +167,29 @@ def test_listing_pages(spark):
     got = {r.page_id: r for r in pages.page_summary(df).collect()}
     assert (got[1].first_href, got[1].links, got[1].items, got[1].heading, got[1].no_result) == ("/one", 1, 2, "No subtitles found", True)
     assert got[2].first_href == "N/A" and not got[2].no_result
+
+
+def test_nested_items_quotes_and_references(spark):
+    html = """<!-- <li>no</li> --><ul class='all list'><li class="x big"><a title="a > b" href="/o'brien?a=1&amp;b=2">O&#39;Brien &amp;lt; &#x1F600;</a>
+<ul><li><a href='/in"ner'>Inner</a></li><li>plain</li></ul></li><LI><h4>Head</h4><a data-href="/no" href=/bare>x</a></LI></ul>
+<script>var s = "<li><a href='/js'>js</a></li>";</script><li>open<a name="here">"""
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id int, html string")
+    got = [tuple(r) for r in pages.item_links(df).orderBy("page_id", "pos").collect()]
+    assert got == [(1, 0, "/o'brien?a=1&b=2", "O'Brien &lt; \U0001F600\nInnerplain"), (1, 1, '/in"ner', "Inner"), (1, 2, "", "plain"),
+                   (1, 3, "/bare", "Head"), (1, 4, "", "open")]
+    assert [r.href for r in pages.item_links(df, classes="big x").collect()] == ["/o'brien?a=1&b=2"]
+    summary = {r.page_id: r for r in pages.page_summary(df).collect()}
+    assert (summary[1].first_href, summary[1].links, summary[1].items) == ("/o'brien?a=1&b=2", 3, 5) and summary[3].first_href == "N/A"
+
+
+def test_links_of_one_block(spark):
+    html = '<div class="a"><a href="/1">1</a></div><div class="flex b"><div><a href="/2">2</a></div><a href="/3">3</a><a href="">e</a></div><a href="/4">4</a>'
+    df = spark.createDataFrame([(1, html), (2, "<p>")], "page_id int, html string")
+    got = {r.page_id: (r.found, r.n_links, r.links) for r in pages.block_links(df, "div", "b flex").collect()}
+    assert got == {1: (True, 2, ["/2", "/3"]), 2: (False, 0, [])}
+
+
+def test_a_page_of_many_items(spark):
+    html = "<ul>" + "".join(f'<li><a href="/{i}">{i}</a></li>' for i in range(3_000)) + "</ul>"
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    assert {r.href for r in pages.item_links(df).collect()} == {f"/{i}" for i in range(3_000)}

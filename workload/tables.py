@@ -125,11 +125,16 @@ def _metrics(s, sf):
     return evaluation.regression_metrics(_scored_lines(s, sf), "l_extendedprice", "prediction")
 
 
+def _page_block_links(s, sf):
+    return pages.block_links(read_table(s, sf, "pages"), "nav", ()).withColumn("links", F.concat_ws(" ", "links"))
+
+
 QUERIES = {
     "json_map_explode": lambda s, sf: metadata.explode_json_map(read_table(s, sf, "events").select("event_id", "props"), "props", "bigint"),
     "json_expand": _json_expand,
     "page_links": lambda s, sf: pages.item_links(read_table(s, sf, "pages")),
     "page_link_counts": lambda s, sf: pages.page_summary(read_table(s, sf, "pages")),
+    "page_block_links": _page_block_links,
     "filter_present": _filter_present,
     "pattern_count": _pattern_count,
     "path_code_extract": _path_codes,
@@ -173,16 +178,35 @@ _METRICS = f"""m AS (SELECT {_FOLD} AS fold, l_extendedprice AS y, l_extendedpri
     metrics AS (SELECT fold, count(*) AS n, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, 1 - avg(e * e) / var_pop(y) AS r2,
         1 - var_pop(e) / var_pop(y) AS explained_variance FROM m GROUP BY fold)"""
 
+_SHOWN = r"regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g')"
+_HREF = r"""<a\b[^>]*?\shref\s*=\s*(?:"([^"]+)"|''([^'']+)'')"""
+_VISIBLE = "regexp_replace({}, '<[^>]*>', '', 'g')"
+
+
+def _href(html):
+    """First link, in either kind of quotes."""
+    return f"regexp_extract({html}, '{_HREF}', 1) || regexp_extract({html}, '{_HREF}', 2)"
+
+
+def _decoded(text):
+    for name, character in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", chr(160)), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{character}')"
+    return f"trim({text})"
+
+
 ORACLES = {
     "json_map_explode": "SELECT event_id, unnest(json_keys(props)) AS key, unnest(list_transform(json_keys(props), lambda k: json_extract(props, '$.' || k)::BIGINT)) AS value FROM events",
     "json_expand": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS props_k FROM events",
-    "page_links": r"""SELECT page_id, pos::BIGINT AS pos, regexp_extract(item, '<a\b[^>]*?\bhref="([^"]*)"', 1) AS href, trim(regexp_replace(item, '<[^>]*>', '', 'g')) AS title
+    "page_links": f"""SELECT page_id, pos::BIGINT AS pos, {_decoded(_href('item'))} AS href, {_decoded(_VISIBLE.format('item'))} AS title
         FROM (SELECT page_id, unnest(items) AS item, unnest(range(len(items))) AS pos
-              FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li\b[^>]*>(.*?)</li>', 1) AS items FROM pages))""",
-    "page_link_counts": r"""SELECT page_id, coalesce(nullif(regexp_extract(html, '<a\b[^>]*?\bhref="([^"]*)"', 1), ''), 'N/A') AS first_href,
-        len(regexp_extract_all(html, '<a\b[^>]*?\bhref="([^"]*)"', 1))::BIGINT AS links, len(regexp_extract_all(html, '(?s)<li\b[^>]*>(.*?)</li>', 1))::BIGINT AS items,
-        trim(regexp_replace(regexp_extract(html, '(?s)<h[1-6]\b[^>]*>(.*?)</h[1-6]>', 1), '<[^>]*>', '', 'g')) AS heading,
+              FROM (SELECT page_id, regexp_extract_all({_SHOWN}, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS items FROM pages))""",
+    "page_link_counts": f"""SELECT page_id, coalesce(nullif({_decoded(_href(_SHOWN))}, ''), 'N/A') AS first_href,
+        len(regexp_extract_all({_SHOWN}, '{_HREF}'))::BIGINT AS links, len(regexp_extract_all({_SHOWN}, '(?is)<li\\b[^>]*>(.*?)</li>', 1))::BIGINT AS items,
+        {_decoded(_VISIBLE.format(f"regexp_extract({_SHOWN}, '(?is)<h[1-6]\\b[^>]*>(.*?)</h[1-6]>', 1)"))} AS heading,
         contains(html, 'No subtitles found') AS no_result FROM pages""",
+    "page_block_links": f"""WITH blocks AS (SELECT page_id, regexp_extract({_SHOWN}, '(?is)<nav\\b[^>]*>(.*?)</nav>', 1) AS body FROM pages)
+        SELECT page_id, body <> '' AS found, len(regexp_extract_all(body, '{_HREF}'))::BIGINT AS n_links,
+               array_to_string(list_transform(regexp_extract_all(body, '{_HREF}'), lambda t: {_decoded(_href('t'))}), ' ') AS links FROM blocks""",
     "filter_present": "SELECT doc_id, lang FROM documents JOIN labels USING (doc_id) WHERE quality = 1",
     "pattern_count": rf"SELECT count(*) AS files FROM pages WHERE regexp_matches('S' || {_NUM} || '_metadata.json', '^S\d{{1,2}}_metadata\.json$')",
     "path_code_extract": f"SELECT page_id, {_code(1)} AS season, {_code(2)} AS episode FROM pages",
