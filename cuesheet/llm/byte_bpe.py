@@ -1,9 +1,13 @@
 """Byte-level BPE: encode by folding ranked merges over the bytes of distinct words, decode by joining pieces.
 
 A text is cut into words by the pattern of the vocabulary. Each distinct word of a stretch of documents becomes a row with
-its bytes, and Spark's higher-order functions fold the merges over it: again and again the leftmost neighbours with the
-least rank become one piece, until no two neighbours have a rank. Ranks are looked up in a literal map, which is cut into
-buckets because a Spark map is searched from its start. Then every document takes the ids of its words.
+its bytes and the ranks of all pieces that occur in it, and a higher-order function folds these merges, least rank first,
+over the bytes: a literal map from rank to pair tells which two neighbours become one piece. Then every document takes the
+ids of its words.
+
+Taking each rank once, in order, is what merging the least pair again and again comes to, if every piece is merged from
+pieces of lower ranks. A pair that a merge creates then has a higher rank than the merge: had it a lower one, its own
+bytes would have been one piece before. Loading a vocabulary checks this.
 
 Words, merges and documents stay in one task: it writes a word's row before the first document that needs it, and reads
 the ids back in that order. So no text and no dictionary is shuffled, whatever words are frequent.
@@ -12,22 +16,19 @@ the ids back in that order. So no text and no dictionary is shuffled, whatever w
 from __future__ import annotations
 
 import base64
-import json
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from heapq import heapify, heappop, heappush
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 15
-NO_RANK = (1 << 31) - 1
 #: A longer word is encoded in overlapping windows, half a window apart, that are joined where they agree.
 WINDOW = 256
 #: Distinct words and their characters that a task remembers before it starts anew: bounds memory, not results.
@@ -49,31 +50,51 @@ class Vocabulary:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}, pattern)
 
     @cached_property
-    def splitter(self) -> str:
-        """The pattern for Python's ``re``, with the character classes of the library, whatever Unicode version it has."""
-        every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    def splitters(self) -> tuple[str, str]:
+        """The pattern for Python's ``re``, with the character classes of the library, whatever Unicode version it has.
+
+        The first is for texts without characters beyond the 16-bit range, in which a class is a table; the second for any.
+        """
         single = {bytes([i]): i for i in range(256)}
 
-        def members(name: str) -> str:
+        def members(name: str, upto: int) -> str:
+            every = "".join(chr(i) for i in range(upto) if not 0xD800 <= i < 0xE000)
             library = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={})
             return spans(library.decode_bytes(library.encode_ordinary(every)).decode())
 
-        letters, numbers, spaces = members(r"\p{L}"), members(r"\p{N}"), members(r"\s")
-        cut = self.pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
-        return cut.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+        def pattern(upto: int) -> str:
+            letters, numbers, spaces = members(r"\p{L}", upto), members(r"\p{N}", upto), members(r"\s", upto)
+            cut = self.pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{spaces}{letters}{numbers}]")
+            return cut.replace(r"\p{L}", f"[{letters}]").replace(r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{spaces}]").replace(r"\s", f"[{spaces}]")
+
+        return pattern(0x10000), pattern(0x110000)
 
     @cached_property
-    def is_closed(self) -> bool:
-        """Whether merging the bytes of every piece yields that piece. Then windows that agree on a token can be joined."""
-        return all(len(merge(piece, self.ranks)) == 1 for piece in self.ranks)
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """The ids of the two pieces that a rank merges. A piece that merges never yield has no pair."""
+        missing = [i for i in range(256) if bytes([i]) not in self.ranks]
+        if missing:
+            raise ValueError(f"a byte-level vocabulary has every byte; missing: {missing[:10]}")
+        found = {}
+        for piece, rank in self.ranks.items():
+            if len(piece) > 1:
+                parts = merge(piece, self.ranks, rank)
+                if len(parts) == 2:
+                    found[rank] = (parts[0], parts[1])
+                elif len(merge(piece, self.ranks)) == 1:
+                    raise ValueError(f"piece {piece!r} of rank {rank} needs a merge of a higher rank")
+        return found
 
     @cached_property
     def rank_map(self) -> Column:
-        """A literal: array of maps from the hexadecimal digits of a piece to its rank, one map per bucket."""
-        buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-        for piece, rank in self.ranks.items():
-            buckets[zlib.crc32(piece.hex().encode()) % BUCKETS][piece.hex()] = rank
-        return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+        """A literal: for every rank the pair it merges, as text ``<id><id>``; empty for a byte."""
+        pairs = self.pairs
+        return F.split(F.lit(",".join("<%d><%d>" % pairs[i] if i in pairs else "" for i in range(max(self.ranks.values()) + 1))), ",")
+
+    @cached_property
+    def names(self) -> Column:
+        """A literal: for every rank the text of its piece, ``<id>``."""
+        return F.split(F.lit(",".join(f"<{i}>" for i in range(max(self.ranks.values()) + 1))), ",")
 
     @cached_property
     def pieces(self) -> Column:
@@ -90,11 +111,11 @@ def spans(characters: str) -> str:
     return "".join(f"\\U{codes[a]:08x}-\\U{codes[b]:08x}" for a, b in zip(starts, ends, strict=True))
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word, in plain Python: for checks of the vocabulary and the rare long word whose windows never agree."""
+def merge(word: bytes, ranks: dict[bytes, int], below: float = float("inf")) -> list[int]:
+    """Ids of one word by merges of ranks under ``below``, in plain Python: to find the pairs of a vocabulary, and for the rare long word whose windows never agree."""
     ends = list(range(1, len(word) + 1))  # end of the piece that starts here
     before = list(range(-1, len(word) - 1))  # start of the piece before
-    heap = [(ranks[word[i:i + 2]], i, i + 1, i + 2) for i in range(len(word) - 1) if word[i:i + 2] in ranks]
+    heap = [(ranks[word[i:i + 2]], i, i + 1, i + 2) for i in range(len(word) - 1) if ranks.get(word[i:i + 2], below) < below]
     heapify(heap)
     alive = [True] * len(word)
     while heap:
@@ -104,9 +125,9 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
         ends[start], alive[middle] = end, False
         if end < len(word):
             before[end] = start
-            if (rank := ranks.get(word[start:ends[end]])) is not None:
+            if (rank := ranks.get(word[start:ends[end]], below)) < below:
                 heappush(heap, (rank, start, end, ends[end]))
-        if start > 0 and (rank := ranks.get(word[before[start]:end])) is not None:
+        if start > 0 and (rank := ranks.get(word[before[start]:end], below)) < below:
             heappush(heap, (rank, before[start], start, end))
     ids, at = [], 0
     while at < len(word):
@@ -115,59 +136,59 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def rank_of(vocabulary: Vocabulary, digits: Column) -> Column:
-    bucket = F.get(vocabulary.rank_map, (F.crc32(digits) % BUCKETS).cast("int"))
-    return F.try_element_at(bucket, digits)
-
-
-def merged_ids(vocabulary: Vocabulary, word: Column) -> Column:
-    """Ids of a word given as binary, by a fold of ranked merges.
+def merged_ids(vocabulary: Vocabulary, single: Column, merges: Column) -> Column:
+    """Ids of a word from its bytes' ids as text ``<id><id>...`` and the ascending ranks to merge, by a fold over these.
 
-    The state is the pieces as one text, ``<68><65><6c><6c><6f>``: joining a pair is then a replacement from left to right,
-    which is the order of equal ranks. No pair that arises from a join has a lower rank than the joined one, because that
-    pair's own pieces would have been joined before. There are as many steps as a word of these bytes can need.
+    A merge replaces its pair from left to right wherever it stands.
     """
-    def bound(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
-
-    def join(text: Column, pieces: Column, best: Column) -> Column:
-        pair = F.when(best["rank"] < NO_RANK, F.concat(F.lit("<"), F.get(pieces, best["at"]), F.lit("><"), F.get(pieces, best["at"] + 1), F.lit(">")))
-        return bound(pair, lambda p: F.struct(
-            F.coalesce(F.replace(text, p, F.replace(p, F.lit("><"), F.lit(""))), text).alias("text"), p.isNotNull().alias("open")))
-
-    def step(state: Column, _: Column) -> Column:
-        def of_pieces(pieces: Column) -> Column:
-            pairs = F.zip_with(pieces, F.slice(pieces, F.lit(2), F.size(pieces)), lambda a, b: F.concat(a, b))
-            ranked = F.transform(pairs, lambda p, i: F.struct(F.coalesce(rank_of(vocabulary, p), F.lit(NO_RANK)).alias("rank"), i.alias("at")))
-            return bound(F.array_min(ranked), lambda best: join(state["text"], pieces, best))
-
-        return F.when(state["open"], bound(F.regexp_extract_all(state["text"], F.lit("[0-9a-f]+"), F.lit(0)), of_pieces)).otherwise(state)
-
-    begun = F.struct(F.regexp_replace(F.lower(F.hex(word)), "(..)", "<$1>").alias("text"), F.lit(True).alias("open"))
-    steps = F.sequence(F.lit(1), F.octet_length(word))
-    return F.aggregate(steps, begun, step, lambda s: F.transform(
-        F.regexp_extract_all(s["text"], F.lit("[0-9a-f]+"), F.lit(0)), lambda p: rank_of(vocabulary, p)))
+    text = F.aggregate(merges, single, lambda text, rank: F.replace(text, F.get(vocabulary.rank_map, rank), F.get(vocabulary.names, rank)))
+    return F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0)).cast("array<int>")
 
 
 class Words:
     """Distinct words of a stretch of documents, numbered as they come."""
 
-    def __init__(self, splitter: str, pieces: frozenset[bytes], window: int):
-        self.cut, self.pieces, self.window = re.compile(splitter).findall, pieces, window
+    def __init__(self, splitters: tuple[str, str], ranks: dict[bytes, int], mergeable: frozenset[int], window: int):
+        self.cut, self.cut_any = (re.compile(s).findall for s in splitters)
+        self.ranks, self.window = ranks, window
+        self.single = [f"<{ranks[bytes([i])]}>" for i in range(256)]
+        self.found = ahocorasick.Automaton()
+        for piece, rank in ranks.items():
+            if rank in mergeable:
+                self.found.add_word(piece.decode("latin-1"), rank)
+        self.found.make_automaton()
+        self.forget()
+
+    def forget(self) -> None:
         self.codes: dict[str, int] = {}
         self.long: dict[str, list[int]] = {}
-        self.new: list[bytes] = []
         self.n = self.characters = 0
-
-    def code(self, word: bytes) -> int:
-        self.new.append(word)
+        self.sent()
+
+    def sent(self) -> None:
+        """Starts a new list of new words: bytes, and the flat ranks with the number per word."""
+        self.new: list[str | None] = []
+        self.merges: list[int] = []
+        self.sizes: list[int] = []
+
+    def code(self, part: bytes) -> int:
+        merges = sorted({r for _, r in self.found.iter(part.decode("latin-1"))}) if len(self.found) else []
+        return self.row("".join(map(self.single.__getitem__, part)), merges)
+
+    def row(self, single: str | None, ranks: list[int]) -> int:
+        """Bytes and merges of a word, or no bytes and its ids."""
+        self.new.append(single)
+        self.merges += ranks
+        self.sizes.append(len(ranks))
         self.n += 1
         return self.n - 1
 
     def add(self, word: str) -> None:
         data = word.encode()
         self.characters += len(word)
-        if self.window and len(data) > self.window and data not in self.pieces:
+        if data in self.ranks:
+            self.codes[word] = self.row(None, [self.ranks[data]])
+        elif len(data) > self.window:
             half = self.window // 2
             self.long[word] = [self.code(data[i:i + self.window]) for i in range(0, len(data) - half, half)]
             self.codes[word] = -1
@@ -176,21 +197,18 @@ class Words:
 
     def __call__(self, text: str) -> list[int]:
         """Codes of the words of a text; a word in windows is -1, their number and their codes."""
-        words = self.cut(text)
+        words = (self.cut if text.isascii() or max(text) < "\U00010000" else self.cut_any)(text)
         for word in dict.fromkeys(words):
             if word not in self.codes:
                 self.add(word)
         found = list(map(self.codes.__getitem__, words))
-        if -1 not in found:
+        if not self.long or -1 not in found:
             return found
         spread: list[int] = []
         for word, code in zip(words, found, strict=True):
             spread += [code] if code >= 0 else [-1, len(self.long[word]), *self.long[word]]
         return spread
 
-    def is_full(self, remembered: int) -> bool:
-        return self.n > remembered or self.characters > REMEMBERED_CHARACTERS
-
 
 class Joiner:
     """Ids of documents from the ids of words."""
@@ -200,110 +218,126 @@ class Joiner:
         by_id = {rank: piece for piece, rank in ranks.items()}
         self.by_id = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
         self.lengths = np.array([len(p) for p in self.by_id])
-        self.ids: list[np.ndarray] = []
+        self.forget()
+
+    def forget(self) -> None:
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def learn(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def word(self, code: int) -> np.ndarray:
+        return self.ids[self.ends[code]:self.ends[code + 1]]
 
     def whole(self, windows: list[np.ndarray]) -> np.ndarray:
         """Ids of a long word. Two windows are joined at a token that both have: neighbours that are right in a window are right in the word."""
         taken, begin = [], 0
         for i, (here, there) in enumerate(zip(windows, windows[1:], strict=False)):
             ends, others = i * self.half + np.cumsum(self.lengths[here]), (i + 1) * self.half + np.cumsum(self.lengths[there])
-            _, a, b = np.intersect1d(np.stack([ends - self.lengths[here], ends]).T.copy().view("i8,i8").ravel(),
-                                     np.stack([others - self.lengths[there], others]).T.copy().view("i8,i8").ravel(), return_indices=True)
+            size = 4 * self.half * (len(windows) + 1)  # start and end of a token as one number
+            _, a, b = np.intersect1d((ends - self.lengths[here]) * size + ends, (others - self.lengths[there]) * size + others, return_indices=True)
             if not len(a):
                 parts = [b"".join(self.by_id[t] for t in w) for w in windows]
-                word = b"".join([p[:self.half] for p in parts[:-1]] + parts[-1:])
-                return np.array(merge(word, self.ranks), np.int32)
+                return np.array(merge(b"".join([p[:self.half] for p in parts[:-1]] + parts[-1:]), self.ranks), np.int32)
             at = len(a) // 2
             taken.append(here[begin:a[at] + 1])
             begin = b[at] + 1
         return np.concatenate([*taken, windows[-1][begin:]])
 
-    def __call__(self, codes: np.ndarray) -> np.ndarray:
-        if not len(codes):
-            return codes
-        if codes.min() >= 0:
-            return np.concatenate([self.ids[c] for c in codes.tolist()])
-        parts, at = [], 0
+    def plain(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one behind the other, and how many each has."""
+        starts, sizes = self.ends[codes], self.ends[codes + 1] - self.ends[codes]
+        before = np.cumsum(sizes) - sizes
+        return self.ids[np.arange(sizes.sum()) + np.repeat(starts - before, sizes)], sizes
+
+    def __call__(self, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of documents given as the codes of their words, and how many each document has."""
+        if not len(codes) or codes.min() >= 0:
+            ids, per_word = self.plain(codes)
+            return ids, np.bincount(np.repeat(np.arange(len(sizes)), sizes), per_word, len(sizes)).astype(np.int64)
+        done = [self.with_windows(part.tolist()) for part in np.split(codes, np.cumsum(sizes)[:-1])]
+        return np.concatenate(done), np.array([len(d) for d in done], np.int64)
+
+    def with_windows(self, codes: list[int]) -> np.ndarray:
+        parts, at = [np.zeros(0, np.int32)], 0
         while at < len(codes):
             if codes[at] >= 0:
-                parts.append(self.ids[codes[at]])
+                parts.append(self.word(codes[at]))
                 at += 1
             else:
-                n = int(codes[at + 1])
-                parts.append(self.whole([self.ids[c] for c in codes[at + 2:at + 2 + n].tolist()]))
+                n = codes[at + 1]
+                parts.append(self.whole([self.word(c) for c in codes[at + 2:at + 2 + n]]))
                 at += 2 + n
         return np.concatenate(parts)
 
 
+def offsets(sizes: np.ndarray | list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, window: int = WINDOW, remembered: int = REMEMBERED_WORDS) -> DataFrame:
     """``(doc_id, ids)`` for every row of ``docs``, in which a null text counts as empty and has no ids.
 
     Repeated rows stay rows of their own; no rows give no rows; columns other than doc_id and text are ignored. A word of any
-    length is encoded: beyond ``window`` bytes in overlapping windows. A vocabulary whose pieces cannot all be reached by
-    merges gets no windows, and its long words take time that grows with the square of their length.
+    length is encoded: beyond ``window`` bytes in overlapping windows. A task remembers up to ``remembered`` distinct words
+    before it starts anew, which bounds its memory and not the result.
     """
-    splitter, ranks, pieces = vocabulary.splitter, vocabulary.ranks, frozenset(vocabulary.ranks)
-    missing = [i for i in range(256) if bytes([i]) not in pieces]
-    if missing:
-        raise ValueError(f"a byte-level vocabulary has every byte; missing: {missing[:10]}")
-    width = window if vocabulary.is_closed else 0
+    splitters, ranks, mergeable = vocabulary.splitters, vocabulary.ranks, frozenset(vocabulary.pairs)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(splitter, pieces, width)
+        words = Words(splitters, ranks, mergeable, window)
         for batch in batches:
             ids = batch.column("doc_id")
             for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
-                fresh = words.n == 0
-                codes = [words(t or "") for t in batch.column("text").slice(at, DOCUMENTS_AT_ONCE).to_pylist()]
-                n, m = len(words.new), len(codes)
-                whole = [w if w in pieces else None for w in words.new]
+                fresh, codes, lengths = words.n == 0, [], []
+                for text in batch.column("text").slice(at, DOCUMENTS_AT_ONCE).to_pylist():
+                    found = words(text or "")
+                    codes += found
+                    lengths.append(len(found))
+                n, m = len(words.new), len(lengths)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.concat_arrays([pa.nulls(n, ids.type), ids.slice(at, DOCUMENTS_AT_ONCE)]),
-                    "codes": pa.array([None] * n + codes, pa.list_(pa.int32())),
-                    "word": pa.array([None if p else w for w, p in zip(words.new, whole, strict=True)] + [None] * m, pa.binary()),
-                    "known": pa.array([ranks[p] if p else None for p in whole] + [None] * m, pa.int32()),
+                    "is_doc": pa.array(np.arange(n + m) >= n),
+                    "codes": pa.ListArray.from_arrays(offsets([0] * n + lengths), pa.array(codes, pa.int32())),
+                    "single": pa.array(words.new + [None] * m, pa.string()),
+                    "ranks": pa.ListArray.from_arrays(offsets(words.sizes + [0] * m), pa.array(words.merges, pa.int32())),
                     "fresh": pa.array([fresh] + [False] * (n + m - 1), pa.bool_())})
-                words.new = []
-                if words.is_full(remembered):
-                    words = Words(splitter, pieces, width)
+                words.sent()
+                if words.n > remembered or words.characters > REMEMBERED_CHARACTERS:
+                    words.forget()
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joiner = Joiner(ranks, width)
-        for batch in batches:
-            lists = batch.column("ids")
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            codes = batch.column("codes")
-            code_values, code_ends = codes.values.to_numpy(zero_copy_only=False), codes.offsets.to_numpy()
-            is_doc, fresh = codes.is_valid().to_numpy(zero_copy_only=False), batch.column("fresh").to_numpy(zero_copy_only=False)
-            done = []
-            for i in range(batch.num_rows):
-                if fresh[i]:
-                    joiner.ids = []
-                if is_doc[i]:
-                    done.append(joiner(code_values[code_ends[i]:code_ends[i + 1]]))
-                else:
-                    joiner.ids.append(values[ends[i]:ends[i + 1]].copy())
-            offsets = np.concatenate([[0], np.cumsum([len(d) for d in done])]).astype(np.int32)
-            flat = np.concatenate(done).astype(np.int32) if done else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id").filter(pa.array(is_doc)),
-                "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
-
-    rows = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, codes array<int>, word binary, known int, fresh boolean")
-    ids = F.when(F.col("word").isNotNull(), merged_ids(vocabulary, F.col("word"))).when(F.col("known").isNotNull(), F.array("known"))
-    return rows.select("doc_id", "codes", "fresh", ids.alias("ids")).mapInArrow(join, f"doc_id {id_type}, ids array<int>")
+        joiner = Joiner(ranks, window)
+        for whole in batches:
+            starts = np.flatnonzero(whole.column("fresh").to_numpy(zero_copy_only=False)).tolist()
+            for first, last in zip([0, *starts], [*starts, whole.num_rows], strict=True):
+                if first in starts:
+                    joiner.forget()
+                batch = whole.slice(first, last - first)
+                is_doc = batch.column("is_doc").to_numpy(zero_copy_only=False)
+                lists, codes = batch.column("ids"), batch.column("codes")
+                joiner.learn(lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())[~is_doc])
+                found, sizes = joiner(codes.flatten().to_numpy(), np.diff(codes.offsets.to_numpy())[is_doc])
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").filter(pa.array(is_doc)),
+                    "ids": pa.ListArray.from_arrays(offsets(sizes), pa.array(found.astype(np.int32)))})
+
+    rows = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, is_doc boolean, codes array<int>, single string, ranks array<int>, fresh boolean")
+    ids = F.when(F.col("single").isNull(), F.col("ranks")).otherwise(merged_ids(vocabulary, F.col("single"), F.col("ranks")))
+    return rows.select("doc_id", "is_doc", "codes", "fresh", ids.alias("ids")).mapInArrow(join, f"doc_id {id_type}, ids array<int>")
 
 
 def decode(ids: Column, vocabulary: Vocabulary) -> Column:
     """The bytes of a list of ids: their pieces, one behind the other. An id without a piece adds nothing."""
-    digits = F.transform(ids, lambda i: F.coalesce(F.get(vocabulary.pieces, i), F.lit("")))
-    return F.unhex(F.array_join(digits, ""))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(vocabulary.pieces, i)), ""))
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row: digests of the ids and of the bytes decoded from them."""
     coded = encode(docs, vocabulary)
-    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    json = F.to_json("ids")
+    listed = F.substring(json, F.lit(2), F.length(json) - 2)  # without the brackets
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
                         F.sha2(decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"))

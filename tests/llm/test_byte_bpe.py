@@ -54,13 +54,20 @@ def test_a_task_that_forgets_its_words_goes_on(spark):
 def test_a_vocabulary_with_a_piece_that_merges_cannot_reach(spark):
     ranks = {bytes([i]): i for i in range(256)} | {b"xyz": 256, b" q": 257}
     vocabulary = byte_bpe.Vocabulary(ranks, public_tokenizers.PATTERN)
-    assert not vocabulary.is_closed
+    assert vocabulary.pairs == {257: (32, 113)}
     library = tiktoken.Encoding("odd", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    texts = ["xyz xyz axyz q", "xyz"]
-    got = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(table(spark, texts), vocabulary).collect()}
+    texts = ["xyz xyz axyz q", "xyz", "xyz" * 200]
+    got = {r["doc_id"]: r["ids"] for r in byte_bpe.encode(table(spark, texts), vocabulary, window=30).collect()}
     assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
+def test_ranks_that_are_no_order_of_merges_and_missing_bytes_are_refused():
+    with pytest.raises(ValueError, match="higher rank"):
+        byte_bpe.Vocabulary({bytes([i]): i for i in range(256)} | {b"xyz": 256, b"xy": 257}, public_tokenizers.PATTERN).pairs
+    with pytest.raises(ValueError, match="every byte"):
+        byte_bpe.Vocabulary({b"a": 0}, public_tokenizers.PATTERN).pairs
+
+
 def test_decoding_gives_the_bytes_back(spark):
     texts = [t or "" for t in ODD]
     rows = byte_bpe.encode(table(spark, texts), VOCABULARY).select("doc_id", byte_bpe.decode(F.col("ids"), VOCABULARY).alias("b")).collect()
