@@ -61,6 +61,7 @@ class Resources:
     cluster_rounds: int = clustering.MAX_ROUNDS
     threshold_seconds: float = 20
     n_topics: int = 5
+    topics_per_document: bool = True
     markup: bool = True
 
 
@@ -108,7 +109,7 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
     if "start_ms" in cues.columns and want & set(FEATURE_GROUPS["structural_features"]):
         parts.append(timing.timing_profile(cues, line_table, r.threshold_seconds))
     if "topic_distribution" in want:
-        parts.append(topics.topic_distribution(line_table, r.n_topics))
+        parts.append(topics.topic_distribution(line_table, r.n_topics, per_document=r.topics_per_document))
     out = cues.select("doc_id").distinct()
     for part in parts:
         out = out.join(part, "doc_id", "left")
