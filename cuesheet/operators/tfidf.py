@@ -19,6 +19,8 @@ from cuesheet.operators import skew
 from cuesheet.session import materialise
 
 EPSILON = 1e-9
+#: A key with more lines than this is paired in several tasks.
+PAIRED_ROWS_PER_SALT = 20_000
 
 
 def _frequencies(words: Column) -> Column:
@@ -50,11 +52,11 @@ def line_profiles(line_table: DataFrame, stop_words: Sequence[str] = ()) -> Data
         F.min("pos").alias("pos"), F.count(F.lit(1)).alias("copies")))
 
 
-def weighted_terms(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
+def weighted_lines(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
     """Weight the terms: tf * (ln((1 + n) / (1 + df)) + 1), scaled to length one per line.
 
-    Returns ``(doc_id, pos, copies, term, df, tf, w)``. Profiles without terms count as lines but have no rows. The length
-    is a window over one line's terms, which came out of one row of text.
+    Returns ``(doc_id, pos, copies, terms)`` with ``terms`` an array of (df, term, w, tf) from rare to frequent. Profiles
+    without terms count as lines but have no rows.
     """
     sizes = profiles.groupBy("doc_id").agg(F.sum("copies").alias("n_lines"))
     long = profiles.select("doc_id", "pos", "copies", F.explode("terms").alias("t")).select(
@@ -65,10 +67,17 @@ def weighted_terms(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT)
     # a term can be no hotter than its document, and documents are counted without cutting the terms out
     longest = profiles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     counts = df if longest > rows_per_salt else None
-    raw = skew.salted_lookup(long, idf, ["doc_id", "term"], counts, "_profiles", ["pos"], rows_per_salt=rows_per_salt) \
-        .select("doc_id", "pos", "copies", "term", "df", "tf", (F.col("tf") * F.col("idf")).alias("_raw"))
-    squares = F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy("doc_id", "pos"))
-    return raw.withColumn("w", F.col("_raw") / F.sqrt(squares)).drop("_raw")
+    met = skew.salted_lookup(long, idf, ["doc_id", "term"], counts, "_profiles", ["pos"], rows_per_salt=rows_per_salt)
+    lines = met.groupBy("doc_id", "pos").agg(F.first("copies").alias("copies"), F.sort_array(F.collect_list(
+        F.struct("df", "term", (F.col("tf") * F.col("idf")).alias("w"), "tf"))).alias("raw"))
+    length = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]))
+    return lines.select("doc_id", "pos", "copies", let(length, lambda n: F.transform("raw", lambda t: t.withField("w", t["w"] / n))).alias("terms"))
+
+
+def weighted_terms(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT) -> DataFrame:
+    """The weights of ``weighted_lines`` as rows ``(doc_id, pos, copies, term, df, tf, w)``."""
+    return weighted_lines(profiles, rows_per_salt).select("doc_id", "pos", "copies", F.explode("terms").alias("t")) \
+        .select("doc_id", "pos", "copies", "t.term", "t.df", "t.tf", "t.w")
 
 
 def line_tfidf(line_table: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
@@ -107,22 +116,40 @@ def keyword_lists(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[s
         "doc_id", F.coalesce(F.col("r.term"), F.array().cast("array<string>")).alias("tfidf_keywords"))
 
 
-def line_groups(weights: DataFrame) -> DataFrame:
-    """Lines that differ only in terms no other line has, as one row: ``(doc_id, pos, copies, vec, lone, lost)``.
+def _common_factor(frequencies: Column) -> Column:
+    """Greatest common divisor of positive numbers, by Euclid's steps; a 1 among them, as in most lines, ends the matter."""
+    def divisor(a: Column, b: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(64))  # more than any two 32-bit numbers need
+        pair = F.aggregate(steps, F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(
+            F.struct(s["b"].alias("a"), (s["a"] % F.nullif(s["b"], F.lit(0))).alias("b"))))
+        return pair["a"]
+
+    one = F.lit(1).cast("bigint")
+    return F.when(F.array_min(frequencies) == 1, one).when(F.size(frequencies) == 1, F.get(frequencies, F.lit(0))).otherwise(
+        F.aggregate(frequencies, F.lit(0).cast("bigint"), lambda g, f: divisor(f, g)))
+
+
+def line_groups(lines: DataFrame) -> DataFrame:
+    """Lines that behave alike towards all others, as one row: ``(doc_id, pos, copies, vec, lone, lost)``.
 
     ``vec`` holds the terms found in several lines, (df, term, w, tf) from rare to frequent. A term of one single line
-    can never be shared: what it does is take mass, ``lost``, from the others. Lines with the same ``vec`` terms and the
-    same frequencies of single terms, ``lone``, therefore behave alike, so a template filled in a million ways is one
-    row here. ``pos`` is the first of the lines.
+    can never be shared: what it does is take mass, ``lost``, from the others. Only the direction of a line counts, so
+    frequencies are taken without their common factor. Lines with the same ``vec`` terms and the same frequencies of
+    single terms, ``lone``, are one row here, be it a template filled in a million ways or one word repeated ever more
+    often. ``pos`` is the first of the lines. Takes ``weighted_lines``, or the rows of ``weighted_terms``.
     """
-    shared, single = F.col("df") > 1, F.col("df") == 1
-    lines = weights.groupBy("doc_id", "pos").agg(
-        F.first("copies").alias("copies"),
-        F.sort_array(F.collect_list(F.when(shared, F.struct("df", "term", "w", "tf")))).alias("vec"),
-        F.sort_array(F.collect_list(F.when(single, F.col("tf")))).alias("lone"),
-        F.sum(F.when(single, F.col("w") * F.col("w")).otherwise(0.0)).alias("lost"))
-    core = F.transform("vec", lambda t: F.struct(t["term"], t["tf"]))
-    return lines.groupBy("doc_id", core.alias("core"), "lone").agg(
+    if "terms" not in lines.columns:
+        lines = lines.groupBy("doc_id", "pos").agg(
+            F.first("copies").alias("copies"), F.sort_array(F.collect_list(F.struct("df", "term", "w", "tf"))).alias("terms"))
+    split = lines.select(
+        "doc_id", "pos", "copies", _common_factor(F.col("terms.tf")).alias("factor"),
+        F.filter("terms", lambda t: t["df"] > 1).alias("vec"), F.filter("terms", lambda t: t["df"] == 1).alias("single"))
+    canonical = split.select(
+        "doc_id", "pos", "copies", "vec",
+        F.transform("vec", lambda t: F.struct(t["term"].alias("term"), (t["tf"] / F.col("factor")).cast("bigint").alias("tf"))).alias("core"),
+        F.sort_array(F.transform("single", lambda t: (t["tf"] / F.col("factor")).cast("bigint"))).alias("lone"),
+        F.aggregate("single", F.lit(0.0), lambda acc, t: acc + t["w"] * t["w"]).alias("lost"))
+    return canonical.groupBy("doc_id", "core", "lone").agg(
         F.min("pos").alias("pos"), F.sum("copies").alias("copies"), F.min_by(F.struct("vec", "lost"), "pos").alias("v")
     ).select("doc_id", "pos", "copies", "v.vec", "lone", "v.lost")
 
@@ -159,27 +186,43 @@ def _signatures(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.withColumn("_s", let(F.aggregate("vec", start, step), levels)).select("*", "_s.*").drop("_s")
 
 
-def near_duplicate_pairs(groups: DataFrame, threshold: float = 0.95) -> DataFrame:
+def near_duplicate_pairs(groups: DataFrame, threshold: float = 0.95, rows_per_salt: int = PAIRED_ROWS_PER_SALT) -> DataFrame:
     """Pairs of line groups with cosine above the threshold: ``(doc_id, a, b, line_pairs, cosine)``.
 
     Exact. Lines meet only on the rare terms that a matching pair must share: on pairs of them where both lines allow
-    it, on single ones otherwise.
+    it, on single ones otherwise. Where they meet, the masses from that term on bound the cosine, and only pairs whose
+    best meeting leaves them a chance fetch their vectors. A key that many lines of a document hold is split: its rows
+    are dealt out on one side and copied on the other.
     """
     if not 0 < threshold < 1:
         raise ValueError("threshold must lie between 0 and 1")
     signed = _signatures(groups, threshold)
-    single = F.slice("vec.term", F.lit(1), F.col("p1"))
-    double = let(F.slice("vec.term", F.lit(1), F.col("p2")), lambda ts: F.flatten(F.transform(ts, lambda x, i: F.transform(
-        F.slice(ts, i + 2, F.size(ts)), lambda y: F.concat_ws(" ", x, y)))))
+    single = F.transform(F.slice("placed", F.lit(1), F.col("p1")), lambda t: F.struct(t["term"].alias("key"), t["tail"].alias("tail")))
+    double = let(F.slice("placed", F.lit(1), F.col("p2")), lambda ts: F.flatten(F.transform(ts, lambda x, i: F.transform(
+        F.slice(ts, i + 2, F.size(ts)), lambda y: F.struct(F.concat_ws(" ", x["term"], y["term"]).alias("key"), x["tail"].alias("tail"))))))
     # a key made of two terms holds a space, so the two kinds cannot meet
     keys = F.when(F.col("level") == 2, F.concat(single, double)).otherwise(single)
-    keyed = signed.select("doc_id", "pos", "level", F.explode(keys).alias("key"))
-    own = keyed.where((F.col("level") == 1) | F.contains("key", F.lit(" ")))
+    # what a line has from a term on: nothing before the first shared term adds to the cosine
+    leading = let(F.slice("vec", F.lit(1), F.greatest("p1", "p2")), lambda ts: F.transform(ts, lambda t, i: F.struct(
+        t["term"].alias("term"), F.aggregate(F.slice(ts, F.lit(1), i), 1 - F.col("lost"), lambda left, x: left - x["w"] * x["w"]).alias("tail"))))
+    keyed = signed.withColumn("placed", leading) \
+        .select("doc_id", "pos", "level", F.explode(keys).alias("k")).select("doc_id", "pos", "level", "k.key", "k.tail")
+    on = ["doc_id", "key"]
+    largest = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    hot = None
+    if largest > rows_per_salt:  # no key is hotter than its document
+        keyed = materialise(keyed)
+        hot = skew.hot_keys(keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("n")), on, "n", rows_per_salt)
+    own, others = keyed.where((F.col("level") == 1) | F.contains("key", F.lit(" "))), keyed
+    if hot is not None:
+        own, others = skew.add_salt(own, on, hot, ["pos"]), skew.replicate(others, on, hot)
+        on = [*on, "_salt"]
+    bound = F.sqrt(F.col("l.tail") * F.col("r.tail"))
     candidates = (
-        own.alias("l").join(keyed.alias("r"), ["doc_id", "key"])
+        own.alias("l").join(others.alias("r"), on)
         .where((F.col("l.pos") < F.col("r.pos")) | ((F.col("l.level") == 1) & (F.col("r.level") == 2)))
-        .select("doc_id", F.least("l.pos", "r.pos").alias("a"), F.greatest("l.pos", "r.pos").alias("b"))
-        .distinct()
+        .groupBy("doc_id", F.least("l.pos", "r.pos").alias("a"), F.greatest("l.pos", "r.pos").alias("b"))
+        .agg(F.max(bound).alias("bound")).where(F.col("bound") > threshold - EPSILON).drop("bound")
     )
     left = groups.select("doc_id", F.col("pos").alias("a"), F.col("copies").alias("ca"), F.col("vec").alias("va"))
     right = groups.select("doc_id", F.col("pos").alias("b"), F.col("copies").alias("cb"), F.col("vec").alias("vb"))
@@ -197,10 +240,10 @@ def repetition_rate(line_table: DataFrame, threshold: float = 0.95, profiles: Da
     """Share of line pairs whose cosine is above the threshold; 0 for fewer than two lines.
 
     Lines of one group are counted as n(n-1)/2 without making the pairs: copies match, and lines that differ in single
-    terms all have the cosine 1 - lost. A line without terms matches nothing.
+    terms all have the cosine 1 - lost, and so have lines that repeat the same terms in proportion. A line without terms matches nothing.
     """
     profiles = line_profiles(line_table) if profiles is None else profiles
-    groups = materialise(line_groups(weighted_terms(profiles) if weights is None else weights))
+    groups = materialise(line_groups(weighted_lines(profiles) if weights is None else weights))
     alike = (F.size("lone") == 0) | (1 - F.col("lost") > threshold)
     same = groups.where(alike).groupBy("doc_id").agg(F.sum(F.col("copies") * (F.col("copies") - 1) / 2).alias("same"))
     other = near_duplicate_pairs(groups, threshold).groupBy("doc_id").agg(F.sum("line_pairs").alias("other"))

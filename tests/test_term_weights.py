@@ -125,3 +125,29 @@ def test_every_hot_key_is_salted(spark):
     hot = skew.hot_keys(counts, ["k"], "n", rows_per_salt=10)
     assert hot.count() == 1000 and hot.agg({"_salts": "max"}).first()[0] == 10_000
     assert skew.hot_keys(counts, ["k"], "n", rows_per_salt=500_000) is None
+
+
+def test_proportional_lines_are_one_group(spark):
+    table = make_lines(spark, {"d": [" ".join(["ha"] * (i + 1)) for i in range(400)] + ["ho ho hi", "hi ho ho ho ho hi", "ho hi"]})
+    groups = tfidf.line_groups(tfidf.weighted_lines(tfidf.line_profiles(table))).collect()
+    assert sorted((r.pos, r.copies) for r in groups) == [(0, 400), (400, 2), (402, 1)]
+    rate = tfidf.repetition_rate(table).first().repetition_rate
+    assert rate == pytest.approx((400 * 399 / 2 + 1) / (403 * 402 / 2))
+
+
+def test_frequencies_with_common_factors(spark):
+    from pyspark.sql import functions as F
+    rows = [([6, 9, 12],), ([4, 8],), ([5],), ([7, 1],), ([35, 21],), ([2**31, 2**30],)]
+    got = spark.createDataFrame(rows, "f array<bigint>").select(tfidf._common_factor(F.col("f"))).collect()
+    assert [r[0] for r in got] == [3, 4, 5, 1, 7, 2**30]
+
+
+def test_hot_keys_are_split_without_a_change(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    table = make_lines(spark, {"d": [" ".join(words[j] for j in range(7) if (i >> j) & 1 or j == i % 7) for i in range(128)], "e": ["alpha beta"]})
+    groups = tfidf.line_groups(tfidf.weighted_lines(tfidf.line_profiles(table)))
+    for threshold in (0.6, 0.8, 0.95):
+        once, split = ({(r.doc_id, r.a, r.b) for r in tfidf.near_duplicate_pairs(groups, threshold, n).collect()} for n in (10**6, 5))
+        vectors = {r.pos: {t["term"]: t["w"] for t in r.vec} for r in groups.where("doc_id = 'd'").collect()}
+        every = {("d", a, b) for a in vectors for b in vectors if a < b and sum(w * vectors[b].get(t, 0.0) for t, w in vectors[a].items()) > threshold}
+        assert once == split == every
