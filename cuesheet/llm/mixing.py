@@ -4,7 +4,8 @@ A source with the share s of all tokens gets a weight in proportion to s to the
 equal) and 1 (as they are). Bisection finds the largest exponent whose weights reach a target entropy, or the smallest
 that repeats no source more often than allowed. The weights are then realised: a source's documents are dealt into
 blocks, each epoch is a keyed permutation of the blocks, and epochs follow each other until the source's token budget is
-used up. So every document of a source appears equally often, give or take one.
+used up. So every document of a source appears equally often, give or take one, and a source that keeps its share keeps all
+its documents. The last epoch ends at the document that brings its sum nearest to what is left of the budget.
 """
 
 from __future__ import annotations
@@ -105,8 +106,9 @@ def source_budgets(slim: DataFrame, target: Target) -> tuple[DataFrame, float]:
     total = filled.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     raw = F.when(F.col("tokens") > 0, F.pow(F.col("tokens") / F.lit(max(total, 1)), F.lit(exponent))).otherwise(0.0)
     norm = filled.agg(F.coalesce(F.sum(F.pow(F.col("tokens") / F.lit(max(total, 1)), F.lit(exponent))), F.lit(1.0))).first()[0]
-    weighted = sources.withColumn("weight", F.round(raw / F.lit(norm), DIGITS))
-    budgeted = weighted.withColumn("budget", F.floor(F.col("weight") * F.lit(float(target.budget * total))).cast("bigint"))
+    share = raw / F.lit(norm)
+    budgeted = sources.withColumn("weight", F.round(share, DIGITS)) \
+        .withColumn("budget", F.floor(share * F.lit(float(target.budget * total)) + 0.5).cast("bigint"))
     return budgeted.withColumn("passes", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("bigint")) \
         .withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("passes") * F.col("tokens")).otherwise(0).cast("bigint")) \
         .withColumn("blocks", F.ceil(F.col("documents") / BLOCK_DOCUMENTS).cast("bigint")), exponent
@@ -117,7 +119,9 @@ def plan(docs: DataFrame, target: Target = Target(), key: str = "mix") -> DataFr
 
     The order of a source's last epoch is that of its blocks by a digest of key, source, epoch and block, and inside a
     block that of a digest of key and doc_id. Whole blocks are counted first; only the one block where the budget ends
-    is counted by documents. Running totals are taken over ranges of that order, so no source is sorted in one task.
+    is counted by documents. Running totals are taken over ranges of that order, so no source is sorted in one task. A
+    document of more than twice what is left of the budget cannot be in the last epoch and does not end it; the document
+    at the border is taken if the sum is nearer to the budget with it.
     Null texts count as empty, a null source as the source without a name; repeated rows are rows of their own, one of
     them may be taken and the other not. No rows give no rows. Columns other than doc_id, text and source are ignored.
     """
@@ -128,18 +132,20 @@ def plan(docs: DataFrame, target: Target = Target(), key: str = "mix") -> DataFr
     sources = materialise(sources)
     joined = skew.lookup(slim, sources.select("name", "weight", "passes", "rest", "blocks"), ["name"], ["_row"])
     number = F.conv(F.substring("place", 1, 8), 16, 10).cast("bigint")
-    dealt = materialise(joined.withColumn("block", F.pmod(number, F.col("blocks"))))
-    totals = dealt.groupBy("name", "block").agg(F.sum("tokens").alias("block_tokens"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
+    dealt = materialise(joined.withColumn("block", F.pmod(number, F.col("blocks"))).withColumn("fits", F.col("tokens") <= 2 * F.col("rest")))
+    totals = dealt.groupBy("name", "block").agg(
+        F.sum(F.when(F.col("fits"), F.col("tokens")).otherwise(0)).alias("block_tokens"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     ordered = totals.withColumn("turn", digest(key, F.col("name"), F.col("passes"), F.col("block")))
     upto = materialise(with_running_total(ordered, ["name"], [F.col("turn"), F.col("block")], F.col("block_tokens"), "upto"))
     state = upto.select("name", "block", F.when(F.col("upto") <= F.col("rest"), F.lit(1)).when(
         F.col("upto") - F.col("block_tokens") < F.col("rest"), F.lit(2)).otherwise(0).alias("state"),
         (F.col("rest") - (F.col("upto") - F.col("block_tokens"))).alias("left"))
     placed = dealt.join(state.hint("merge"), ["name", "block"])
-    border = placed.where(F.col("state") == 2)
+    border = placed.where((F.col("state") == 2) & F.col("fits"))
     inside = with_running_total(border, ["name"], [F.col("place"), F.col("doc_id"), F.col("tokens"), F.col("_row")], F.col("tokens"), "_upto")
-    taken = inside.withColumn("more", (F.col("_upto") <= F.col("left")).cast("bigint")).drop("_upto")
-    others = placed.where(F.col("state") != 2).withColumn("more", F.col("state").cast("bigint"))
+    before, over = F.col("_upto") - F.col("tokens"), F.col("_upto") - F.col("left")
+    taken = inside.withColumn("more", ((over <= 0) | ((before < F.col("left")) & (over < F.col("left") - before))).cast("bigint")).drop("_upto")
+    others = placed.where((F.col("state") != 2) | ~F.col("fits")).withColumn("more", F.when(F.col("fits"), F.col("state") % 2).otherwise(0).cast("bigint"))
     every = others.unionByName(taken)
     more = F.when(F.col("rest") > 0, F.col("more")).otherwise(0)
     return every.select("doc_id", "source", "tokens", "weight", "block", "passes", (F.col("passes") + more).alias("copies"), "_row")
@@ -153,12 +159,15 @@ def mixed(docs: DataFrame, target: Target = Target(), key: str = "mix") -> DataF
     """The rows of ``documents`` as often as the plan says, with all their columns; a row of 0 copies is gone.
 
     Rows of equal doc_id and source are told apart by their tokens only; where they are alike in all three, each is
-    taken as often as the one taken most.
+    taken as often as the one taken most. Columns of any name pass through.
     """
-    counts = plan(docs, target, key).groupBy(F.col("doc_id").alias("_id"), F.coalesce("source", F.lit("")).alias("_name"), F.col("tokens").alias("_tokens")) \
-        .agg(F.max("copies").cast("int").alias("_copies")).where(F.col("_copies") > 0)
-    return docs.join(counts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (source_name() == F.col("_name")) & (token_count() == F.col("_tokens"))) \
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    counts = plan(docs, target, key).groupBy(F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("name"), "tokens") \
+        .agg(F.max("copies").cast("int").alias("copies")).where(F.col("copies") > 0)
+    # the row goes as one struct, so that no name of its columns meets a name of the plan
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), source_name().alias("own_name"), token_count().alias("own_tokens"))
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_name") == F.col("name")) & (F.col("own_tokens") == F.col("tokens"))
+    met = rows.join(counts.hint("merge"), same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return met.select("row.*")
 
 
 def plan_sql(documents: str = "documents", target: Target = Target(), key: str = "mix") -> str:
@@ -188,15 +197,15 @@ exponent AS (
               WHEN {entropy.format(a="0.0")} < {goal} THEN 0.0
               ELSE round((SELECT low FROM halved WHERE step = {halvings}), {DIGITS}) END::DOUBLE AS a),
 raw AS (SELECT s.*, CASE WHEN tokens > 0 THEN pow(tokens / (SELECT max(total) FROM filled), (SELECT a FROM exponent)) ELSE 0 END AS w FROM sources s),
-weighted AS (SELECT name, documents, tokens, round(w / (SELECT sum(w) FROM raw), {DIGITS}) AS weight FROM raw),
-budgeted AS (SELECT *, floor(weight * (SELECT max(total) FROM filled) * {float(target.budget)})::BIGINT AS budget FROM weighted),
+weighted AS (SELECT name, documents, tokens, w / (SELECT sum(w) FROM raw) AS share FROM raw),
+budgeted AS (SELECT *, round(share, {DIGITS}) AS weight, floor(share * (SELECT max(total) FROM filled) * {float(target.budget)} + 0.5)::BIGINT AS budget FROM weighted),
 budgets AS (
   SELECT name, weight, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END::BIGINT AS passes,
          CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest, ceil(documents / {BLOCK_DOCUMENTS})::BIGINT AS blocks FROM budgeted),
 dealt AS (SELECT slim.*, weight, passes, rest, ('0x' || substr(place, 1, 8))::BIGINT % blocks AS block FROM slim JOIN budgets USING (name)),
-ranked AS (SELECT *, sum(tokens) OVER (PARTITION BY name ORDER BY {sha('name', 'passes', 'block')}, block, place, doc_id, tokens
-                                       ROWS UNBOUNDED PRECEDING) AS upto FROM dealt),
-whole AS (SELECT name, block, sum(tokens) AS t, max(upto) AS last FROM ranked GROUP BY name, block)
-SELECT doc_id, source, r.tokens, weight, r.block, passes,
-       (passes + CASE WHEN rest > 0 AND (last <= rest OR last - t < rest AND upto <= rest) THEN 1 ELSE 0 END)::BIGINT AS copies
-FROM ranked r JOIN whole USING (name, block)"""
+ranked AS (SELECT *, sum(CASE WHEN tokens <= 2 * rest THEN tokens ELSE 0 END) OVER (
+             PARTITION BY name ORDER BY {sha('name', 'passes', 'block')}, block, place, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM dealt)
+SELECT doc_id, source, tokens, weight, block, passes,
+       (passes + CASE WHEN rest > 0 AND tokens <= 2 * rest AND (upto <= rest OR (upto - tokens < rest AND upto - rest < rest - (upto - tokens)))
+                      THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM ranked"""
