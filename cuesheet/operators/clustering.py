@@ -1,7 +1,16 @@
-"""k-means, one model per document, all documents in one plan per round."""
+"""k-means, one model per document, all documents in one plan.
+
+On dense vectors every round is one pass over all documents. On sparse term weights, documents up to a bound of entries
+come together whole, many to a batch, and run all rounds in the task that holds them; larger ones run in rounds over a
+table of (line, term) rows, joined with their centers by term.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -15,6 +24,7 @@ from cuesheet.session import materialise
 ROWS_PER_SALT = 250_000
 #: Rounds go on until no label moves; this bound only stops a model that would never settle.
 MAX_ROUNDS = 300
+ENTRIES_PER_TASK, ENTRIES_PER_BATCH = 2_000_000, 500_000
 
 
 def _salted(points: DataFrame, rows_per_salt: int) -> tuple[DataFrame, DataFrame | None]:
@@ -115,19 +125,103 @@ def _assign(points: DataFrame, centers: DataFrame, hot: DataFrame | None, k: int
     return scores.select("doc_id", "pos", (-best["j"]).alias("cluster"))
 
 
+def _nearest_lines(sums: np.ndarray) -> np.ndarray:
+    """The cluster of the largest score; equal scores (9 decimals) go to the lower number."""
+    return np.round(sums, 9).argmax(1)
+
+
+def _clusters_of_batch(doc_of_line: np.ndarray, first_labels: np.ndarray, copies: np.ndarray, line_of: np.ndarray, term_of: np.ndarray,
+                       doc_of_term: np.ndarray, weights: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """Labels of all lines of several documents. ``first_labels`` is -1 for lines that are no first center."""
+    n_docs = int(doc_of_line.max()) + 1 if len(doc_of_line) else 0
+
+    def assign(labels: np.ndarray) -> np.ndarray:
+        known = labels >= 0
+        sizes = np.bincount(doc_of_line[known] * k + labels[known], copies[known], n_docs * k).reshape(n_docs, k)
+        used = known[line_of]
+        cells = term_of[used] * k + labels[line_of[used]]
+        sums = np.bincount(cells, copies[line_of[used]] * weights[used], len(doc_of_term) * k).reshape(-1, k)
+        held = sizes[doc_of_term]
+        centers = np.where(held > 0, sums / np.maximum(held, 1), 0.0)
+        squares = np.stack([np.bincount(doc_of_term, centers[:, j] ** 2, n_docs) for j in range(k)], 1)
+        bias = np.where(sizes > 0, -squares / 2, -np.inf)
+        scores = np.stack([np.bincount(line_of, weights * centers[term_of, j], len(doc_of_line)) for j in range(k)], 1)
+        return _nearest_lines(scores + bias[doc_of_line])
+
+    labels = assign(first_labels)
+    for _ in range(rounds):
+        moved = assign(labels)
+        if (moved == labels).all():
+            break
+        labels = moved
+    return labels
+
+
+def _whole_documents(lines: DataFrame, entries: DataFrame, k: int, rounds: int) -> DataFrame:
+    """``(doc_id, pos, cluster)`` of documents that fit a task, from ``(doc_id, pos, copies)`` and ``(doc_id, pos, term, w)``."""
+    id_type = lines.schema["doc_id"].dataType.simpleString()
+
+    def fit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists, held = batch.column("lines"), batch.column("entries")
+        flat, terms = lists.flatten(), held.flatten()
+        n_lines, n_entries = np.diff(lists.offsets.to_numpy()), np.diff(held.offsets.to_numpy())
+        doc_of_line, doc_of_entry = np.repeat(np.arange(batch.num_rows), n_lines), np.repeat(np.arange(batch.num_rows), n_entries)
+        place = np.arange(len(doc_of_line)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)  # lines come in the order of pos
+        pos, at = flat.field("pos").to_numpy(), terms.field("pos").to_numpy()
+        words = terms.field("term").dictionary_encode()
+        _, head, term_of = np.unique(doc_of_entry * (len(words.dictionary) + 1) + words.indices.to_numpy(), return_index=True, return_inverse=True)
+        span = int(max(pos.max(initial=0), 0)) + 1
+        line_of = np.searchsorted(doc_of_line * span + pos, doc_of_entry * span + at)
+        labels = _clusters_of_batch(doc_of_line, np.where(place < k, place, -1), flat.field("copies").to_numpy().astype(float), line_of,
+                                    term_of, doc_of_entry[head], terms.field("w").to_numpy(), k, rounds)
+        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc_of_line)), "pos": pa.array(pos),
+                                           "cluster": pa.array(labels.astype(np.int32))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column("entries").offsets.to_numpy()
+            start = 0
+            for i in range(batch.num_rows):
+                if i + 1 == batch.num_rows or ends[i + 2] - ends[start] > ENTRIES_PER_BATCH:
+                    yield fit(batch.slice(start, i + 1 - start))
+                    start = i + 1
+
+    numbered = lines.select("doc_id", F.col("pos").cast("bigint"), "copies").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "copies"))).alias("lines"))
+    held = entries.select("doc_id", F.col("pos").cast("bigint"), "term", "w").groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "term", "w"))).alias("entries"))
+    none = F.array().cast("array<struct<pos:bigint,term:string,w:double>>")
+    both = numbered.join(held, "doc_id", "left").select("doc_id", "lines", F.coalesce("entries", none).alias("entries"))
+    return both.mapInArrow(run, f"doc_id {id_type}, pos bigint, cluster int")
+
+
 def line_clusters(line_table: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS, until_stable: bool = True,
                   rows_per_salt: int = ROWS_PER_SALT, profiles: DataFrame | None = None,
-                  weights: DataFrame | None = None) -> DataFrame:
+                  weights: DataFrame | None = None, entries_per_task: int = ENTRIES_PER_TASK) -> DataFrame:
     """Lloyd's rounds on the term weights of the lines of every document with at least ``k`` lines:
     ``(doc_id, pos, copies, cluster)``, one row per distinct line profile.
 
-    Lines meet centers only on the terms they share. The first ``k`` profiles are the first centers.
+    Lines meet centers only on the terms they share. The first ``k`` profiles are the first centers. Documents with more
+    than ``entries_per_task`` (line, term) entries are clustered as a table, the others whole in a task.
     """
     profiles = tfidf.line_profiles(line_table) if profiles is None else profiles
     weights = tfidf.weighted_terms(profiles) if weights is None else weights
-    sizes = profiles.groupBy("doc_id").agg(F.sum("copies").alias("_n")).where(F.col("_n") >= k).select("doc_id")
-    profiles = profiles.join(sizes, "doc_id", "left_semi")
-    weights = weights.join(sizes, "doc_id", "left_semi").select("doc_id", "pos", "copies", "term", "w")
+    sizes = profiles.groupBy("doc_id").agg(F.sum("copies").alias("_n"), F.sum(F.size("terms") + 1).alias("_entries")).where(F.col("_n") >= k)
+    sizes = materialise(sizes.select("doc_id", (F.col("_entries") > entries_per_task).alias("_large")))
+    profiles = profiles.select("doc_id", "pos", "copies")
+    small, large = (sizes.where(F.col("_large") == kind).select("doc_id") for kind in (False, True))
+    own = profiles.join(small, "doc_id", "left_semi")
+    labels = _whole_documents(own, weights.join(small, "doc_id", "left_semi"), k, rounds)
+    whole = own.join(labels, ["doc_id", "pos"])
+    if large.isEmpty():
+        return whole
+    apart = _clusters_in_rounds(profiles.join(large, "doc_id", "left_semi"), weights.join(large, "doc_id", "left_semi"), k, rounds, until_stable, rows_per_salt)
+    return whole.unionByName(apart)
+
+
+def _clusters_in_rounds(profiles: DataFrame, weights: DataFrame, k: int, rounds: int, until_stable: bool, rows_per_salt: int) -> DataFrame:
+    """The same for documents of any size, one pass over their rows per round."""
+    weights = weights.select("doc_id", "pos", "copies", "term", "w")
     long = weights.unionByName(profiles.select("doc_id", "pos", "copies", F.lit(_BIAS).alias("term"), F.lit(1.0).alias("w")))
     long = materialise(long)
     longest = profiles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0

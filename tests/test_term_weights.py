@@ -104,11 +104,12 @@ def sparse_distance(a, b):
     return sum((a.get(t, 0.0) - b.get(t, 0.0)) ** 2 for t in {*a, *b}) / 2
 
 
-@pytest.mark.parametrize("rows_per_salt", [1_000_000, 7])
-def test_line_clusters_equal_plain_lloyd(spark, corpus, rows_per_salt):
+@pytest.mark.parametrize(("rows_per_salt", "entries_per_task"), [(1_000_000, 10**6), (1_000_000, 0), (7, 0), (7, 200)])
+def test_line_clusters_equal_plain_lloyd(spark, corpus, rows_per_salt, entries_per_task):
+    """Whole in a task, in rounds over a table, and some documents each way."""
     docs = {"hot": corpus["hot"][:60] + ["?", "q"], "long": corpus["long"], "short": ["aa bb", "cc"]}
     table = make_lines(spark, docs)
-    labels = clustering.line_clusters(table, 4, rounds=3, until_stable=False, rows_per_salt=rows_per_salt)
+    labels = clustering.line_clusters(table, 4, rounds=3, until_stable=False, rows_per_salt=rows_per_salt, entries_per_task=entries_per_task)
     sizes = {}
     for r in labels.groupBy("doc_id", "cluster").sum("copies").collect():
         sizes.setdefault(r[0], []).append(r[2])

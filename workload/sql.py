@@ -75,3 +75,36 @@ shares AS (SELECT doc_id, nullif(noun, 0) / n AS pos_noun, nullif(verb, 0) / n A
   CASE WHEN past + present + future = 0 THEN 0.0 ELSE nullif(present, 0) / (past + present + future) END AS tense_present,
   CASE WHEN past + present + future = 0 THEN 0.0 ELSE nullif(future, 0) / (past + present + future) END AS tense_future
   FROM grammar)"""
+
+
+def line_clusters(k: int = 5, rounds: int = 40) -> str:
+    """Lloyd's rounds on the term weights of the distinct lines of every document, until ``rounds`` are done.
+
+    The first k distinct lines are the first centers. More rounds than any document needs to settle change nothing.
+    """
+    return f"""WITH RECURSIVE {tfidf(False)},
+keyed AS (SELECT l.doc_id, l.pos, coalesce(string_agg(tf.term || ':' || tf.tf, ' ' ORDER BY tf.term), '') AS key
+          FROM lines l LEFT JOIN tf ON l.doc_id = tf.doc_id AND l.pos = tf.pos GROUP BY l.doc_id, l.pos),
+prof AS (SELECT doc_id, min(pos) AS pos, count(*) AS copies FROM keyed GROUP BY doc_id, key),
+big AS (SELECT doc_id FROM prof GROUP BY doc_id HAVING sum(copies) >= {k}),
+items AS (SELECT p.*, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS turn FROM prof p JOIN big USING (doc_id)),
+vecs AS (SELECT i.doc_id, i.pos, i.copies, u.term, u.weight AS w FROM items i JOIN u ON u.doc_id = i.doc_id AND u.pos = i.pos),
+labels AS (
+  SELECT 0 AS round, doc_id, pos, turn AS cluster FROM items WHERE turn < {k}
+  UNION ALL
+  SELECT round, doc_id, pos, cluster FROM (
+    WITH now AS (SELECT * FROM labels),
+    size AS (SELECT n.doc_id, n.cluster, sum(i.copies) AS n FROM now n JOIN items i ON n.doc_id = i.doc_id AND n.pos = i.pos GROUP BY ALL),
+    center AS (SELECT n.doc_id, n.cluster, v.term, sum(v.copies * v.w) / any_value(s.n) AS c
+               FROM now n JOIN vecs v ON n.doc_id = v.doc_id AND n.pos = v.pos JOIN size s ON s.doc_id = n.doc_id AND s.cluster = n.cluster GROUP BY ALL),
+    bias AS (SELECT s.doc_id, s.cluster, -coalesce(sum(c.c * c.c), 0) / 2 AS b FROM size s LEFT JOIN center c ON c.doc_id = s.doc_id AND c.cluster = s.cluster GROUP BY ALL),
+    met AS (SELECT v.doc_id, v.pos, c.cluster, sum(v.w * c.c) AS s FROM vecs v JOIN center c ON c.doc_id = v.doc_id AND c.term = v.term GROUP BY ALL),
+    score AS (SELECT i.doc_id, i.pos, b.cluster, round(b.b + coalesce(m.s, 0), 9) AS s FROM items i JOIN bias b ON b.doc_id = i.doc_id
+              LEFT JOIN met m ON m.doc_id = i.doc_id AND m.pos = i.pos AND m.cluster = b.cluster)
+    SELECT (SELECT max(round) + 1 FROM now) AS round, doc_id, pos, cluster FROM score
+    WHERE (SELECT max(round) FROM now) < {rounds}
+    QUALIFY row_number() OVER (PARTITION BY doc_id, pos ORDER BY s DESC, cluster) = 1)),
+found AS (SELECT l.doc_id, l.cluster, sum(i.copies) AS size FROM labels l JOIN items i ON l.doc_id = i.doc_id AND l.pos = i.pos WHERE round = {rounds} GROUP BY ALL),
+shares AS (SELECT doc_id, count(*) AS num_clusters, max(size) / sum(size) AS dominant_cluster_ratio FROM found GROUP BY doc_id)
+SELECT n.doc_id, coalesce(s.num_clusters, n.n)::BIGINT AS num_clusters, coalesce(s.dominant_cluster_ratio, 1.0)::DOUBLE AS dominant_cluster_ratio
+FROM n LEFT JOIN shares s USING (doc_id)"""
