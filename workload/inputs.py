@@ -18,6 +18,18 @@ def document_lines(spark: SparkSession, sf: str) -> DataFrame:
     return L.lines(document_cues(spark, sf))
 
 
+def timed_cues(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of the documents with times by a rule: four seconds apart, every fifth twenty seconds later."""
+    start = F.col("pos") * 4000 + F.floor(F.col("pos") / 5).cast("bigint") * 20_000
+    return document_cues(spark, sf).withColumn("start_ms", start).withColumn("end_ms", start + 1500)
+
+
+def line_vectors(line_table: DataFrame) -> DataFrame:
+    """Three counts of a line as its vector, over seven: characters, letters a to z, blanks and one."""
+    counts = [F.length("line"), F.regexp_count("line", F.lit("[a-z]")), F.regexp_count("line", F.lit(" ")) + 1]
+    return line_table.select("doc_id", "pos", F.array(*[c / 7.0 for c in counts]).alias("vector"))
+
+
 def benchmark_words(spark: SparkSession, sf: str) -> DataFrame:
     texts = read_table(spark, sf, "benchmark")
     return texts.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()

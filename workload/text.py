@@ -74,17 +74,17 @@ def _keyword_multihot(spark, sf):
     return wide.select("doc_id", F.concat(*[F.col(f"`kw_{w}`").cast("string") for w in vocabulary]).alias("bits"))
 
 
-FEATURE_TABLE = ("line_count", "word_count", "avg_sentence_length", "lexical_diversity", "tfidf_keywords", "repetition_rate",
-                 "stopword_ratio", "avg_sentiment", "sentiment_std", "question_rate", "emotion_distribution",
-                 "exclamation_rate", "intensity_score", "pos_distribution", "pronoun_usage", "tense_distribution")
-
-
 def document_feature_table(spark, sf):
+    """All 25 features of every document, with its labels. Of the topic mixture, what SQL can tell: its size and sum."""
+    cues = inputs.timed_cues(spark, sf)
     resources = features.Resources(
-        polarity=inputs.polarity(spark, sf), emotions=inputs.emotions(spark, sf), tags=inputs.tags(spark, sf))
-    table = features.document_features(inputs.document_cues(spark, sf), resources, FEATURE_TABLE)
+        polarity=inputs.polarity(spark, sf), emotions=inputs.emotions(spark, sf), tags=inputs.tags(spark, sf),
+        vectors=inputs.line_vectors(lines.lines(cues)))
+    table = features.document_features(cues, resources)
     table = encoding.expand_dict(_flat_grammar(table), "emotion_distribution", "emotion", EMOTION_COLUMNS)
-    table = table.withColumn("tfidf_keywords", F.concat_ws(" ", "tfidf_keywords"))
+    parts = F.col("topic_distribution")
+    table = table.withColumn("tfidf_keywords", F.concat_ws(" ", "tfidf_keywords")).withColumns({
+        "topics": F.size(parts).cast("bigint"), "topic_total": F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6)}).drop("topic_distribution")
     marks = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("rating"), F.col("toxic").alias("votes"))
     joined = table.join(marks, "doc_id", "left")
     return rounded(joined.withColumns({"rating": F.coalesce("rating", F.lit(0)), "votes": F.coalesce("votes", F.lit(0))}))
@@ -154,6 +154,20 @@ wc AS (SELECT doc_id, count(*) AS word_count, count(DISTINCT tok) / count(*) AS
 _KEYWORD_TABLE = f"kw AS (WITH {sql.KEYWORDS} SELECT doc_id, string_agg(term, ' ' ORDER BY rank) AS tfidf_keywords FROM keywords GROUP BY doc_id)"
 _REPETITION_TABLE = f"rep AS (WITH {sql.tfidf(False)}, {sql.REPETITION} SELECT * FROM repetition)"
 
+_TIMING = """last AS (SELECT doc_id, len(string_split(text, chr(10))) - 1 AS pos FROM documents),
+started AS (SELECT doc_id, pos, pos * 4000 + (pos // 5) * 20000 AS begun FROM lines),
+scenes AS (SELECT doc_id, count(*) AS n, sum(CASE WHEN begun - before >= 20000 THEN 1 ELSE 0 END) AS scenes
+           FROM (SELECT doc_id, begun, lag(begun) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM started) GROUP BY doc_id),
+timing AS (SELECT doc_id, (pos * 4000 + (pos // 5) * 20000 + 1500) / 1000 AS duration_seconds, n / (duration_seconds / 60) AS dialogue_density,
+           scenes / (duration_seconds / 60) AS scene_change_density FROM last JOIN scenes USING (doc_id))"""
+_VECTORS = """vec AS (SELECT doc_id, pos, [length(line) / 7, len(regexp_extract_all(line, '[a-z]')) / 7, (len(regexp_extract_all(line, ' ')) + 1) / 7]::DOUBLE[] AS v FROM lines),
+units AS (SELECT doc_id, pos, list_transform(v, lambda x: x / length) AS u FROM (SELECT *, sqrt(list_dot_product(v, v)) AS length FROM vec)),
+spread AS (SELECT doc_id, (var_pop(v[1]) + var_pop(v[2]) + var_pop(v[3])) / 3 AS semantic_variance FROM vec GROUP BY doc_id),
+alike AS (SELECT l.doc_id, coalesce(avg(list_dot_product(a.u, b.u)), 0) AS semantic_similarity_score
+          FROM lc l LEFT JOIN units a ON a.doc_id = l.doc_id LEFT JOIN units b ON a.doc_id = b.doc_id AND a.pos < b.pos GROUP BY l.doc_id),
+coherent AS (SELECT doc_id, coalesce(avg(list_dot_product(u, p)), 0) AS coherence_score
+             FROM (SELECT doc_id, u, lag(u) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM units) GROUP BY doc_id)"""
+
 ORACLES = {
     "doc_lines": f"WITH {sql.LINES} SELECT doc_id, pos::BIGINT AS pos, line FROM lines",
     "line_count": f"WITH {sql.LINES} SELECT doc_id, count(*) AS line_count FROM lines GROUP BY doc_id",
@@ -192,15 +206,19 @@ ORACLES = {
     "pronoun_usage": f"{_BASE} SELECT doc_id, {_share(sql.PRON)} AS pronoun_usage FROM tokens GROUP BY doc_id",
     "doc_feature_table": f"""WITH {_PROFILE}, {sql.WORDS}, {sql.POLARITY}, {sql.LINE_POLARITY}, {sql.EMOTIONS}, {sql.EMOTION_SUMS},
         {sql.TAGS}, {sql.GRAMMAR}, {_KEYWORD_TABLE}, {_REPETITION_TABLE},
-        sent AS (SELECT doc_id, avg(polarity) AS avg_sentiment, stddev_pop(polarity) AS sentiment_std FROM line_polarity GROUP BY doc_id)
-        SELECT lc.doc_id, line_count, word_count, coalesce(tfidf_keywords, '') AS tfidf_keywords, """ + ", ".join(
+        sent AS (SELECT doc_id, avg(polarity) AS avg_sentiment, stddev_pop(polarity) AS sentiment_std FROM line_polarity GROUP BY doc_id),
+        clu AS ({sql.line_clusters()}), {_TIMING}, {_VECTORS}
+        SELECT lc.doc_id, line_count, word_count, coalesce(tfidf_keywords, '') AS tfidf_keywords, num_clusters, 5::BIGINT AS topics, 1.0::DOUBLE AS topic_total, """ + ", ".join(
         f"round({c}, 6) AS {c}" if c in INEXACT else c for c in (
             "avg_sentence_length", "lexical_diversity", "repetition_rate", "stopword_ratio", "avg_sentiment", "sentiment_std",
             "question_rate", "exclamation_rate", "intensity_score", "pronoun_usage", "pos_noun", "pos_verb", "pos_adjective",
-            "tense_past", "tense_present", "tense_future", "emotion_anger", "emotion_fear", "emotion_joy", "emotion_trust")) + """,
+            "tense_past", "tense_present", "tense_future", "emotion_anger", "emotion_fear", "emotion_joy", "emotion_trust",
+            "dominant_cluster_ratio", "semantic_variance", "semantic_similarity_score", "coherence_score", "dialogue_density", "duration_seconds",
+            "scene_change_density")) + """,
         coalesce(quality, 0) AS rating, coalesce(toxic, 0) AS votes
         FROM lc JOIN wc USING (doc_id) JOIN asl USING (doc_id) JOIN sent USING (doc_id) JOIN emo USING (doc_id) JOIN shares USING (doc_id)
-        JOIN rep USING (doc_id) LEFT JOIN kw USING (doc_id) LEFT JOIN labels USING (doc_id)""",
+        JOIN rep USING (doc_id) JOIN clu USING (doc_id) JOIN timing USING (doc_id) JOIN spread USING (doc_id) JOIN alike USING (doc_id)
+        JOIN coherent USING (doc_id) LEFT JOIN kw USING (doc_id) LEFT JOIN labels USING (doc_id)""",
     "join_features": f"""WITH {_PROFILE} SELECT doc_id AS imdbID, quality AS rating, toxic AS votes, line_count, word_count,
         avg_sentence_length AS avg_sentence_length FROM labels JOIN lc USING (doc_id) JOIN wc USING (doc_id) JOIN asl USING (doc_id)""",
     "append_features": f"""{_BASE}, c AS (SELECT doc_id, count(*) AS word_count FROM tokens GROUP BY doc_id),
