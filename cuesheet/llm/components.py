@@ -21,8 +21,8 @@ def _stars(pairs: DataFrame, include_self: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, component)`` for every node of the ``(u, v)`` edges; the component is its least node.
 
-    Each step is a grouped minimum, summed per task first, and a join that the adaptive planner may split; a hub of any
-    degree is never gathered. The number of rounds grows with the logarithm of the graph. No edges give no rows.
+    Each step is a grouped minimum, summed per task first, and a join whose rows stream through a sort, so a hub of any
+    degree is never gathered; its rows do meet in one task. The number of rounds grows with the logarithm of the graph. No edges give no rows.
     """
     now = materialise(edges.where(F.col("u") != F.col("v")).select(
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())

@@ -5,9 +5,12 @@ the number of leading zeros and ten more bits. An empty bucket borrows another's
 on the bucket. Texts whose registers agree in a whole band become candidates; candidates are gathered in clusters, and
 inside a cluster the full shingle sets are compared.
 
-Equal sets are one node from the start, so a group of copies of any size is one row. A cluster is compared in blocks of
-bounded size: each block with itself first; what does not yet belong to the cluster's largest component then meets all
-other blocks. A tight group therefore costs time in proportion to its size, and nothing but true links is emitted.
+Equal sets are one node from the start, so a group of copies of any size is one row. A cluster of bounded size is compared
+in one task. In a larger one the pairs that share a band with the least node of that band are estimated from their
+registers and verified first, which ties a tight group together in proportion to its size. What is still apart may be
+linked all the same, so nodes of different parts meet on rare shingles: of two linked sets, ordered by how many sets of
+large clusters hold a shingle, the first quarters always have one in common. A passage that many documents share is among
+the last of that order and brings nobody together. Nothing but true links is emitted.
 """
 
 from __future__ import annotations
@@ -30,10 +33,9 @@ BUCKETS, BUCKET_BITS, MANTISSA = 128, 7, 10
 BAND_ROWS = 3
 BANDS = BUCKETS // BAND_ROWS
 SHINGLE = 5
-#: A true link's estimate falls below this with chance 1e-9: six standard deviations under 0.75.
-LEAST_ESTIMATE = 0.52
 LINK = (3, 4)  # intersection * 4 >= union * 3
-BLOCK_ROWS, BLOCK_SHINGLES = 512, 1 << 19
+CLUSTER_ROWS, CLUSTER_SHINGLES = 512, 1 << 19
+ENTRIES_PER_SALT = 1000
 _BORROW = np.stack([np.random.default_rng(b).permutation(BUCKETS) for b in range(BUCKETS)])
 _BORDERS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 
@@ -60,6 +62,15 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0.0, ((a == b).mean(-1) - chance) / (1 - chance))
 
 
+def least_estimate(n: np.ndarray) -> np.ndarray:
+    """What the estimate of a link at 3/4 stays above but for a chance of 1e-9, where the smaller set has ``n`` shingles.
+
+    Six standard deviations of a mean over the buckets that n hashes fill on their own: 0.45 from 128 shingles on, and
+    nothing is ruled out below 17.
+    """
+    return 0.75 - 6 * np.sqrt(0.1875 / (0.6 * np.minimum(n, BUCKETS)))
+
+
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``(doc_id, n_shingles, digest, registers)``; digest and registers are null for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,13 +93,13 @@ def band_keys(column: str = "registers") -> Column:
     return F.array(*[F.xxhash64(F.lit(i), F.substring(column, i * width + 1, width)) for i in range(BANDS)])
 
 
-def candidate_clusters(nodes: DataFrame) -> DataFrame:
-    """``(node, cluster)`` for nodes that share a band with another. Each band's members are tied to one of them."""
+def candidate_edges(nodes: DataFrame) -> DataFrame:
+    """``(u, v, bands)``: every node that shares bands with others, the least node of such a band, and in how many it is that."""
     members = nodes.select("node", F.explode(band_keys()).alias("key"))
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where(F.col("hub") < F.col("other"))
-    edges = members.join(hubs.hint("merge"), "key").where(F.col("node") != F.col("hub")).select(
-        F.col("node").alias("u"), F.col("hub").alias("v"))
-    return components(edges).withColumnRenamed("component", "cluster")
+    hubs = materialise(members.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    met = skew.salted_lookup(members, hubs.select("key", "hub"), ["key"], hubs.select("key", "n"), "n", ["node"])
+    return materialise(met.where(F.col("node") != F.col("hub")).groupBy(F.col("node").alias("u"), F.col("hub").alias("v"))
+                       .agg(F.count(F.lit(1)).alias("bands")))
 
 
 def intersections(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -112,26 +123,18 @@ def intersections(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarra
     return np.rint(common).astype(np.int64)
 
 
-def linked_pairs(rows: list[np.ndarray], others: list[np.ndarray] | None) -> list[tuple[int, int]]:
-    """Index pairs whose full sets reach the similarity; ``others`` None compares the rows with each other once.
-
-    Only rows that have a likely partner by the registers' estimate are compared in full.
-    """
-    right = rows if others is None else others
-    a, b = np.stack([registers(s) for s in rows]), np.stack([registers(s) for s in right])
-    likely = np.stack([estimate(r[None, :], b) for r in a]) >= LEAST_ESTIMATE
-    if others is None:
-        likely = np.triu(likely, 1)
-    left, right_at = np.flatnonzero(likely.any(1)), np.flatnonzero(likely.any(0))
-    if not len(left):
+def linked_pairs(rows: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Index pairs whose full sets reach the similarity. Only rows that have a likely partner are compared in full."""
+    size, marks = np.array([len(s) for s in rows]), np.stack([registers(s) for s in rows])
+    likely = np.stack([estimate(r[None, :], marks) for r in marks]) >= least_estimate(np.minimum.outer(size, size))
+    likely &= np.minimum.outer(size, size) * LINK[1] >= np.maximum.outer(size, size) * LINK[0]
+    np.fill_diagonal(likely, False)
+    at = np.flatnonzero(likely.any(0))
+    if not len(at):
         return []
-    common = intersections([rows[i] for i in left], [right[j] for j in right_at])
-    n, m = np.array([len(rows[i]) for i in left]), np.array([len(right[j]) for j in right_at])
-    linked = common * LINK[1] >= (n[:, None] + m[None, :] - common) * LINK[0]
-    if others is None:
-        linked &= left[:, None] < right_at[None, :]
-    x, y = np.nonzero(linked)
-    return list(zip(left[x].tolist(), right_at[y].tolist(), strict=True))
+    common, n = intersections([rows[i] for i in at], [rows[i] for i in at]), size[at]
+    x, y = np.nonzero(np.triu(common * LINK[1] >= (n[:, None] + n[None, :] - common) * LINK[0], 1))
+    return list(zip(at[x].tolist(), at[y].tolist(), strict=True))
 
 
 def _spanning(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
@@ -153,58 +156,115 @@ def _spanning(pairs: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
     return kept
 
 
-def _block_links(blocks: DataFrame) -> DataFrame:
-    """Links ``(u, v)`` of ``(cluster, i, j, side, node, set)``: side 0 with itself, or with side 1 where there is one."""
+def _links_in_one_task(members: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that span the true components of clusters of bounded size."""
     def run(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("side").to_pylist(), int)
-        nodes = np.array(table.column("node").to_pylist(), np.int64)
-        sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        alone = not bool(table.column("cross")[0].as_py())
-        if not len(left) or not (alone or len(right)):
-            pairs = []
-        elif alone:
-            pairs = _spanning(linked_pairs([sets[i] for i in left], None), len(left))
-        else:
-            found = linked_pairs([sets[i] for i in left], [sets[i] for i in right])
-            pairs = [(a, b - len(left)) for a, b in _spanning([(a, len(left) + b) for a, b in found], len(left) + len(right))]
-        v = left if alone else right
-        return pa.table({"u": pa.array([nodes[left[a]] for a, _ in pairs], pa.int64()), "v": pa.array([nodes[v[b]] for _, b in pairs], pa.int64())})
+        nodes = table.column("node").to_numpy()
+        pairs = _spanning(linked_pairs([np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]), len(nodes))
+        return pa.table({"u": pa.array(nodes[[a for a, _ in pairs]], pa.int64()), "v": pa.array(nodes[[b for _, b in pairs]], pa.int64())})
 
     # comparing is more work than the few bytes tell: as many tasks as any shuffle has, not as few as the bytes would fill
-    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.repartition(tasks, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInArrow(run, "u bigint, v bigint")
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.select("cluster", "node", "set").repartition(tasks, "cluster").groupBy("cluster").applyInArrow(run, "u bigint, v bigint")
 
 
-def cluster_links(members: DataFrame) -> DataFrame:
-    """Links that span the true components of ``(node, cluster, n_shingles, set)``."""
+def _likely(pairs: DataFrame, large: DataFrame) -> DataFrame:
+    """Those ``(u, v)`` pairs of nodes of large clusters that lengths and registers do not rule out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ru", "rv"))
+            n, m = (batch.column(c).to_numpy() for c in ("nu", "nv"))
+            yield batch.select(["u", "v"]).filter(pa.array(estimate(a, b) >= least_estimate(np.minimum(n, m))))
+
+    def side(n: str) -> DataFrame:
+        return large.select(F.col("node").alias(n), F.col("n_shingles").alias(f"n{n}"), F.col("registers").alias(f"r{n}")).hint("merge")
+
+    fit = F.least("nu", "nv") * LINK[1] >= F.greatest("nu", "nv") * LINK[0]
+    met = pairs.join(side("u"), "u").join(side("v"), "v").where(fit)
+    return met.select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(run, "u bigint, v bigint")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those ``(u, v)`` pairs whose full sets are linked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("su"), batch.column("sv"), strict=True):
+                a, b = (np.frombuffer(s.as_py(), np.uint64) for s in (x, y))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                linked.append(common * LINK[1] >= (len(a) + len(b) - common) * LINK[0])
+            yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
+
+    met = pairs.join(sets.select(F.col("node").alias("u"), F.col("set").alias("su")).hint("merge"), "u") \
+        .join(sets.select(F.col("node").alias("v"), F.col("set").alias("sv")).hint("merge"), "v")
+    return materialise(met.select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint"))
+
+
+def rare_meetings(parts: DataFrame) -> DataFrame:
+    """Pairs ``(u, v)`` of ``(node, part, n_shingles, set)`` in different parts whose first quarters share a shingle.
+
+    The order of shingles is how many of these sets hold them, then the shingle itself. Two sets linked at 3/4 have a
+    shingle in common among the first n - ceil(3n/4) + 1 of each. Shingles that one set alone holds are only counted.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                sets = [np.frombuffer(s, np.int64) for s in part.column("set").to_pylist()]
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("node", "part", "n_shingles")),
+                                                  pa.array(np.concatenate(sets))], ["node", "part", "n_shingles", "h"])
+
+    held = parts.select("node", "part", "n_shingles", "set").mapInArrow(run, "node bigint, part bigint, n_shingles bigint, h bigint")
+    shared = materialise(held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), (F.min("part") < F.max("part")).alias("apart")).where(F.col("df") > 1))
+    met = skew.salted_lookup(held, shared, ["h"], shared.select("h", "df"), "df", ["node"])
+    ordered = met.groupBy("node", "part", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "h", "apart"))).alias("held"))
+    alone, first = F.col("n_shingles") - F.size("held"), F.col("n_shingles") - F.ceil(F.col("n_shingles") * LINK[0] / LINK[1]) + 1
+    leading = F.filter(F.slice("held", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int")), lambda x: x["apart"])
+    entries = materialise(ordered.select("node", "part", "n_shingles", F.explode(F.transform(leading, lambda x: x["h"])).alias("h")))
+    hot = skew.hot_keys(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")), ["h"], "n", ENTRIES_PER_SALT)
+    left, right, keys = entries, entries, ["h"]
+    if hot is not None:
+        left, right, keys = skew.add_salt(entries, keys, hot, ["node"]), skew.replicate(entries, keys, hot), ["h", "_salt"]
+    met = left.join(right.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("node", "part", "n_shingles")]).hint("merge"), keys)
+    fit = F.least("n_shingles", "_n_shingles") * LINK[1] >= F.greatest("n_shingles", "_n_shingles") * LINK[0]
+    return materialise(met.where((F.col("part") < F.col("_part")) & fit).select(F.col("node").alias("u"), F.col("_node").alias("v")).distinct())
+
+
+def cluster_links(members: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links that span the true components of ``(node, cluster, n_shingles, set)``, from candidate edges and registers."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")) \
-        .select("cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = materialise(skew.lookup(members, sizes, ["cluster"], ["node"]).withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    inside = materialise(_block_links(placed.select(
-        "cluster", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(0).alias("side"), F.lit(False).alias("cross"), "node", "set")))
-    large = placed.where(F.col("blocks") > 1)
+        .select("cluster", ((F.col("rows") > CLUSTER_ROWS) | (F.col("shingles") > CLUSTER_SHINGLES)).alias("large"))
+    placed = materialise(skew.lookup(members, sizes, ["cluster"], ["node"]))
+    inside = materialise(_links_in_one_task(placed.where(~F.col("large"))))
+    large = placed.where("large").select("node", "n_shingles", "set")
     if large.isEmpty():
         return inside
-    found = components(inside)
-    labelled = materialise(large.join(found, "node", "left").select(
-        "cluster", "blocks", "block", "node", "set", "n_shingles", F.coalesce("component", "node").alias("part")))
-    main = labelled.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(
-        F.max_by("part", F.struct("n", "part")).alias("main"))
-    joined = skew.lookup(labelled, main, ["cluster"], ["node"])
-    outside = joined.where(F.col("part") != F.col("main"))
-    counts = outside.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")).select(
-        "cluster", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("strips"))
-    # every outsider meets every block; the comparison of an outsider with itself is no link because u = v is dropped
-    left = outside.join(counts, "cluster").select(
-        "cluster", F.pmod(F.xxhash64("node", F.lit(1)), F.col("strips")).cast("int").alias("i"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), F.lit(True).alias("cross"), "node", "set")
-    right = joined.join(counts, "cluster").select(
-        "cluster", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("i"), F.col("block").alias("j"),
-        F.lit(1).alias("side"), F.lit(True).alias("cross"), "node", "set")
-    across = materialise(_block_links(left.union(right)).where(F.col("u") != F.col("v")))
-    return inside.union(across)
+    marks = materialise(large.select("node", "n_shingles").join(nodes.select("node", "registers").hint("merge"), "node"))
+
+    def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+        """Every node takes the least part among its own and its linked nodes', then that node's: a step towards components.
+
+        Nodes of one part are connected, which is all that is needed here; connected parts with different names cost
+        verifications, not links.
+        """
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.join(parts.select(F.col("node").alias("v"), "part").hint("merge"), "v").select(F.col("u").alias("node"), "part")
+        least = materialise(parts.union(near).groupBy("node").agg(F.min("part").alias("part")))
+        jump = least.select(F.col("node").alias("part"), F.col("part").alias("next")).hint("merge")
+        return materialise(least.join(jump, "part", "left").select("node", F.coalesce("next", "part").alias("part")))
+
+    # the best edge of every node ties most of a tight group; of the other edges only those between parts are verified
+    best = materialise(edges.groupBy("u").agg(F.max_by("v", F.struct("bands", "v")).alias("v")))
+    links = _verified(_likely(best, marks), large)
+    parts = joined(marks.select("node", F.col("node").alias("part")), links)
+    others = edges.select("u", "v").join(best.hint("merge"), ["u", "v"], "left_anti")
+    between = others.join(parts.select(F.col("node").alias("u"), F.col("part").alias("pu")).hint("merge"), "u") \
+        .join(parts.select(F.col("node").alias("v"), F.col("part").alias("pv")).hint("merge"), "v").where(F.col("pu") != F.col("pv"))
+    more = _verified(_likely(between.select("u", "v"), marks), large)
+    # what is still apart meets on rare shingles
+    rest = rare_meetings(large.join(joined(parts, more).hint("merge"), "node"))
+    return inside.union(links).union(more).union(_verified(_likely(rest, marks), large))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -243,10 +303,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     nodes = materialise(
         rows.where(F.col("digest").isNotNull()).groupBy("digest", "n_shingles", "registers")
         .agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    clusters = materialise(candidate_clusters(nodes))
+    edges = candidate_edges(nodes)
+    clusters = materialise(components(edges.select("u", "v")).withColumnRenamed("component", "cluster"))
     wanted = materialise(nodes.join(clusters, "node").select(F.col("least").alias("id"), "digest", "node", "cluster"))
     members = full_sets(docs, wanted, size).dropDuplicates(["node"])
-    found = components(cluster_links(members))
+    found = components(cluster_links(members, edges, nodes))
     part = nodes.join(found, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("part"))
     names = part.groupBy("part").agg(F.min("least").alias("component_id"))
     labels = materialise(part.join(names, "part").select("digest", "component_id"))
@@ -255,18 +316,27 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return labelled.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _unused(name: str, df: DataFrame) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``documents`` that stay, with all their columns: one of each component, one of repeated rows.
 
-    The ids that go are broadcast behind a check of their number, and joined by a shuffle beyond it.
+    A null or empty text is linked with nothing and stays; rows of equal doc_id and text are one. No rows give no rows;
+    columns of any name pass through. The ids that go are broadcast behind a check of their number, and joined by a
+    shuffle beyond it.
     """
-    gone = materialise(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    table = F.broadcast(gone) if skew.is_small(gone) else gone.hint("merge")
-    kept = docs.join(table, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    twice = materialise(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("doc_id").alias("_twice")))
-    if twice.isEmpty():
+    gone, twice, text = (_unused(n, docs) for n in ("_gone", "_twice", "_text"))
+    leaving = materialise(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct())
+    table = F.broadcast(leaving) if skew.is_small(leaving) else leaving.hint("merge")
+    kept = docs.join(table, F.col("doc_id").eqNullSafe(F.col(gone)), "left_anti")
+    repeated = materialise(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(F.col("doc_id").alias(twice)))
+    if repeated.isEmpty():
         return kept
-    same = F.col("doc_id").eqNullSafe(F.col("_twice"))
-    single = kept.join(twice, same, "left_anti")
-    return single.union(kept.join(twice, same, "left_semi").withColumn("_text", F.coalesce("text", F.lit("")))
-                        .dropDuplicates(["doc_id", "_text"]).drop("_text"))
+    same = F.col("doc_id").eqNullSafe(F.col(twice))
+    single = kept.join(repeated, same, "left_anti")
+    return single.union(kept.join(repeated, same, "left_semi").withColumn(text, F.coalesce("text", F.lit("")))
+                        .dropDuplicates(["doc_id", text]).drop(text))

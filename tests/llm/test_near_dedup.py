@@ -52,16 +52,63 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("rows_in_block", [512, 5])
-def test_components_equal_brute_force(spark, monkeypatch, rows_in_block):
-    """Also with tiny blocks, where most pairs meet only in the second step."""
-    monkeypatch.setattr(N, "BLOCK_ROWS", rows_in_block)
+@pytest.mark.parametrize("rows_in_task", [512, 5])
+def test_components_equal_brute_force(spark, monkeypatch, rows_in_task):
+    """Also where nearly every cluster is large and its parts meet on rare shingles."""
+    monkeypatch.setattr(N, "CLUSTER_ROWS", rows_in_task)
+    monkeypatch.setattr(N, "ENTRIES_PER_SALT", 20)
     rows = corpus(3, 240) + [(1000, None, "", 0), (1001, "", "", 0), (1002, " \n", "", 0), (1003, "One", "", 0), (1004, "one", "", 0),
                              (1005, "É é", "", 0), (1006, "long " * 50_000, "", 0), (1007, "LONG\t" * 50_000, "", 0)]
     got = N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(tuple(r) for r in got) == brute(rows)
 
 
+def test_short_sets_at_the_border_are_never_ruled_out():
+    """3 of 4 shingles in common, 6 of 8, and just below."""
+    r = random.Random(2)
+    rng = np.random.default_rng(2)
+    for _ in range(5_000):
+        both, more = r.choice([(3, 1), (6, 2), (9, 3), (30, 10), (29, 11)])
+        hashes = rng.integers(0, 1 << 63, both + more, dtype=np.uint64) * np.uint64(2)
+        assert bool(N.linked_pairs([np.sort(hashes), np.sort(hashes[:both])])) == (both * 4 >= (both + more) * 3)
+
+
+def test_texts_that_share_one_passage_and_a_tight_group(spark):
+    r = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(2_000):
+        own = [f"t{r.randrange(10**9)}" for _ in range(70)]
+        rows.append((i, " ".join(own[:35] + passage + own[35:]), "", 0))
+        if i % 100 == 0:  # a true partner of every hundredth
+            rows.append((10_000 + i, " ".join(own[:35] + passage + own[35:60]), "", 0))
+    base = [f"g{i}" for i in range(150)] + passage
+    for i in range(900):
+        text = list(base)
+        for _ in range(r.choice([0, 1, 2, 5])):
+            text[r.randrange(150)] = f"e{r.randrange(10**9)}"
+        rows.append((20_000 + i, " ".join(text), "", 0))
+    got = {x["doc_id"]: x["component_id"] for x in N.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sets = {i: brute_set(t) for i, t, *_ in rows}
+    holders = {}
+    for i, s in sets.items():
+        for h in s:
+            holders.setdefault(h, []).append(i)
+    label = {i: i for i in sets}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, s in sets.items():  # partners share a shingle that no other group has
+        rare = {j for h in s if len(holders[h]) < 1_000 for j in holders[h] if j < i}
+        for j in rare:
+            if root(i) != root(j) and 4 * len(s & sets[j]) >= 3 * len(s | sets[j]):
+                label[max(root(i), root(j))] = min(root(i), root(j))
+    assert got == {i: root(i) for i in sets}
+
+
 def test_repeated_rows_and_null_ids(spark):
     got = N.near_duplicates(spark.createDataFrame([(1, "a b", "", 0), (1, "a b", "", 0), (None, "a b", "", 0), (None, "z", "", 0), (2, "other", "", 0)], SCHEMA)).collect()
     assert sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in got), key=str) == sorted(
@@ -92,3 +139,11 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 200), (200, 250)]
     got = {r["node"]: r["component"] for r in C.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}, 200: 200, 250: 200, 300: 200}
+
+
+def test_one_row_of_each_group_with_columns_of_any_name(spark):
+    rows = [(1, "a b c d e f", "x", 1, "p"), (2, "a b c d e f", "y", 2, "q"), (3, None, "z", 3, "r"), (3, None, "z", 3, "r"), (4, "other", "w", 4, "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _text string, _gone int, _twice string")
+    got = N.one_of_each_group(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+    assert N.one_of_each_group(docs.limit(0)).count() == 0
