@@ -7,8 +7,6 @@ table of (line, term) rows, joined with their centers by term.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
@@ -19,12 +17,12 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions.vectors import as_double, squared_distance
 from cuesheet.operators import skew, tfidf
+from cuesheet.operators.collections import ENTRIES_PER_TASK, Batch, Collection, in_documents
 from cuesheet.session import materialise
 
 ROWS_PER_SALT = 250_000
 #: Rounds go on until no label moves; this bound only stops a model that would never settle.
 MAX_ROUNDS = 300
-ENTRIES_PER_TASK, ENTRIES_PER_BATCH = 2_000_000, 500_000
 
 
 def _salted(points: DataFrame, rows_per_salt: int) -> tuple[DataFrame, DataFrame | None]:
@@ -157,65 +155,31 @@ def _clusters_of_batch(doc_of_line: np.ndarray, first_labels: np.ndarray, copies
     return labels
 
 
-def _whole_documents(lines: DataFrame, entries: DataFrame, k: int, rounds: int) -> DataFrame:
-    """``(doc_id, pos, cluster)`` of documents that fit a task, from ``(doc_id, pos, copies)`` and ``(doc_id, pos, term, w)``."""
-    id_type = lines.schema["doc_id"].dataType.simpleString()
-
-    def fit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        lists, held = batch.column("lines"), batch.column("entries")
-        flat, terms = lists.flatten(), held.flatten()
-        n_lines, n_entries = np.diff(lists.offsets.to_numpy()), np.diff(held.offsets.to_numpy())
-        doc_of_line, doc_of_entry = np.repeat(np.arange(batch.num_rows), n_lines), np.repeat(np.arange(batch.num_rows), n_entries)
-        place = np.arange(len(doc_of_line)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)  # lines come in the order of pos
-        pos, at = flat.field("pos").to_numpy(), terms.field("pos").to_numpy()
-        words = terms.field("term").dictionary_encode()
-        _, head, term_of = np.unique(doc_of_entry * (len(words.dictionary) + 1) + words.indices.to_numpy(), return_index=True, return_inverse=True)
-        span = int(max(pos.max(initial=0), 0)) + 1
-        line_of = np.searchsorted(doc_of_line * span + pos, doc_of_entry * span + at)
-        labels = _clusters_of_batch(doc_of_line, np.where(place < k, place, -1), flat.field("copies").to_numpy().astype(float), line_of,
-                                    term_of, doc_of_entry[head], terms.field("w").to_numpy(), k, rounds)
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(doc_of_line)), "pos": pa.array(pos),
-                                           "cluster": pa.array(labels.astype(np.int32))})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = batch.column("entries").offsets.to_numpy()
-            start = 0
-            for i in range(batch.num_rows):
-                if i + 1 == batch.num_rows or ends[i + 2] - ends[start] > ENTRIES_PER_BATCH:
-                    yield fit(batch.slice(start, i + 1 - start))
-                    start = i + 1
-
-    numbered = lines.select("doc_id", F.col("pos").cast("bigint"), "copies").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "copies"))).alias("lines"))
-    held = entries.select("doc_id", F.col("pos").cast("bigint"), "term", "w").groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "term", "w"))).alias("entries"))
-    none = F.array().cast("array<struct<pos:bigint,term:string,w:double>>")
-    both = numbered.join(held, "doc_id", "left").select("doc_id", "lines", F.coalesce("entries", none).alias("entries"))
-    return both.mapInArrow(run, f"doc_id {id_type}, pos bigint, cluster int")
-
-
 def line_clusters(line_table: DataFrame, k: int = 5, rounds: int = MAX_ROUNDS, until_stable: bool = True,
-                  rows_per_salt: int = ROWS_PER_SALT, profiles: DataFrame | None = None,
-                  weights: DataFrame | None = None, entries_per_task: int = ENTRIES_PER_TASK) -> DataFrame:
+                  rows_per_salt: int = ROWS_PER_SALT, lines: Collection | None = None, entries_per_task: int = ENTRIES_PER_TASK) -> DataFrame:
     """Lloyd's rounds on the term weights of the lines of every document with at least ``k`` lines:
     ``(doc_id, pos, copies, cluster)``, one row per distinct line profile.
 
-    Lines meet centers only on the terms they share. The first ``k`` profiles are the first centers. Documents with more
-    than ``entries_per_task`` (line, term) entries are clustered as a table, the others whole in a task.
+    Lines meet centers only on the terms they share. The first ``k`` profiles are the first centers. Documents that may have
+    more than ``entries_per_task`` (line, term) entries are clustered as a table, the others whole in a task.
     """
-    profiles = tfidf.line_profiles(line_table) if profiles is None else profiles
-    weights = tfidf.weighted_terms(profiles) if weights is None else weights
-    sizes = profiles.groupBy("doc_id").agg(F.sum("copies").alias("_n"), F.sum(F.size("terms") + 1).alias("_entries")).where(F.col("_n") >= k)
-    sizes = materialise(sizes.select("doc_id", (F.col("_entries") > entries_per_task).alias("_large")))
-    profiles = profiles.select("doc_id", "pos", "copies")
-    small, large = (sizes.where(F.col("_large") == kind).select("doc_id") for kind in (False, True))
-    own = profiles.join(small, "doc_id", "left_semi")
-    labels = _whole_documents(own, weights.join(small, "doc_id", "left_semi"), k, rounds)
-    whole = own.join(labels, ["doc_id", "pos"])
-    if large.isEmpty():
+    def fit(b: Batch) -> pa.RecordBatch:
+        line, term, _, w = b.weighted()
+        size = np.bincount(b.doc_of_line, minlength=b.n_docs)
+        place = np.arange(len(b.pos)) - (np.cumsum(size) - size)[b.doc_of_line]  # lines come in the order of pos
+        labels = _clusters_of_batch(b.doc_of_line, np.where(place < k, place, -1), b.copies.astype(float), line, term, b.doc_of_term, w, k, rounds)
+        kept = np.flatnonzero(b.n_lines[b.doc_of_line] >= k)
+        return pa.RecordBatch.from_arrays([b.of_lines(kept), pa.array(b.pos[kept]), pa.array(b.copies[kept]), pa.array(labels[kept].astype(np.int32))],
+                                          ["doc_id", "pos", "copies", "cluster"])
+
+    lines = lines or tfidf.collection(line_table, entries_per_task)
+    whole = in_documents(lines.whole, fit, "pos bigint, copies bigint, cluster int")
+    if lines.large is None:
         return whole
-    apart = _clusters_in_rounds(profiles.join(large, "doc_id", "left_semi"), weights.join(large, "doc_id", "left_semi"), k, rounds, until_stable, rows_per_salt)
+    profiles = tfidf.line_profiles(lines.large).withColumn("pos", F.col("pos").cast("bigint"))
+    many = materialise(profiles.groupBy("doc_id").agg(F.sum("copies").alias("_n")).where(F.col("_n") >= k).select("doc_id"))
+    profiles = profiles.join(many, "doc_id", "left_semi")
+    apart = _clusters_in_rounds(profiles.select("doc_id", "pos", "copies"), tfidf.weighted_terms(profiles), k, rounds, until_stable, rows_per_salt)
     return whole.unionByName(apart)
 
 
@@ -252,12 +216,11 @@ def _clusters_in_rounds(profiles: DataFrame, weights: DataFrame, k: int, rounds:
     return profiles.select("doc_id", "pos", "copies").join(labels, ["doc_id", "pos"])
 
 
-def line_cluster_features(line_table: DataFrame, n_clusters: int = 5, rounds: int = MAX_ROUNDS, profiles: DataFrame | None = None,
-                          weights: DataFrame | None = None) -> DataFrame:
+def line_cluster_features(line_table: DataFrame, n_clusters: int = 5, rounds: int = MAX_ROUNDS, lines: Collection | None = None) -> DataFrame:
     """``num_clusters`` and ``dominant_cluster_ratio`` of the term weights; n and 1.0 below ``n_clusters`` lines."""
-    profiles = tfidf.line_profiles(line_table) if profiles is None else profiles
-    labels = line_clusters(line_table, n_clusters, rounds, profiles=profiles, weights=weights)
+    lines = lines or tfidf.collection(line_table)
+    labels = line_clusters(line_table, n_clusters, rounds, lines=lines)
     found = labels.groupBy("doc_id", "cluster").agg(F.sum("copies").alias("size")).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("_clusters"), (F.max("size") / F.sum("size")).alias("_ratio"))
-    return profiles.groupBy("doc_id").agg(F.sum("copies").alias("_n")).join(found, "doc_id", "left").select(
+    return line_table.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).join(found, "doc_id", "left").select(
         "doc_id", F.coalesce("_clusters", "_n").alias("num_clusters"), F.coalesce("_ratio", F.lit(1.0)).alias("dominant_cluster_ratio"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,11 +18,14 @@ from cuesheet.functions import text
 from cuesheet.functions.vectors import let
 from cuesheet.functions.wordlists import STOP_WORDS
 from cuesheet.operators import skew
+from cuesheet.operators.collections import ENTRIES_PER_TASK, Batch, Collection, gather, in_documents, split_by_size
 from cuesheet.session import materialise
 
 EPSILON = 1e-9
 #: A key with more lines than this is paired in several tasks.
 PAIRED_ROWS_PER_SALT = 20_000
+#: Lines of a document are compared inside a task while lines times entries stay below this, so many products at a time.
+PRODUCTS_PER_TASK, PRODUCTS_AT_ONCE = 400_000_000, 2_000_000
 
 
 def _frequencies(words: Column) -> Column:
@@ -80,10 +85,26 @@ def weighted_terms(profiles: DataFrame, rows_per_salt: int = skew.ROWS_PER_SALT)
         .select("doc_id", "pos", "copies", "t.term", "t.df", "t.tf", "t.w")
 
 
-def line_tfidf(line_table: DataFrame, stop_words: Sequence[str] = ()) -> DataFrame:
+def collection(line_table: DataFrame, entries_per_task: int = ENTRIES_PER_TASK, merge: bool = True,
+               products_per_task: int | None = None) -> Collection:
+    """The lines of every document with their term counts, gathered where the document fits a task."""
+    fitting, large = split_by_size(line_table, entries_per_task, products_per_task)
+    return Collection(gather(line_term_counts(fitting), merge), large)
+
+
+def line_tfidf(line_table: DataFrame, stop_words: Sequence[str] = (), entries_per_task: int = ENTRIES_PER_TASK) -> DataFrame:
     """Weights per line and term: ``(doc_id, pos, term, weight)``."""
-    each = materialise(line_term_counts(line_table, stop_words).withColumn("copies", F.lit(1).cast("bigint")))
-    return weighted_terms(each).select("doc_id", "pos", "term", F.col("w").alias("weight"))
+    def rows(b: Batch) -> pa.RecordBatch:
+        line, term, _, w = b.weighted()
+        return pa.RecordBatch.from_arrays([b.of_lines(line), pa.array(b.pos[line]), b.words.take(pa.array(term)), pa.array(w)],
+                                          ["doc_id", "pos", "term", "weight"])
+
+    lines = collection(line_table, entries_per_task, merge=False)
+    found = in_documents(lines.whole, rows, "pos bigint, term string, weight double", stop_words)
+    if lines.large is None:
+        return found
+    each = materialise(line_term_counts(lines.large, stop_words).withColumn("copies", F.lit(1).cast("bigint")))
+    return found.unionByName(weighted_terms(each).select("doc_id", F.col("pos").cast("bigint"), "term", F.col("w").alias("weight")))
 
 
 def without_words(profiles: DataFrame, stop_words: Sequence[str]) -> DataFrame:
@@ -93,27 +114,41 @@ def without_words(profiles: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     return profiles.withColumn("terms", F.filter("terms", lambda t: ~t["term"].isin(*stop_words)))
 
 
-def tfidf_keywords(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[str] = tuple(STOP_WORDS),
-                   profiles: DataFrame | None = None) -> DataFrame:
-    """Terms with the largest summed weight, rank 1 first; ties in alphabetical order.
-
-    The rank filter lets each task keep ``top_n`` rows per document before the shuffle.
-    """
-    rows = without_words(line_profiles(line_table) if profiles is None else profiles, stop_words)
-    summed = weighted_terms(rows).groupBy("doc_id", "term").agg(
+def _ranked_terms(profiles: DataFrame, top_n: int, stop_words: Sequence[str]) -> DataFrame:
+    """Keywords over a table of profiles. The rank filter lets each task keep ``top_n`` rows per document before the shuffle."""
+    summed = weighted_terms(without_words(profiles, stop_words)).groupBy("doc_id", "term").agg(
         F.round(F.sum(F.col("copies") * F.col("w")), 9).alias("score"))
     best = Window.partitionBy("doc_id").orderBy(F.col("score").desc(), "term")
     return summed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_n)
 
 
 def keyword_lists(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[str] = tuple(STOP_WORDS),
-                  profiles: DataFrame | None = None) -> DataFrame:
-    """One array of at most ``top_n`` keywords per document; empty where a document has only stop words."""
-    rows = line_profiles(line_table) if profiles is None else profiles
-    ranked = tfidf_keywords(line_table, top_n, stop_words, rows)
-    gathered = ranked.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("r"))
-    return rows.select("doc_id").distinct().join(gathered, "doc_id", "left").select(
-        "doc_id", F.coalesce(F.col("r.term"), F.array().cast("array<string>")).alias("tfidf_keywords"))
+                  lines: Collection | None = None, entries_per_task: int = ENTRIES_PER_TASK) -> DataFrame:
+    """One array of at most ``top_n`` keywords per document, the largest summed weight first, ties in alphabetical order;
+    empty where a document has only stop words."""
+    def best(b: Batch) -> pa.RecordBatch:
+        line, term, _, w = b.weighted()
+        score = np.round(np.bincount(term, b.copies[line] * w, len(b.doc_of_term)), 9)
+        order = np.lexsort((np.arange(len(score)), -score, b.doc_of_term))
+        size = np.bincount(b.doc_of_term, minlength=b.n_docs)
+        first = order[np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size) < top_n]
+        ends = np.concatenate([[0], np.cumsum(np.minimum(size, top_n))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([b.ids, pa.ListArray.from_arrays(pa.array(ends), b.words.take(pa.array(first)))], ["doc_id", "tfidf_keywords"])
+
+    lines = lines or collection(line_table, entries_per_task)
+    found = in_documents(lines.whole, best, "tfidf_keywords array<string>", stop_words)
+    if lines.large is None:
+        return found
+    rows = line_profiles(lines.large)
+    gathered = _ranked_terms(rows, top_n, stop_words).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("r"))
+    return found.unionByName(rows.select("doc_id").distinct().join(gathered, "doc_id", "left").select(
+        "doc_id", F.coalesce(F.col("r.term"), F.array().cast("array<string>")).alias("tfidf_keywords")))
+
+
+def tfidf_keywords(line_table: DataFrame, top_n: int = 10, stop_words: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+    """Terms with the largest summed weight, rank 1 first; ties in alphabetical order."""
+    return keyword_lists(line_table, top_n, stop_words).select("doc_id", F.posexplode("tfidf_keywords").alias("rank", "term")) \
+        .withColumn("rank", F.col("rank") + 1)
 
 
 def _common_factor(frequencies: Column) -> Column:
@@ -235,15 +270,104 @@ def near_duplicate_pairs(groups: DataFrame, threshold: float = 0.95, rows_per_sa
     )
 
 
-def repetition_rate(line_table: DataFrame, threshold: float = 0.95, profiles: DataFrame | None = None,
-                    weights: DataFrame | None = None) -> DataFrame:
+def _alike_in_batch(b: Batch, threshold: float) -> np.ndarray:
+    """Pairs of lines above the threshold, of every document: the groups of ``line_groups``, each compared with all others
+    of its document."""
+    line, term, tf, w = b.weighted()
+    shared = b.df[term] > 1
+    found, cuts = np.zeros(b.n_docs), np.searchsorted(line, np.arange(len(b.pos) + 1))
+    lost = np.bincount(line[~shared], w[~shared] ** 2, len(b.pos))
+    held = np.flatnonzero(np.diff(cuts))
+    factor = np.ones(len(b.pos), np.int64)
+    factor[held] = np.gcd.reduceat(tf, cuts[held]) if len(held) else 1
+    # rare terms come first, so the terms of a single line stand before the shared ones
+    tf, split = tf // factor[line], cuts[:-1] + np.bincount(line[~shared], minlength=len(b.pos)).astype(np.int64)
+    groups: dict[tuple, int] = {}
+    copies: list[int] = []
+    heads: list[int] = []
+    for i in held.tolist():
+        a, m, e = cuts[i], split[i], cuts[i + 1]
+        at = groups.setdefault((b.doc_of_line[i], term[m:e].tobytes(), tf[m:e].tobytes(), np.sort(tf[a:m]).tobytes()), len(heads))
+        if at == len(heads):
+            heads.append(i)
+            copies.append(0)
+        copies[at] += int(b.copies[i])
+    head, n = np.array(heads, np.int64), np.array(copies, np.float64)
+    doc = b.doc_of_line[head]
+    alike = (split[head] == cuts[head]) | (1 - lost[head] > threshold)
+    found += np.bincount(doc[alike], n[alike] * (n[alike] - 1) / 2, b.n_docs)
+    # what a line keeps of its mass bounds its cosine with any other
+    near = np.flatnonzero((1 - lost[head] > threshold * threshold - EPSILON) & (split[head] < cuts[head + 1]))
+    for d, part in zip(*_runs(doc[near], near), strict=True):
+        if len(part) > 1:
+            found[d] += _pairs_above(part, head, n, split, cuts, term, w, threshold)
+    return found
+
+
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    at = np.flatnonzero(np.diff(keys)) + 1
+    return (keys[np.concatenate([[0], at])].tolist(), np.split(values, at)) if len(keys) else ([], [])
+
+
+def _pairs_above(part: np.ndarray, head: np.ndarray, n: np.ndarray, split: np.ndarray, cuts: np.ndarray, term: np.ndarray, w: np.ndarray,
+                 threshold: float) -> float:
+    """Line pairs of different groups of one document with a cosine above the threshold, some groups against all at a time."""
+    first, last = split[head[part]], cuts[head[part] + 1]
+    size = last - first
+    start = np.cumsum(size) - size
+    entry = np.repeat(first - start, size) + np.arange(size.sum())
+    _, column = np.unique(term[entry], return_inverse=True)
+    weight, width, total = w[entry], int(column.max()) + 1, 0.0
+    step = max(1, PRODUCTS_AT_ONCE // max(len(entry), width))
+    owner = np.repeat(np.arange(len(part)), size)
+    for at in range(0, len(part), step):
+        end = min(at + step, len(part))
+        mine = slice(start[at], start[end] if end < len(part) else len(entry))
+        block = np.zeros((width, end - at))
+        block[column[mine], owner[mine] - at] = weight[mine]
+        rest = slice(start[at], None)  # only groups from this block on
+        cosine = np.add.reduceat(block[column[rest]] * weight[rest, None], start[at:] - start[at], axis=0)
+        above = (cosine > threshold) & (np.arange(at, len(part))[:, None] > np.arange(at, end)[None, :])
+        total += float((above * n[part[at:], None] * n[part[at:end]][None, :]).sum())
+    return total
+
+
+def repetition_rate(line_table: DataFrame, threshold: float = 0.95, lines: Collection | None = None,
+                    entries_per_task: int = ENTRIES_PER_TASK, products_per_task: int = PRODUCTS_PER_TASK) -> DataFrame:
     """Share of line pairs whose cosine is above the threshold; 0 for fewer than two lines.
 
     Lines of one group are counted as n(n-1)/2 without making the pairs: copies match, and lines that differ in single
-    terms all have the cosine 1 - lost, and so have lines that repeat the same terms in proportion. A line without terms matches nothing.
+    terms all have the cosine 1 - lost, and so have lines that repeat the same terms in proportion. A line without terms
+    matches nothing. Groups are compared inside the task that holds the document, or, in a larger one, where they meet.
     """
-    profiles = line_profiles(line_table) if profiles is None else profiles
-    groups = materialise(line_groups(weighted_lines(profiles) if weights is None else weights))
+    if not 0 < threshold < 1:
+        raise ValueError("threshold must lie between 0 and 1")
+
+    def rates(b: Batch) -> pa.RecordBatch:
+        pairs = b.n_lines * (b.n_lines - 1) / 2
+        return pa.RecordBatch.from_arrays([b.ids, pa.array(np.where(pairs > 0, _alike_in_batch(b, threshold) / np.maximum(pairs, 1), 0.0))],
+                                          ["doc_id", "repetition_rate"])
+
+    tables = []
+    if lines is None:
+        lines = collection(line_table, entries_per_task, products_per_task=products_per_task)
+        whole = lines.whole
+    else:  # gathered for others too, who take more
+        entries = F.aggregate("lines", F.lit(0).cast("bigint"), lambda n, x: n + F.size(x["terms"]))
+        many = entries * F.size("lines") > products_per_task
+        whole = lines.whole.where(~many)
+        wide = materialise(lines.whole.where(many).select("doc_id", F.inline("lines")))
+        tables += [] if wide.isEmpty() else [wide]
+    if lines.large is not None:
+        tables.append(line_profiles(lines.large).select("doc_id", F.col("pos").cast("bigint"), "copies", "terms"))
+    found = in_documents(whole, rates, "repetition_rate double")
+    for profiles in tables:
+        found = found.unionByName(_repetition_of_tables(profiles, threshold))
+    return found
+
+
+def _repetition_of_tables(profiles: DataFrame, threshold: float) -> DataFrame:
+    groups = materialise(line_groups(weighted_lines(profiles)))
     alike = (F.size("lone") == 0) | (1 - F.col("lost") > threshold)
     same = groups.where(alike).groupBy("doc_id").agg(F.sum(F.col("copies") * (F.col("copies") - 1) / 2).alias("same"))
     other = near_duplicate_pairs(groups, threshold).groupBy("doc_id").agg(F.sum("line_pairs").alias("other"))

@@ -70,7 +70,7 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
     """One row per document that has cues: ``doc_id`` and the wanted features, in the fixed order.
 
     Each family of features makes one small table per document; they are joined on the id at the end. What several
-    families read (cues, token counts, term profiles and weights) is computed once and written.
+    families read (cues, token counts, term counts of gathered lines) is computed once and written.
     """
     r = resources or Resources()
     want = set(wanted)
@@ -79,21 +79,19 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
     grammatical = r.tags is not None and bool(want & set(FEATURE_GROUPS["syntactic_grammatical_features"]))
     emotional = r.emotions is not None and "emotion_distribution" in want
     clustered = bool(want & {"num_clusters", "dominant_cluster_ratio"})
-    counts = profiles = weights = None
+    counts = gathered = None
     if "lexical_diversity" in want or grammatical or emotional:
         counts = materialise(lines.token_counts(line_table))
     if clustered or want & {"tfidf_keywords", "repetition_rate"}:
-        profiles = tfidf.line_profiles(line_table)
-    if clustered or "repetition_rate" in want:
-        weights = materialise(tfidf.weighted_terms(profiles))
+        gathered = tfidf.collection(line_table).kept()
 
     parts: list[DataFrame] = [lexical.lexical_profile(line_table, r.stop_words, r.intensity_words)]
     if "lexical_diversity" in want:
         parts.append(lexical.lexical_diversity(line_table, counts))
     if "tfidf_keywords" in want:
-        parts.append(tfidf.keyword_lists(line_table, r.top_n, r.stop_words, profiles))
+        parts.append(tfidf.keyword_lists(line_table, r.top_n, r.stop_words, gathered))
     if "repetition_rate" in want:
-        parts.append(tfidf.repetition_rate(line_table, r.similarity_threshold, profiles, weights))
+        parts.append(tfidf.repetition_rate(line_table, r.similarity_threshold, gathered))
     if r.polarity is not None and want & {"avg_sentiment", "sentiment_std"}:
         parts.append(lexicon.sentiment(line_table, r.polarity))
     if emotional:
@@ -103,7 +101,7 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
     elif "pronoun_usage" in want:
         parts.append(lexicon.pronoun_usage(line_table))
     if clustered:
-        parts.append(clustering.line_cluster_features(line_table, r.n_clusters, r.cluster_rounds, profiles, weights))
+        parts.append(clustering.line_cluster_features(line_table, r.n_clusters, r.cluster_rounds, gathered))
     if r.vectors is not None and want & {"semantic_variance", "semantic_similarity_score", "coherence_score"}:
         parts += [semantic.semantic_variance(r.vectors), semantic.pairwise_similarity(r.vectors), semantic.coherence(r.vectors)]
     if "start_ms" in cues.columns and want & set(FEATURE_GROUPS["structural_features"]):
