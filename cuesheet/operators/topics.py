@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from cuesheet.functions import text
 from cuesheet.functions.wordlists import STOP_WORDS
-from cuesheet.operators import skew
+from cuesheet.operators import skew, tfidf
+from cuesheet.operators.collections import ENTRIES_PER_TASK, Batch, Collection, in_documents
 from cuesheet.session import materialise
 
-ENTRIES_PER_TASK, ENTRIES_PER_BATCH = 2_000_000, 200_000
 ROWS_PER_SALT = 250_000
 LINE_STEPS, LINE_TOLERANCE = 100, 1e-3
 
@@ -121,45 +121,30 @@ def _list_of(values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(values.reshape(-1)))
 
 
-def fit_whole(entries: DataFrame, s: Settings) -> DataFrame:
-    """``(doc_id, total)``: summed mixtures of the lines of documents that fit a task, all rounds in that task."""
-    id_type = entries.schema["doc_id"].dataType.simpleString()
-
-    def fit(docs: pa.RecordBatch) -> pa.RecordBatch:
-        lists = docs.column("entries")
-        flat, size = lists.flatten(), np.diff(lists.offsets.to_numpy())
-        doc_of = np.repeat(np.arange(docs.num_rows), size)
-        words = flat.field("term").dictionary_encode()
-        _, first, term_of = np.unique(doc_of * (len(words.dictionary) + 1) + words.indices.to_numpy(), return_index=True, return_inverse=True)
-        lines = flat.field("line").dictionary_encode()
-        _, head, line_of = np.unique(doc_of * (len(lines.dictionary) + 1) + lines.indices.to_numpy(), return_index=True, return_inverse=True)
-        counts, copies = flat.field("n").to_numpy(), flat.field("copies").to_numpy()
-        topics = first_weights(flat.field("hash").to_numpy(), s)[first]
-        owner = doc_of[first]
+def fit_whole(whole: DataFrame, s: Settings, stop_words: Sequence[str] = ()) -> DataFrame:
+    """``(doc_id, topic_distribution)``: mean mixtures of the lines of gathered documents, all rounds in the task that holds them."""
+    def fit(b: Batch) -> pa.RecordBatch:
+        order = np.argsort(b.line_of, kind="stable")
+        line, term_of, counts, copies = b.line_of[order], b.term_of[order], b.tf[order].astype(float), b.copies[b.line_of[order]]
+        held, line_of = np.unique(line, return_inverse=True)  # lines without terms are even
+        topics, owner = first_weights(b.hashes, s), b.doc_of_term
 
         def expected() -> tuple[np.ndarray, np.ndarray]:
-            totals = np.stack([np.bincount(owner, topics[:, k], docs.num_rows) for k in range(s.topics)], 1)
-            return line_mixtures(counts, line_of, entry_weights(topics, totals[owner])[term_of], len(head), s)
+            totals = np.stack([np.bincount(owner, topics[:, k], b.n_docs) for k in range(s.topics)], 1)
+            return line_mixtures(counts, line_of, entry_weights(topics, totals[owner])[term_of], len(held), s)
 
         for _ in range(s.rounds):
             _, found = expected()
-            topics = s.eta + np.stack([np.bincount(term_of, found[:, k] * copies, len(first)) for k in range(s.topics)], 1)
+            topics = s.eta + np.stack([np.bincount(term_of, found[:, k] * copies, len(owner)) for k in range(s.topics)], 1)
         mixture, _ = expected()
-        part = mixture / mixture.sum(1)[:, None] * copies[head][:, None]
-        total = np.stack([np.bincount(doc_of[head], part[:, k], docs.num_rows) for k in range(s.topics)], 1)
-        return pa.RecordBatch.from_pydict({"doc_id": docs.column("doc_id"), "total": _list_of(total)})
+        part = mixture / mixture.sum(1)[:, None] * b.copies[held][:, None]
+        total = np.stack([np.bincount(b.doc_of_line[held], part[:, k], b.n_docs) for k in range(s.topics)], 1)
+        empty = b.n_lines - np.bincount(b.doc_of_line[held], b.copies[held], b.n_docs)
+        return pa.RecordBatch.from_arrays([b.ids, _list_of((total + empty[:, None] / s.topics) / b.n_lines[:, None])], ["doc_id", "topic_distribution"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends = batch.column("entries").offsets.to_numpy()
-            start = 0
-            for i in range(batch.num_rows):
-                if i + 1 == batch.num_rows or ends[i + 2] - ends[start] > ENTRIES_PER_BATCH:
-                    yield fit(batch.slice(start, i + 1 - start))
-                    start = i + 1
-
-    ordered = F.sort_array(F.collect_list(F.struct("line", "term", "hash", "n", "copies"))).alias("entries")
-    return entries.groupBy("doc_id").agg(ordered).mapInArrow(run, f"doc_id {id_type}, total array<double>")
+    hashed = whole.withColumn("lines", F.transform("lines", lambda x: x.withField("terms", F.transform(x["terms"], lambda t: F.struct(
+        t["term"].alias("term"), t["tf"].alias("tf"), F.xxhash64(t["term"]).alias("hash"))))))
+    return in_documents(hashed, fit, "topic_distribution array<double>", stop_words)
 
 
 def _sums(column: str, k: int) -> Column:
@@ -227,21 +212,20 @@ def _weighted_sums(mixed: DataFrame, k: int) -> DataFrame:
 
 
 def document_topics(line_table: DataFrame, settings: Settings = Settings(), stop_words: Sequence[str] = tuple(STOP_WORDS),
-                    entries_per_task: int = ENTRIES_PER_TASK, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+                    entries_per_task: int = ENTRIES_PER_TASK, rows_per_salt: int = ROWS_PER_SALT, lines: Collection | None = None) -> DataFrame:
     """``(doc_id, topic_distribution)``: mean mixture of a document's lines under the document's own topics.
 
     A line without terms, also a null one, counts as an even mixture, so a document of such lines is even. Lines with equal
-    bags of terms are one line with copies. No rows give no rows. A document with more than ``entries_per_task`` different
-    (line, term) entries is fitted as a table.
+    bags of terms are one line with copies. No rows give no rows. A document that may have more than ``entries_per_task``
+    different (line, term) entries is fitted as a table.
     """
     s = settings
-    bags = line_bags(line_table, stop_words)
-    entries = entries_of(bags)
-    large = materialise(entries.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > entries_per_task).select("doc_id"))
-    if large.isEmpty():
-        return _means(bags, fit_whole(entries, s), s.topics)
-    mixed = fit_in_rounds(materialise(entries.join(large, "doc_id", "left_semi")), s, rows_per_salt)
-    return _means(bags, fit_whole(entries.join(large, "doc_id", "left_anti"), s).unionByName(_weighted_sums(mixed, s.topics)), s.topics)
+    lines = lines or tfidf.collection(line_table, entries_per_task)
+    found = fit_whole(lines.whole, s, stop_words)
+    if lines.large is None:
+        return found
+    bags = line_bags(lines.large, stop_words)
+    return found.unionByName(_means(bags, _weighted_sums(fit_in_rounds(entries_of(bags), s, rows_per_salt), s.topics), s.topics))
 
 
 def corpus_topics(line_table: DataFrame, settings: Settings = Settings(), stop_words: Sequence[str] = tuple(STOP_WORDS),
@@ -261,7 +245,7 @@ def corpus_topics(line_table: DataFrame, settings: Settings = Settings(), stop_w
 
 
 def topic_distribution(line_table: DataFrame, n_topics: int = 5, seed: int = 42, max_iter: int = 10, stop_words: Sequence[str] = tuple(STOP_WORDS),
-                       per_document: bool = False) -> DataFrame:
+                       per_document: bool = False, lines: Collection | None = None) -> DataFrame:
     """Mean topic mixture of each document's lines, under topics of the corpus or of the document itself."""
-    fit = document_topics if per_document else corpus_topics
-    return fit(line_table, Settings(n_topics, max_iter, seed), stop_words)
+    settings = Settings(n_topics, max_iter, seed)
+    return document_topics(line_table, settings, stop_words, lines=lines) if per_document else corpus_topics(line_table, settings, stop_words)

@@ -82,7 +82,7 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
     counts = gathered = None
     if "lexical_diversity" in want or grammatical or emotional:
         counts = materialise(lines.token_counts(line_table))
-    if clustered or want & {"tfidf_keywords", "repetition_rate"}:
+    if clustered or want & {"tfidf_keywords", "repetition_rate"} or ("topic_distribution" in want and r.topics_per_document):
         gathered = tfidf.collection(line_table).kept()
 
     parts: list[DataFrame] = [lexical.lexical_profile(line_table, r.stop_words, r.intensity_words)]
@@ -107,7 +107,7 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
     if "start_ms" in cues.columns and want & set(FEATURE_GROUPS["structural_features"]):
         parts.append(timing.timing_profile(cues, line_table, r.threshold_seconds))
     if "topic_distribution" in want:
-        parts.append(topics.topic_distribution(line_table, r.n_topics, per_document=r.topics_per_document))
+        parts.append(topics.topic_distribution(line_table, r.n_topics, per_document=r.topics_per_document, lines=gathered))
     out = cues.select("doc_id").distinct()
     for part in parts:
         out = out.join(part, "doc_id", "left")

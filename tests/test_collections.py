@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cuesheet.operators import clustering, collections, tfidf
+from cuesheet.operators import clustering, collections, tfidf, topics
 from test_term_weights import corpus, make_lines, weights_of  # noqa: F401
 
 MIXED = 300  # of the fixture's documents some fit into so many entries
@@ -50,7 +50,7 @@ def test_repetition_in_blocks_and_beyond_the_bound_of_products(spark, corpus, by
     assert found[0] == found[1] == found[2] and sum(found[0]) > 0
 
 
-@pytest.mark.parametrize("run", [tfidf.tfidf_keywords, tfidf.repetition_rate, tfidf.line_tfidf, clustering.line_clusters])
+@pytest.mark.parametrize("run", [tfidf.tfidf_keywords, tfidf.repetition_rate, tfidf.line_tfidf, clustering.line_clusters, topics.document_topics])
 def test_lines_of_fitting_documents_are_shuffled_once(spark, corpus, run):  # noqa: F811
     plan = run(make_lines(spark, corpus).repartition(2))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
