@@ -10,7 +10,8 @@ in one task. In a larger one the pairs that share a band with the least node of
 registers and verified first, which ties a tight group together in proportion to its size. What is still apart may be
 linked all the same, so nodes of different parts meet on rare shingles: of two linked sets, ordered by how many sets of
 large clusters hold a shingle, the first quarters always have one in common. A passage that many documents share is among
-the last of that order and brings nobody together. Nothing but true links is emitted.
+the last of that order and brings nobody together. The counts that order needs are one array of slots, so that only the
+first quarters become rows. Nodes that met are compared block by block. Nothing but true links is emitted.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SHINGLE = 5
 LINK = (3, 4)  # intersection * 4 >= union * 3
 CLUSTER_ROWS, CLUSTER_SHINGLES = 512, 1 << 19
 ENTRIES_PER_SALT = 1000
+#: Shingles are counted by their lowest bits, four slots to a shingle up to 2^22 (8 MB, sent to every task).
+COUNT_BITS, COUNT_CHUNKS, COUNT_MOST = (16, 22), 256, 65_535
 _BORROW = np.stack([np.random.default_rng(b).permutation(BUCKETS) for b in range(BUCKETS)])
 _BORDERS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
 
@@ -200,44 +203,105 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return materialise(met.select("u", "v", "su", "sv").mapInArrow(run, "u bigint, v bigint"))
 
 
-def rare_meetings(parts: DataFrame) -> DataFrame:
-    """Pairs ``(u, v)`` of ``(node, part, n_shingles, set)`` in different parts whose first quarters share a shingle.
+def shingle_counts(sets: DataFrame, slots: int) -> np.ndarray:
+    """How many of the sets hold a shingle of each slot, a shingle's slot being its lowest bits; 65,535 stands for more.
 
-    The order of shingles is how many of these sets hold them, then the shingle itself. Two sets linked at 3/4 have a
-    shingle in common among the first n - ceil(3n/4) + 1 of each. Shingles that one set alone holds are only counted.
+    Every task adds its sets up in one array of ``slots``, a power of two; the arrays are added chunk by chunk.
+    """
+    chunks = min(COUNT_CHUNKS, slots)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(slots, np.uint32)
+        for batch in batches:
+            for b in batch.column("set"):
+                np.add.at(held, np.frombuffer(b.as_py(), np.uint64) & np.uint64(slots - 1), 1)
+        parts = np.minimum(held, COUNT_MOST, out=held).astype(np.uint16).reshape(chunks, -1)
+        filled = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(filled, pa.int64()), pa.array([parts[i].tobytes() for i in filled], pa.binary())], ["chunk", "held"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(slots // chunks, np.int64)
+        for b in table.column("held"):
+            total += np.frombuffer(b.as_py(), np.uint16)
+        return pa.table({"chunk": table.column("chunk")[:1], "held": pa.array([np.minimum(total, COUNT_MOST).astype(np.uint16).tobytes()], pa.binary())})
+
+    found = np.zeros((chunks, slots // chunks), np.uint16)
+    for r in sets.select("set").mapInArrow(count, "chunk bigint, held binary").groupBy("chunk").applyInArrow(add, "chunk bigint, held binary").collect():
+        found[r["chunk"]] = np.frombuffer(r["held"], np.uint16)
+    return found.reshape(-1)
+
+
+def leading_shingles(parts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """``(node, cluster, block, part, n, at, h)``: the first quarter of every set, without the shingles that no other set holds.
+
+    The order is the count of a shingle's slot, then the shingle itself; ``at`` is its place in the order. Two sets linked
+    at 3/4 have a shingle in common among the first n - ceil(3n/4) + 1 of each, whatever the order is: shingles that share
+    a slot cost meetings, not links.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                sets = [np.frombuffer(s, np.int64) for s in part.column("set").to_pylist()]
-                at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c).take(at) for c in ("node", "part", "n_shingles")),
-                                                  pa.array(np.concatenate(sets))], ["node", "part", "n_shingles", "h"])
-
-    held = parts.select("node", "part", "n_shingles", "set").mapInArrow(run, "node bigint, part bigint, n_shingles bigint, h bigint")
-    shared = materialise(held.groupBy("h").agg(F.count(F.lit(1)).alias("df"), (F.min("part") < F.max("part")).alias("apart")).where(F.col("df") > 1))
-    met = skew.salted_lookup(held, shared, ["h"], shared.select("h", "df"), "df", ["node"])
-    ordered = met.groupBy("node", "part", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("df", "h", "apart"))).alias("held"))
-    alone, first = F.col("n_shingles") - F.size("held"), F.col("n_shingles") - F.ceil(F.col("n_shingles") * LINK[0] / LINK[1]) + 1
-    leading = F.filter(F.slice("held", F.lit(1), F.greatest(first - alone, F.lit(0)).cast("int")), lambda x: x["apart"])
-    entries = materialise(ordered.select("node", "part", "n_shingles", F.explode(F.transform(leading, lambda x: x["h"])).alias("h")))
-    hot = skew.hot_keys(entries.groupBy("h").agg(F.count(F.lit(1)).alias("n")), ["h"], "n", ENTRIES_PER_SALT)
-    left, right, keys = entries, entries, ["h"]
+                ats, hs = [], []
+                for b in part.column("set"):
+                    s = np.frombuffer(b.as_py(), np.uint64)
+                    held = counts[s & np.uint64(len(counts) - 1)]
+                    first = np.lexsort((s, held))[:len(s) - -(-len(s) * LINK[0] // LINK[1]) + 1]
+                    at = np.flatnonzero(held[first] > 1)
+                    ats.append(at)
+                    hs.append(s[first[at]])
+                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in ats]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(rows) for c in ("node", "cluster", "block", "part", "n_shingles")),
+                                                  pa.array(np.concatenate(ats), pa.int64()), pa.array(np.concatenate(hs).view(np.int64))],
+                                                 ["node", "cluster", "block", "part", "n", "at", "h"])
+
+    return parts.select("node", "cluster", "block", "part", "n_shingles", "set").mapInArrow(
+        run, "node bigint, cluster bigint, block bigint, part bigint, n bigint, at bigint, h bigint")
+
+
+def rare_meetings(parts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Pairs ``(cluster, a, b, u, v)`` of ``(node, cluster, block, part, n_shingles, set)`` in different parts of a cluster that may be linked,
+    and their blocks.
+
+    They share one of their leading shingles. No more of either set than what follows the first shared one can be shared,
+    so a meeting far down the order is none. Of a shingle's nodes, those in its commonest part meet the others only.
+    """
+    keys = ["cluster", "h"]
+    entries = materialise(leading_shingles(parts, counts))
+    held = entries.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    shared = materialise(held.groupBy(*keys).agg(F.sum("n").alias("df"), F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+                         .where(F.col("parts") > 1).select(*keys, "df", "main"))
+    met = materialise(skew.salted_lookup(entries, shared.select(*keys, "main"), keys, shared.select(*keys, "df"), "df", ["node"]))
+    hot = skew.hot_keys(shared, keys, "df", ENTRIES_PER_SALT)
+    left, right = met.where(F.col("part") != F.col("main")), met.drop("main")
     if hot is not None:
-        left, right, keys = skew.add_salt(entries, keys, hot, ["node"]), skew.replicate(entries, keys, hot), ["h", "_salt"]
-    met = left.join(right.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("node", "part", "n_shingles")]).hint("merge"), keys)
-    fit = F.least("n_shingles", "_n_shingles") * LINK[1] >= F.greatest("n_shingles", "_n_shingles") * LINK[0]
-    return materialise(met.where((F.col("part") < F.col("_part")) & fit).select(F.col("node").alias("u"), F.col("_node").alias("v")).distinct())
+        left, right, keys = skew.add_salt(left, keys, hot, ["node"]), skew.replicate(right, keys, hot), [*keys, "_salt"]
+    others = right.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("node", "block", "part", "n", "at")])
+    least = (F.col("n") + F.col("_n")) * LINK[0]  # of what two linked sets share, times the sum of the link's two numbers
+    fit = (F.least(F.col("n") - F.col("at"), F.col("_n") - F.col("_at")) * sum(LINK) >= least) & (F.least("n", "_n") * LINK[1] >= F.greatest("n", "_n") * LINK[0])
+    once = (F.col("part") != F.col("_part")) & ((F.col("_part") == F.col("main")) | (F.col("part") < F.col("_part")))
+    pairs = left.join(others.hint("merge"), keys).where(once & fit)
+    return materialise(pairs.select("cluster", F.col("block").alias("a"), F.col("_block").alias("b"), F.col("node").alias("u"), F.col("_node").alias("v")).distinct())
+
+
+def _links_in_cells(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(u, v)`` that span what ``(cluster, a, b, u, v)`` pairs connect.
+
+    The nodes of two blocks that have a pair come together in one task, each once.
+    """
+    cell = F.struct("cluster", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).alias("cluster")
+    cells = pairs.select(cell, F.col("u").alias("node")).union(pairs.select(cell, F.col("v").alias("node"))).distinct()
+    return _links_in_one_task(cells.join(sets.select("node", "set").hint("merge"), "node"))
 
 
 def cluster_links(members: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links that span the true components of ``(node, cluster, n_shingles, set)``, from candidate edges and registers."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("rows"), F.sum("n_shingles").alias("shingles")) \
-        .select("cluster", ((F.col("rows") > CLUSTER_ROWS) | (F.col("shingles") > CLUSTER_SHINGLES)).alias("large"))
+        .select("cluster", ((F.col("rows") > CLUSTER_ROWS) | (F.col("shingles") > CLUSTER_SHINGLES)).alias("large"),
+                F.ceil(F.greatest(F.col("rows") * 2 / CLUSTER_ROWS, F.col("shingles") * 2 / CLUSTER_SHINGLES)).alias("blocks"))
     placed = materialise(skew.lookup(members, sizes, ["cluster"], ["node"]))
     inside = materialise(_links_in_one_task(placed.where(~F.col("large"))))
-    large = placed.where("large").select("node", "n_shingles", "set")
+    large = placed.where("large").select("node", "cluster", "n_shingles", "set", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
     if large.isEmpty():
         return inside
     marks = materialise(large.select("node", "n_shingles").join(nodes.select("node", "registers").hint("merge"), "node"))
@@ -263,8 +327,10 @@ def cluster_links(members: DataFrame, edges: DataFrame, nodes: DataFrame) -> Dat
         .join(parts.select(F.col("node").alias("v"), F.col("part").alias("pv")).hint("merge"), "v").where(F.col("pu") != F.col("pv"))
     more = _verified(_likely(between.select("u", "v"), marks), large)
     # what is still apart meets on rare shingles
-    rest = rare_meetings(large.join(joined(parts, more).hint("merge"), "node"))
-    return inside.union(links).union(more).union(_verified(_likely(rest, marks), large))
+    total = large.agg(F.sum("n_shingles")).first()[0]
+    counts = shingle_counts(large, 1 << min(max(int(4 * total).bit_length(), COUNT_BITS[0]), COUNT_BITS[1]))
+    rest = rare_meetings(large.join(joined(parts, more).hint("merge"), "node"), counts)
+    return inside.union(links).union(more).union(materialise(_links_in_cells(rest, large)))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int = SHINGLE) -> DataFrame:

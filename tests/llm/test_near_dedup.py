@@ -147,3 +147,27 @@ def test_one_row_of_each_group_with_columns_of_any_name(spark):
     got = N.one_of_each_group(docs)
     assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
     assert N.one_of_each_group(docs.limit(0)).count() == 0
+
+
+def test_linked_sets_meet_on_the_first_quarters_of_their_rows_alone(spark):
+    """Only leading shingles become rows, also where all shingles share 16 slots; no linked pair of two parts is lost."""
+    r = random.Random(5)
+    common = [r.getrandbits(63) for _ in range(200)]
+    sets = [np.array(sorted(r.sample(common, r.choice([40, 120, 170])) + [r.getrandbits(63) for _ in range(r.choice([0, 5, 30]))]), np.uint64)
+            for _ in range(120)]
+    parts = spark.createDataFrame([(i, 7, i % 3, i % 5, len(s), s.tobytes()) for i, s in enumerate(sets)],
+                                  "node bigint, cluster bigint, block bigint, part bigint, n_shingles bigint, set binary").repartition(3)
+    linked = {(a, b) for a, b in N.linked_pairs(sets) if a % 5 != b % 5}
+    assert linked
+    for slots in (16, 1 << 16):
+        counts = N.shingle_counts(parts, slots)
+        assert counts.sum() == sum(map(len, sets))
+        assert N.leading_shingles(parts, counts).count() <= sum(len(s) - -(-len(s) * 3 // 4) + 1 for s in sets)
+        met = {tuple(sorted((p["u"], p["v"]))) for p in N.rare_meetings(parts, counts).collect()}
+        assert linked <= met and all(a % 5 != b % 5 for a, b in met)
+    pairs = N.rare_meetings(parts, counts)
+    found = {tuple(sorted(p)) for p in N._links_in_cells(pairs, parts).collect()}
+    alike = dict(enumerate(range(len(sets))))
+    for a, b in N._spanning(N.linked_pairs(sets), len(sets)):
+        alike = {k: alike[b] if v == alike[a] else v for k, v in alike.items()}
+    assert found and all(alike[a] == alike[b] for a, b in found)
