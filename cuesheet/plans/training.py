@@ -75,7 +75,7 @@ def cross_validate(rows: DataFrame, widenings: dict[str, Widening], exclude: Seq
         coded = [c for c in categorical if counts.get(c, 0) > max_card]
         few, numbers = [c for c in categorical if c not in coded], [c for c in numeric if c not in unknown]
         part = regression.apply_preparation(table, {c: materialise(learned.codes(str(i), c)) for c in coded}, [key])
-        train = materialise(part.where(F.col(fold) != i))
+        train = regression.in_parts(part.where(F.col(fold) != i))
         medians, modes = learned.fillings(str(i), numbers, few)
         medians |= regression.exact_medians(train, coded)  # codes are numbers of this part only
         model = regression.fit_model(train, numbers + coded, few, estimator, target, seed, (medians, modes))
@@ -148,7 +148,7 @@ def train(metadata: DataFrame, features: DataFrame, key: str = "imdbID", group:
     widening = widenings["all"]
     metrics = cross_validate(folded, widenings, exclude, n_splits, max_card, key, estimator, seed=seed)
     prepared = regression.prepare_features(widening.apply(folded), "rating", exclude, max_card, [key])
-    model = regression.fit_model(prepared.table, prepared.numeric, prepared.categorical, estimator, "rating", seed)
+    model = regression.fit_model(regression.in_parts(prepared.table), prepared.numeric, prepared.categorical, estimator, "rating", seed)
     trained = Trained(model, prepared, widening, metrics, evaluation.cv_summary(metrics))
     if model_out:
         trained.save(model_out)
