@@ -3,8 +3,8 @@
 Variational Bayes in rounds. A line's mixture is found by fixed-point steps from its term counts and the topics of its
 document; a document's topics are then the expected counts of its terms. Documents up to a bound of entries come together
 whole, many to a batch, and run all rounds in the task that holds them: one shuffle for all models. The topics of larger
-documents are a table (document, term, one weight per topic): each round looks the weights up by term, the document's hot
-terms salted, and sums expected counts per term. Both ways share the arithmetic and give the same mixtures. A corpus is one
+documents are a table (document, term, one weight per topic), their lines stay together in blocks: each round sends the
+weights of a block's terms to it, once a term, and sums the expected counts that blocks give back. Both ways share the arithmetic and give the same mixtures. A corpus is one
 large document in this sense, so its topics are such a table too, and neither terms nor topics pass through the driver.
 """
 
@@ -25,6 +25,7 @@ from cuesheet.operators.collections import ENTRIES_PER_TASK, Batch, Collection,
 from cuesheet.session import materialise
 
 ROWS_PER_SALT = 250_000
+ENTRIES_PER_BLOCK = 4 * ROWS_PER_SALT
 LINE_STEPS, LINE_TOLERANCE = 100, 1e-3
 
 
@@ -109,13 +110,6 @@ def line_bags(line_table: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     return materialise(bags.withColumn("line", F.md5(F.concat_ws("\x1f", "words"))))
 
 
-def entries_of(bags: DataFrame) -> DataFrame:
-    """``(doc_id, line, copies, term, hash, n)``: the terms of every bag with their counts."""
-    counted = bags.select("doc_id", "line", "copies", F.explode("words").alias("term")) \
-        .groupBy("doc_id", "line", "copies", "term").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return materialise(counted.withColumn("hash", F.xxhash64("term")))
-
-
 def _list_of(values: np.ndarray) -> pa.ListArray:
     n, k = values.shape
     return pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(values.reshape(-1)))
@@ -151,10 +145,49 @@ def _sums(column: str, k: int) -> Column:
     return F.array(*[F.sum(F.get(F.col(column), F.lit(i))) for i in range(k)])
 
 
-def fit_in_rounds(entries: DataFrame, s: Settings, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """``(doc_id, line, copies, mixture)`` for documents of any size: the topics are a table, and every round one pass over the entries."""
-    id_type = entries.schema["doc_id"].dataType.simpleString()
+def blocks_of(bags: DataFrame, entries_per_block: int) -> DataFrame:
+    """``(block, terms, docs, lines, copies, sizes, slots, counts)``: the bags that have terms, some ``entries_per_block`` words at a time.
+
+    ``terms`` are the distinct (doc_id, term) of a block by number; ``docs``, ``lines``, ``copies`` and ``sizes`` belong to
+    its lines; ``slots`` and ``counts`` to the entries of one line after the other: the number of a term and how often it occurs.
+    """
+    id_type = bags.schema["doc_id"].dataType.simpleString()
+
+    def pack(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        docs, lists = (t.column(c).chunk(0) for c in ("doc_id", "words"))
+        words, owners = lists.flatten().dictionary_encode(), docs.dictionary_encode()
+        line_of = np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy()))
+        size = len(words.dictionary)
+        pairs, pair_of = np.unique(owners.indices.to_numpy()[line_of].astype(np.int64) * size + words.indices.to_numpy(), return_inverse=True)
+        found, counts = np.unique(line_of * len(pairs) + pair_of, return_counts=True)
+        terms = pa.StructArray.from_arrays([owners.dictionary.take(pa.array(pairs // size)), words.dictionary.take(pa.array(pairs % size))], ["doc_id", "term"])
+
+        def one(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+        held = (terms, docs, t.column("line").chunk(0), t.column("copies").chunk(0),
+                *(pa.array(x.astype(np.int32)) for x in (np.bincount(found // len(pairs), minlength=t.num_rows), found % len(pairs), counts)))
+        return pa.table([t.column("block").chunk(0)[:1], *map(one, held)], ["block", "terms", "docs", "lines", "copies", "sizes", "slots", "counts"])
+
+    filled = bags.where(F.size("words") > 0)
+    n = max(1, -(-(filled.agg(F.sum(F.size("words"))).first()[0] or 0) // entries_per_block))
+    dealt = filled.select(F.pmod(F.xxhash64("doc_id", "line"), F.lit(n)).alias("block"), "doc_id", "line", "copies", "words")
+    return materialise(dealt.groupBy("block").applyInArrow(
+        pack, f"block bigint, terms array<struct<doc_id: {id_type}, term: string>>, docs array<{id_type}>, lines array<string>, "
+              "copies array<bigint>, sizes array<int>, slots array<int>, counts array<int>"))
+
+
+def fit_in_rounds(bags: DataFrame, s: Settings, entries_per_block: int = ENTRIES_PER_BLOCK) -> DataFrame:
+    """``(doc_id, line, copies, mixture)`` of bags with terms, for documents of any size: the topics are a table.
+
+    The lines stay together in blocks. In every round a block gets the topics of its terms and gives one sum per term back,
+    so what is shuffled are the terms of blocks, not the entries of lines, and a term comes once per block at most.
+    """
+    id_type = bags.schema["doc_id"].dataType.simpleString()
     keys, rows = ["doc_id", "term"], f"doc_id {id_type}, term string, topics array<double>"
+    blocks = blocks_of(bags, entries_per_block)
+    used = materialise(blocks.select("block", F.posexplode("terms").alias("slot", "t")).select("block", "slot", "t.*"))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -165,38 +198,37 @@ def fit_in_rounds(entries: DataFrame, s: Settings, rows_per_salt: int = ROWS_PER
             topics, totals = (b.column(c).flatten().to_numpy().reshape(-1, s.topics) for c in ("topics", "totals"))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _list_of(entry_weights(topics, totals))], ["doc_id", "term", "topics"])
 
-    def solve(b: pa.RecordBatch) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
-        lists = b.column("entries")
-        flat, line_of = lists.flatten(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-        weights = flat.field("topics").flatten().to_numpy().reshape(-1, s.topics)
-        return flat, line_of, *line_mixtures(flat.field("n").to_numpy(), line_of, weights, b.num_rows, s)
+    def solved(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, pa.Array], np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(batch.num_rows):
+            b = {c: batch.column(c)[i].values for c in batch.schema.names if c != "block"}
+            line_of = np.repeat(np.arange(len(b["lines"])), b["sizes"].to_numpy())
+            weights = b["weights"].field("topics").flatten().to_numpy().reshape(-1, s.topics)[b["slots"].to_numpy()]
+            yield b, line_of, *line_mixtures(b["counts"].to_numpy().astype(float), line_of, weights, len(b["lines"]), s)
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            flat, line_of, _, found = solve(b)
-            found = found * b.column("copies").to_numpy()[line_of][:, None]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(line_of)), flat.field("term"), _list_of(found)], ["doc_id", "term", "topics"])
+        for batch in batches:
+            for b, line_of, _, found in solved(batch):
+                found, slots = found * b["copies"].to_numpy()[line_of][:, None], b["slots"].to_numpy()
+                sums = np.stack([np.bincount(slots, found[:, k], len(b["terms"])) for k in range(s.topics)], 1)
+                yield pa.RecordBatch.from_arrays([b["terms"].field("doc_id"), b["terms"].field("term"), _list_of(sums)], ["doc_id", "term", "topics"])
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            _, _, mixture, _ = solve(b)
-            part = _list_of(mixture / mixture.sum(1)[:, None])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("line"), b.column("copies"), part], ["doc_id", "line", "copies", "mixture"])
-
-    counts = materialise(entries.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first("hash").alias("hash")))
-    topics = counts.select(*keys, "hash").mapInArrow(begin, rows)
+        for batch in batches:
+            for b, _, mixture, _ in solved(batch):
+                part = _list_of(mixture / mixture.sum(1)[:, None])
+                yield pa.RecordBatch.from_arrays([b["docs"], b["lines"], b["copies"], part], ["doc_id", "line", "copies", "mixture"])
 
-    def lines_with(topics: DataFrame) -> DataFrame:
+    def blocks_with(topics: DataFrame) -> DataFrame:
         totals = topics.groupBy("doc_id").agg(_sums("topics", s.topics).alias("totals"))
-        weights = materialise(skew.lookup(topics, totals, ["doc_id"], ["term"], "inner").select(*keys, "topics", "totals").mapInArrow(weigh, rows))
-        met = skew.salted_lookup(entries, weights, keys, counts, "_n", ["line"], rows_per_salt=rows_per_salt)
-        return met.groupBy("doc_id", "line", "copies").agg(F.sort_array(F.collect_list(F.struct("term", "n", "topics"))).alias("entries"))
+        weights = skew.lookup(topics, totals, ["doc_id"], ["term"], "inner").select(*keys, "topics", "totals").mapInArrow(weigh, rows)
+        sent = used.join(weights.hint("merge"), keys).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("slot", "topics"))).alias("weights"))
+        return blocks.join(sent.hint("merge"), "block")
 
+    topics = materialise(used.select(*keys).distinct().withColumn("hash", F.xxhash64("term")).mapInArrow(begin, rows))
     for _ in range(s.rounds):
-        found = lines_with(topics).mapInArrow(expect, rows)
-        sums = found.groupBy(*keys).agg(_sums("topics", s.topics).alias("topics"))
+        sums = blocks_with(topics).mapInArrow(expect, rows).groupBy(*keys).agg(_sums("topics", s.topics).alias("topics"))
         topics = materialise(sums.withColumn("topics", F.transform("topics", lambda x: x + F.lit(s.eta))))
-    return lines_with(topics).mapInArrow(mix, f"doc_id {id_type}, line string, copies bigint, mixture array<double>")
+    return blocks_with(topics).mapInArrow(mix, f"doc_id {id_type}, line string, copies bigint, mixture array<double>")
 
 
 def _means(bags: DataFrame, totals: DataFrame, k: int) -> DataFrame:
@@ -225,7 +257,7 @@ def document_topics(line_table: DataFrame, settings: Settings = Settings(), stop
     if lines.large is None:
         return found
     bags = line_bags(lines.large, stop_words)
-    return found.unionByName(_means(bags, _weighted_sums(fit_in_rounds(entries_of(bags), s, rows_per_salt), s.topics), s.topics))
+    return found.unionByName(_means(bags, _weighted_sums(fit_in_rounds(bags, s, 4 * rows_per_salt), s.topics), s.topics))
 
 
 def corpus_topics(line_table: DataFrame, settings: Settings = Settings(), stop_words: Sequence[str] = tuple(STOP_WORDS),
@@ -239,7 +271,7 @@ def corpus_topics(line_table: DataFrame, settings: Settings = Settings(), stop_w
     bags = line_bags(line_table, stop_words)
     lines = bags.groupBy("line").agg(F.sum("copies").alias("copies"), F.first("words").alias("words"), F.count(F.lit(1)).alias("n"))
     lines = materialise(lines.withColumn("doc_id", F.lit(0)))
-    mixed = materialise(fit_in_rounds(entries_of(lines), s, rows_per_salt).select("line", "mixture"))
+    mixed = materialise(fit_in_rounds(lines, s, 4 * rows_per_salt).select("line", "mixture"))
     met = skew.salted_lookup(bags.select("doc_id", "line", "copies"), mixed, ["line"], lines.select("line", "n"), "n", ["doc_id"])
     return _means(bags, _weighted_sums(met, s.topics), s.topics)
 

@@ -150,3 +150,20 @@ def test_corpus_topics_tell_themes_apart_as_spark_does(spark):
 def test_no_rows(spark):
     table = spark.createDataFrame([], SCHEMA)
     assert topics.document_topics(table).count() == 0 and topics.corpus_topics(table).count() == 0
+
+
+def test_rounds_send_the_terms_of_blocks_and_not_their_entries(spark):
+    """What joins the topics in every round has a row per block and term; all entries stay in their block."""
+    words = [["a", "a", "b"], ["b", "c"], ["a"], [], ["c", "c", "d"]] * 8
+    rows = [(i % 2, f"l{i}", w, 1 + i % 3) for i, w in enumerate(words)]
+    blocks = topics.blocks_of(spark.createDataFrame(rows, "doc_id bigint, line string, words array<string>, copies bigint").repartition(3), 40).collect()
+    assert len(blocks) == 2 and sum(len(b["terms"]) for b in blocks) <= 2 * 8 < sum(len(b["slots"]) for b in blocks)
+    found = {}
+    for b in blocks:
+        at = 0
+        for doc, line, copies, size in zip(b["docs"], b["lines"], b["copies"], b["sizes"], strict=True):
+            entries = {b["terms"][s]: n for s, n in zip(b["slots"][at:at + size], b["counts"][at:at + size], strict=True)}
+            assert {t["doc_id"] for t in entries} == {doc} and len(entries) == size
+            found[line] = (doc, sorted(t["term"] for t, n in entries.items() for _ in range(n)), copies)
+            at += size
+    assert found == {line: (doc, w, copies) for doc, line, w, copies in rows if w}
