@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.operators import skew
-from cuesheet.session import materialise
+from cuesheet.session import materialise, written
 
 ENTRIES_PER_TASK, ENTRIES_PER_BATCH = 2_000_000, 200_000
 
@@ -32,8 +32,8 @@ class Collection:
     large: DataFrame | None
 
     def kept(self) -> Collection:
-        """Written once, for several readers."""
-        return Collection(materialise(self.whole), self.large)
+        """Written once, for several readers, by columns: terms repeat, and a checkpoint would hold each of them in full."""
+        return Collection(written(self.whole, "gathered"), self.large)
 
 
 def split_by_size(line_table: DataFrame, entries_per_task: int = ENTRIES_PER_TASK, products_per_task: int | None = None) -> tuple[DataFrame, DataFrame | None]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuesheet.functions.vectors import as_double, dot, let, unit
-from cuesheet.operators.ordering import with_previous
+from cuesheet.operators.ordering import position_chunk, with_previous
 
 
 def _present(vectors: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def pairwise_similarity(vectors: DataFrame) -> DataFrame:
 
 
 def coherence(vectors: DataFrame) -> DataFrame:
-    """Mean cosine of consecutive lines; 0 below two lines."""
+    """Mean cosine of consecutive lines; 0 below two lines. Cut into chunks of positions: vectors are shuffled once."""
     units = _present(vectors).select("doc_id", "pos", unit(F.col("vector")).alias("u"))
-    before = with_previous(units, ["doc_id"], ["pos"], "u", "_u")
+    before = with_previous(units, ["doc_id"], ["pos"], "u", "_u", chunk=position_chunk("pos"))
     return before.groupBy("doc_id").agg(
         F.coalesce(F.avg(F.when(F.col("_u").isNotNull(), dot(F.col("u"), F.col("_u")))), F.lit(0.0)).alias("coherence_score"))

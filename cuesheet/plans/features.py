@@ -81,7 +81,7 @@ def document_features(cues: DataFrame, resources: Resources | None = None,
     clustered = bool(want & {"num_clusters", "dominant_cluster_ratio"})
     counts = gathered = None
     if "lexical_diversity" in want or grammatical or emotional:
-        counts = materialise(lines.token_counts(line_table))
+        counts = written(lines.token_counts(line_table), "counts")
     if clustered or want & {"tfidf_keywords", "repetition_rate"} or ("topic_distribution" in want and r.topics_per_document):
         gathered = tfidf.collection(line_table).kept()
 

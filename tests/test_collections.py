@@ -54,3 +54,13 @@ def test_repetition_in_blocks_and_beyond_the_bound_of_products(spark, corpus, by
 def test_lines_of_fitting_documents_are_shuffled_once(spark, corpus, run):  # noqa: F811
     plan = run(make_lines(spark, corpus).repartition(2))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_kept_lines_are_held_by_columns(spark):
+    """The same terms in many lines are stored once per file, not once per line as in a checkpoint."""
+    table = spark.range(3000).selectExpr("id % 30 AS doc_id", "id AS pos", "concat('some words that come again and again ', id % 7) AS line")
+    kept = tfidf.collection(table, merge=False).kept().whole
+    files = kept.inputFiles()
+    assert files and all(f.endswith(".parquet") for f in files)
+    assert sum(r["length"] for r in spark.read.format("binaryFile").load(files).select("length").collect()) < 100_000  # 3,000 lines of eight terms
+    assert kept.selectExpr("sum(size(lines))").first()[0] == 3000

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from cuesheet.operators import clustering, lexicon, lines, semantic, topics
+from cuesheet.operators import clustering, lexicon, lines, ordering, semantic, topics
 
 
 def make_lines(spark, rows):
@@ -72,6 +72,12 @@ def test_vector_features_equal_all_pairs(spark, by_id):
     assert by_id(semantic.semantic_variance(table))["a"] == pytest.approx(m.var(axis=0).mean())
 
 
+def test_coherence_keeps_no_copy_of_the_vectors(spark, by_id, monkeypatch):
+    monkeypatch.setattr(ordering, "materialise", None)  # would be called
+    table = vectors(spark, [("a", p, [1.0, float(p > 65_535)]) for p in (0, 65_535, 65_536, 200_000)])
+    assert by_id(semantic.coherence(table))["a"] == pytest.approx((1 + 0.5 ** 0.5 + 1) / 3)
+
+
 @pytest.mark.parametrize("rows_per_salt", [1_000_000, 6])
 def test_grouped_kmeans_equals_plain_lloyd(spark, rows_per_salt):
     rng = random.Random(2)
