@@ -262,12 +262,13 @@ def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``documents`` that are not rejected, with all their columns, in one pass over the texts."""
     schema = docs.schema
-    names = docs.columns
+    column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(names.index("text")).to_pylist()]
-            scores = np.concatenate([model.scores(texts[i:i + 512]) for i in range(0, len(texts), 512)] or [np.empty(0)])
-            yield batch.filter(pa.array(scores < threshold))
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                texts = [t or "" for t in part.column(column).to_pylist()]
+                yield part.filter(pa.array(model.scores(texts) < threshold))
 
     return docs.mapInArrow(run, schema)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,18 @@ def test_held_out_accuracy(spark):
     recall = n.get((1, 1), 0) / (n.get((1, 1), 0) + n.get((1, 0), 0))
     wrong = n.get((0, 1), 0) / (n.get((0, 1), 0) + n[0, 0])
     assert recall > 0.75 and wrong < 0.01  # some of the rows labelled toxic hold no telling word at all
+
+
+def test_texts_become_python_strings_some_at_a_time():
+    """A batch of ten thousand texts was copied into Python whole."""
+    class Docs:
+        schema, columns = None, ["doc_id", "text"]
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    model = T.Model(np.zeros((1 << T.BUCKET_BITS, 2), np.float32), 0.0)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": ["some text", None] * 1000})
+    kept = list(T.without_toxic(Docs(), model)(iter([batch])))
+    assert max(b.num_rows for b in kept) <= 512
+    assert [i for b in kept for i in b.column("doc_id").to_pylist()] == list(range(2000))
