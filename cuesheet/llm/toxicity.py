@@ -11,6 +11,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ VISITS, BATCH, RATE = 90_000, 64, 0.05  # each row is seen so often that all are
 VECTOR_RATE = 1.0  # plain steps: an n-gram moves in proportion to how often it was wrong, so a rare one hardly does
 THRESHOLD = 0.7
 SLICE = 1 << 20  # characters worked on at once
+TEXTS = 128  # texts copied into Python and scored at once
 
 
 def _is_letter() -> np.ndarray:
@@ -113,6 +115,31 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.bincount(row, np.concatenate([f[1] for f in found]), len(ids)).astype(np.float32)
 
 
+def pack(found: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """A bag as few bytes: steps between its buckets, then weights as 16-bit numbers."""
+    ids, n = found
+    return zlib.compress(np.diff(ids, prepend=np.uint32(0)).astype(np.uint32).tobytes() + n.astype(np.float16).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zlib.decompress(packed)
+    size = len(raw) // 6
+    return np.cumsum(np.frombuffer(raw, np.uint32, size), dtype=np.uint32), np.frombuffer(raw, np.float16, size, 4 * size)
+
+
+class PackedBags:
+    """Bags that are unpacked one at a time, whenever they are gone through."""
+
+    def __init__(self, packed: list[bytes]):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return map(unpack, self.packed)
+
+
 @dataclass
 class Model:
     """``table[bucket]`` is (weight times the bucket's part of the logit, weight); ``bias`` is the logit of an empty text."""
@@ -120,21 +147,25 @@ class Model:
     table: np.ndarray
     bias: float
 
+    @cached_property
+    def _pairs(self) -> np.ndarray:
+        """Both numbers of a bucket as one, and nothing for the number after the last bucket."""
+        return np.append(np.ascontiguousarray(self.table).view(np.complex64).ravel(), np.complex64(0))
+
     def scores(self, texts: list[str]) -> np.ndarray:
         total = np.zeros((len(texts), 2))
-        pairs = np.append(np.ascontiguousarray(self.table).view(np.complex64).ravel(), np.complex64(0))  # both numbers at once
         for codes, weights, rows, starts in pieces(texts):
             value = np.zeros(len(weights), np.complex64)
             for bucket in grams(codes, len(weights)):
-                value[:len(bucket)] += pairs[bucket]
+                value[:len(bucket)] += self._pairs[bucket]
             value *= weights
             total[rows] += np.add.reduceat(value, starts).view(np.float32).reshape(-1, 2)
         mean = total[:, 0] / (total[:, 1] + MASS)
         return 1 / (1 + np.exp(-np.clip(mean + self.bias, -500, 500)))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 8) -> Model:
-    """Fit vectors and softmax together by gradient steps over shuffled batches. Takes the bags out of the list.
+def train(bags: list[tuple[np.ndarray, np.ndarray]] | PackedBags, labels: np.ndarray, seed: int = 8) -> Model:
+    """Fit vectors and softmax together by gradient steps over shuffled batches. Goes through the bags twice.
 
     Without rows of both classes there is nothing to tell apart: every score is then the share of toxic rows, smoothed.
     """
@@ -147,18 +178,23 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
         total[ids] += n
         rows[ids] += 1
     weight = (RARE / (RARE + total / max(total.sum(), 1))).astype(np.float32)
+    entries = int(rows[rows >= SEEN].sum())
     rng = np.random.default_rng(seed)
     vectors = np.zeros((DIMENSIONS, size), np.float32)  # an n-gram that was never seen says nothing
     softmax = rng.normal(0, 0.5, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     seen_s, seen_b = np.full_like(softmax, 1e-8), np.full(2, 1e-8, np.float32)
-    parts = []
-    bags.reverse()
-    while bags:  # the list is used up: the driver holds each bag once
-        ids, n = bags.pop()
+    # what is known of all bags end to end: two large blocks go back to the system whole, many small ones do not
+    known_ids, known_share, ends = np.empty(entries, np.uint32), np.empty(entries, np.float32), [0]
+    for ids, n in bags:
         w = weight[ids] * n
         known = rows[ids] >= SEEN
-        parts.append((ids[known], (SCALE * w / (w.sum() + MASS))[known].astype(np.float32)))
+        end = ends[-1] + int(known.sum())
+        known_ids[ends[-1]:end] = ids[known]
+        known_share[ends[-1]:end] = (SCALE * w / (w.sum() + MASS))[known]
+        ends.append(end)
+    del total, rows
+    parts = [(known_ids[a:b], known_share[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
     epochs = min(60, max(1, VISITS // len(parts)))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
@@ -196,8 +232,9 @@ def held_out() -> Column:
 def fit(docs: DataFrame, labels: DataFrame, rows_per_class: dict[int, int] = ROWS_PER_CLASS) -> Model:
     """Train on the labelled rows that are not held out, at most ``rows_per_class`` of each class.
 
-    The sample is chosen before any text is read, by a hash of the id. Bags are made in the tasks from whole texts; a
-    bag has at most 2^20 numbers, so what the one training task gets is bounded by the sample. Only text and label are used.
+    The sample is chosen before any text is read, by a hash of the id. Bags are made and packed in the tasks from whole
+    texts; a bag has at most 2^20 numbers, so what the one training task gets is bounded by the sample. Only text and
+    label are used.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & ~held_out()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     chosen = None
@@ -207,25 +244,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: dict[int, int] = ROW
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bag(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("toxic"),
-                pa.array([ids.astype(np.uint32).tobytes() for ids, _ in found], pa.binary()),
-                pa.array([n.astype(np.float16).tobytes() for _, n in found], pa.binary())], names=["doc_id", "toxic", "ids", "n"])
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
+                packed_bags = pa.array([pack(bag(t or "")) for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), packed_bags], names=["doc_id", "toxic", "bag"])
 
     def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(doc, toxic, ids, n) for batch in batches for doc, toxic, ids, n in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        rows = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
-        labels_of = np.array([r[1] for r in rows], int)
-        rows.reverse()
-        bags_of = []
-        while rows:  # the list is used up: each bag is held once
-            *_, ids, n = rows.pop()
-            bags_of.append((np.frombuffer(ids, np.uint32), np.frombuffer(n, np.float16)))
-        yield pa.RecordBatch.from_pydict(packed(train(bags_of, labels_of)))
+        yield pa.RecordBatch.from_pydict(packed(train(PackedBags([r[2] for r in rows]), np.array([r[1] for r in rows], int))))
 
     made = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("bigint"), "toxic", "text")
-            .mapInArrow(bags, "doc_id bigint, toxic int, ids binary, n binary").repartition(1).mapInArrow(teach, "table binary, bias double").collect())
+            .mapInArrow(bags, "doc_id bigint, toxic int, bag binary").repartition(1).mapInArrow(teach, "table binary, bias double").collect())
     if not made:  # no rows, no task
         return train([], np.zeros(0, int))
     return Model(np.frombuffer(zlib.decompress(made[0]["table"]), np.float32).reshape(-1, 2), made[0]["bias"])
@@ -244,8 +274,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(model.scores(texts))],
                                                  names=["doc_id", "held_out", "score"])
@@ -266,8 +296,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
+            for start in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(start, TEXTS)
                 texts = [t or "" for t in part.column(column).to_pylist()]
                 yield part.filter(pa.array(model.scores(texts) < threshold))
 

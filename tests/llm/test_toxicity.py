@@ -118,3 +118,36 @@ def test_texts_become_python_strings_some_at_a_time():
     kept = list(T.without_toxic(Docs(), model)(iter([batch])))
     assert max(b.num_rows for b in kept) <= 512
     assert [i for b in kept for i in b.column("doc_id").to_pylist()] == list(range(2000))
+
+
+def test_bags_travel_packed_and_train_the_same_model():
+    """All bags went to the training task at full width, and were held there twice."""
+    texts, labels = invented(200)
+    bags = [T.bag(t) for t in [*texts, "", "z" * 5000]]
+    labels = np.append(labels, [0, 1])
+    packed = T.PackedBags([T.pack(b) for b in bags])
+    assert sum(map(len, packed.packed)) < 0.7 * sum(6 * len(ids) for ids, _ in bags)
+    for (ids, n), (same, m) in zip(bags, packed, strict=True):
+        assert np.array_equal(ids, same) and np.array_equal(n.astype(np.float16), m)
+    plain = T.train([(ids, n.astype(np.float16)) for ids, n in bags], labels)
+    again = T.train(packed, labels)
+    assert plain.bias == again.bias and np.array_equal(plain.table, again.table)
+
+
+def test_scoring_keeps_few_texts_in_python():
+    seen = []
+
+    class Spy(T.Model):
+        def scores(self, texts):
+            seen.append(len(texts))
+            return super().scores(texts)
+
+    class Docs:
+        schema, columns = None, ["doc_id", "text"]
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": ["some text"] * 600})
+    kept = T.without_toxic(Docs(), Spy(np.zeros((1 << T.BUCKET_BITS, 2), np.float32), 0.0))(iter([batch]))
+    assert sum(b.num_rows for b in kept) == 600 and max(seen) <= 128
