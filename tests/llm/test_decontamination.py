@@ -114,3 +114,44 @@ def test_axes_do_not_depend_on_which_documents_lie_where(spark):
     items = spark.createDataFrame([(1, "w5 v7 u3 common words"), (2, "some other item of eight words in all")], "item_id bigint, text string")
     first, second = (D.build_index(docs, items) for docs in (rows.repartition(2), rows.orderBy("text").coalesce(1)))
     assert np.allclose(first.axes, second.axes, atol=1e-5) and np.allclose(first.idf, second.idf)
+
+
+def plain_rows(texts, idf):
+    """TF-IDF rows of length one of all passages, dense."""
+    words, cuts = D.words_of(pa.array(texts, pa.string()))
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for s in range(a, b, D.BLOCK):
+            row = np.bincount(D.terms(words[s:min(s + D.BLOCK * D.BLOCKS, b)]), minlength=1 << D.TERM_BITS) * idf.astype(float)
+            out.append(row / np.linalg.norm(row))
+    return np.array(out)
+
+
+def test_products_are_those_of_all_passages(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [prose(r, n) for n in (1, 15, 16, 17, 33, 400, 90)] + [None, "", "same " * 70, prose(r, 200)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    basis = np.random.default_rng(1).normal(size=(1 << D.TERM_BITS, 5)).astype(np.float32)
+    table = D.term_table(docs.repartition(3))
+    counts, total, n_passages = D.document_frequencies(table)
+    idf = D.inverse_frequencies(counts, total)
+    rows = plain_rows(texts, idf)
+    assert total == len(texts) and n_passages == len(rows) and counts.max() <= 8
+    want = rows.T @ (rows @ basis)
+    for at_once in (1, 3, 8, D.BLOCKS_AT_ONCE):
+        monkeypatch.setattr(D, "BLOCKS_AT_ONCE", at_once)
+        got = D.passage_products(table, idf, basis)
+        assert np.allclose(got, want, atol=1e-3)
+    assert np.array_equal(got, D.passage_products(table.coalesce(1), idf, basis))  # to the last bit
+
+
+def test_axes_are_fitted_on_the_passages_of_all_documents(spark):
+    """The axes came from the items alone, so they held nothing of what the documents are about."""
+    r = random.Random(5)
+    docs = [(i, prose(r, r.choice([5, 60, 300])), "", 0) for i in range(120)]
+    items = [(i, prose(r, 30), "") for i in range(3)]
+    index = D.build_index(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS))
+    axes = index.axes[:-1] / index.idf[:-1, None]
+    rows = plain_rows([d[1] for d in docs], index.idf[:-1])
+    kept, best = np.linalg.norm(rows @ axes) ** 2, (np.linalg.svd(rows[:, rows.any(0)], compute_uv=False)[:D.DIMENSIONS] ** 2).sum()
+    assert kept >= 0.95 * best
