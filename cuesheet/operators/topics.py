@@ -27,6 +27,7 @@ from cuesheet.session import materialise
 ROWS_PER_SALT = 250_000
 ENTRIES_PER_BLOCK = 4 * ROWS_PER_SALT
 LINE_STEPS, LINE_TOLERANCE = 100, 1e-3
+ENTRIES_IN_CACHE = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -70,33 +71,60 @@ def first_weights(hashes: np.ndarray, s: Settings) -> np.ndarray:
     return out
 
 
+def exp_digamma(x: np.ndarray) -> np.ndarray:
+    """Exponential of the digamma function for positive arguments: eight shifts in one fraction, then its series."""
+    t = x * (x + 7)  # 1/x + 1/(x + 7) = (2x + 7) / t, and so on inwards with t + 6, t + 10, t + 12
+    p, q = t * (t + 6), (t + 10) * (t + 12)
+    shift = (2 * x + 7) * ((2 * t + 6) * q + (2 * t + 22) * p) / (p * q)
+    y = x + 8
+    u = 1 / y
+    z = u * u
+    return y * np.exp(-shift - 0.5 * u - z * (1 / 12 - z * (1 / 120 - z * (1 / 252 - z * (1 / 240 - z / 132)))))
+
+
+def _fixed_points(counts: np.ndarray, at: np.ndarray, weights: np.ndarray, n_lines: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Mixtures of some lines and their shares up to a factor for each line, topic by topic."""
+    mixture = np.ones((s.topics, n_lines))
+    share = exp_digamma(mixture)
+    lines, moving, mine, last = np.arange(n_lines), np.ones(n_lines, bool), share, mixture.copy()
+    for _ in range(LINE_STEPS):
+        norm = np.full(len(at), 1e-100)
+        for k in range(s.topics):
+            norm += mine[k].take(at, mode="clip") * weights[k]  # without the check of bounds, which takes most of the time
+        pull = counts / norm
+        fresh = np.stack([mine[k] * np.bincount(at, pull * weights[k], len(lines)) for k in range(s.topics)]) + s.alpha
+        mine = exp_digamma(fresh)
+        mixture[:, lines[moving]], share[:, lines[moving]] = fresh[:, moving], mine[:, moving]
+        moving = moving & (np.abs(fresh - last).mean(0) >= LINE_TOLERANCE)
+        last, left = fresh, int(moving.sum())
+        if not left:
+            break
+        if left < 0.8 * len(lines):  # stopped lines go from time to time
+            stays, number = moving[at], np.cumsum(moving) - 1
+            at, counts, weights = number[at[stays]], counts[stays], weights[:, stays]
+            lines, mine, last, moving = lines[moving], mine[:, moving], last[:, moving], np.ones(left, bool)
+    return mixture, share
+
+
 def line_mixtures(counts: np.ndarray, line_of: np.ndarray, weights: np.ndarray, n_lines: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Topic counts of every line and expected topic counts of every entry.
 
     Entries are (line, term) pairs in the order of their lines; ``weights`` holds the exponentiated topic weights of the
     entry's term. A line stops by itself when its mixture moves less than the tolerance, so a line's result does not depend
-    on the other lines of a batch.
+    on the other lines of a batch; so many lines are solved at a time as fit a processor's cache.
     """
-    mixture = np.ones((n_lines, s.topics))
-    share = np.exp(digamma(mixture) - digamma(mixture.sum(1))[:, None])
-    moving = np.ones(n_lines, bool)
-    for _ in range(LINE_STEPS):
-        entries = moving[line_of]
-        if not entries.any():
-            break
-        active = np.flatnonzero(moving)
-        number = np.zeros(n_lines, np.int64)
-        number[active] = np.arange(len(active))
-        at, w = number[line_of[entries]], weights[entries]
-        mine = share[active]
-        norm = (mine[at] * w).sum(1) + 1e-100
-        pulled = np.stack([np.bincount(at, counts[entries] / norm * w[:, k], len(active)) for k in range(s.topics)], 1)
-        fresh = mine * pulled + s.alpha
-        share[active] = np.exp(digamma(fresh) - digamma(fresh.sum(1))[:, None])
-        moving[active] = np.abs(fresh - mixture[active]).mean(1) >= LINE_TOLERANCE
-        mixture[active] = fresh
-    norm = (share[line_of] * weights).sum(1) + 1e-100
-    return mixture, share[line_of] * weights * (counts / norm)[:, None]
+    mixture, found = np.ones((n_lines, s.topics)), np.empty((len(line_of), s.topics))
+    heads = np.append(np.unique(line_of[::ENTRIES_IN_CACHE]), n_lines) if len(line_of) else np.zeros(0, np.int64)
+    for first, last in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+        a, b = np.searchsorted(line_of, [first, last])
+        at, w = line_of[a:b] - first, np.ascontiguousarray(weights[a:b].T)
+        mixed, share = _fixed_points(counts[a:b], at, w, last - first, s)
+        mixture[first:last] = mixed.T
+        parts = [share[k].take(at, mode="clip") * w[k] for k in range(s.topics)]
+        part = counts[a:b] / (sum(parts) + 1e-100)
+        for k in range(s.topics):
+            found[a:b, k] = parts[k] * part
+    return mixture, found
 
 
 def entry_weights(topics: np.ndarray, totals: np.ndarray) -> np.ndarray:

@@ -167,3 +167,32 @@ def test_rounds_send_the_terms_of_blocks_and_not_their_entries(spark):
             found[line] = (doc, sorted(t["term"] for t, n in entries.items() for _ in range(n)), copies)
             at += size
     assert found == {line: (doc, w, copies) for doc, line, w, copies in rows if w}
+
+
+def test_lines_are_solved_alike_however_many_at_a_time(monkeypatch):
+    """All lines of a batch were solved in one go, over arrays far beyond a processor's cache."""
+    s, rng = topics.Settings(), np.random.default_rng(3)
+    line_of = np.sort(rng.integers(0, 60, 400))
+    line_of = line_of[line_of != 7]  # a line without terms
+    counts, weights = rng.integers(1, 4, len(line_of)).astype(float), rng.random((len(line_of), s.topics)) + 0.01
+    whole = topics.line_mixtures(counts, line_of, weights, 60, s)
+    for at_once in (1, 10, 100):
+        monkeypatch.setattr(topics, "ENTRIES_IN_CACHE", at_once)
+        assert all(np.array_equal(a, b) for a, b in zip(whole, topics.line_mixtures(counts, line_of, weights, 60, s), strict=True))
+    for line in (0, 31, 59):
+        mine = line_of == line
+        mixture = np.ones(s.topics)
+        for _ in range(topics.LINE_STEPS):
+            share = np.exp(topics.digamma(mixture) - topics.digamma(mixture.sum(keepdims=True)))
+            part = share * weights[mine]
+            part *= (counts[mine] / part.sum(1))[:, None]
+            before, mixture = mixture, part.sum(0) + s.alpha
+            if np.abs(mixture - before).mean() < topics.LINE_TOLERANCE:
+                break
+        assert np.allclose(whole[0][line], mixture, rtol=1e-9)
+    assert np.ptp(whole[0][7]) == 0 and not len(topics.line_mixtures(counts[:0], line_of[:0], weights[:0], 3, s)[1])
+
+
+def test_exponential_of_digamma():
+    x = np.geomspace(0.01, 1e12, 2000)
+    assert np.allclose(topics.exp_digamma(x), np.exp(topics.digamma(x)), rtol=1e-11, atol=0)
